@@ -11,6 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.plans import claims as clm
+from revlens.plans import cleaning as cln
+from revlens.plans import notebook_analyses as ana
+from revlens.plans import quality as prf
 from revlens.plans import sql_analyses as q
 from revlens.sources.adapters import load_tables
 
@@ -28,6 +32,50 @@ REGISTRY: dict[str, TableQuery] = {
     "qry_09_aov_retention": q.qry_09_aov_retention,
     "qry_10_monthly_revenue": q.qry_10_monthly_revenue,
     "qry_11_rfm_customer_segments": q.qry_11_rfm_customer_segments,
+    # notebook analyses (cleaned inputs, pandas semantics)
+    "ana_01_rfm_quantile": ana.ana_01_rfm_quantile,
+    "ana_02_state_delivery": ana.ana_02_state_delivery,
+    "ana_03_one_time_churn": ana.ana_03_one_time_churn,
+    "ana_04_first_review_repeat": ana.ana_04_first_review_repeat,
+    "ana_05_category_repeat": ana.ana_05_category_repeat,
+    "ana_06_distance_bins": ana.ana_06_distance_bins,
+    "ana_07_seller_rating_bins": ana.ana_07_seller_rating_bins,
+    "ana_08_payment_bins": ana.ana_08_payment_bins,
+    "ana_09_aov_bins": ana.ana_09_aov_bins,
+    "ana_10_strategy_summary": ana.ana_10_strategy_summary,
+    "ana_11_customer_overview": ana.ana_11_customer_overview,
+    # README findings
+    "clm_01_pareto_share": clm.clm_01_pareto_share,
+    "clm_02_best_selling_categories": clm.clm_02_best_selling_categories,
+    "clm_03_peak_month": clm.clm_03_peak_month,
+    "clm_04_no_second_purchase": clm.clm_04_no_second_purchase,
+    "clm_05_top_regions": clm.clm_05_top_regions,
+    "clm_06_delivery_vs_review": clm.clm_06_delivery_vs_review,
+    "clm_07_rfm_repeat_rate": clm.clm_07_rfm_repeat_rate,
+    # cleaning pipelines
+    "cln_01_customers": lambda t: cln.clean_customers(t["customers"]),
+    "cln_02_translation": lambda t: cln.clean_translation(t["translation"]),
+    "cln_03_sellers": lambda t: cln.clean_sellers(t["sellers"]),
+    "cln_04_products": lambda t: cln.clean_products(t["products"]),
+    "cln_05_orders": lambda t: cln.clean_orders(t["orders"]),
+    "cln_06_reviews": lambda t: cln.clean_reviews(t["reviews"]),
+    "cln_07_geolocation": lambda t: cln.clean_geolocation(t["geolocation"]),
+    "cln_08_items": lambda t: cln.clean_items(t["items"]),
+    "cln_09_payments": lambda t: cln.clean_payments(t["payments"]),
+    # profiling / quality reports
+    "prf_01_shapes": prf.prf_01_shapes,
+    "prf_02_column_info": prf.prf_02_column_info,
+    "prf_03_null_counts": prf.prf_03_null_counts,
+    "prf_04_describe_payments": prf.prf_04_describe_payments,
+    "prf_04_describe_text_orders": prf.prf_04_describe_text_orders,
+    "prf_05_payment_type_counts": prf.prf_05_payment_type_counts,
+    "prf_06_customer_cardinality": prf.prf_06_customer_cardinality,
+    "prf_07_products_quality": prf.prf_07_products_quality,
+    "prf_08_customer_rules": prf.prf_08_customer_rules,
+    "prf_09_duplicates": prf.prf_09_duplicates,
+    "prf_10_item_outliers": prf.prf_10_item_outliers,
+    "prf_11_parse_failures": prf.prf_11_parse_failures,
+    "prf_12_payment_minima": prf.prf_12_payment_minima,
 }
 
 
