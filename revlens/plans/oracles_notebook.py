@@ -363,3 +363,271 @@ UNION ALL SELECT * FROM (SELECT 'top_cities', customer_city, COUNT(*) AS n FROM
           WHERE customer_city IS NOT NULL GROUP BY customer_city ORDER BY n DESC, customer_city
           LIMIT 10)
 """, NB)
+
+# --------------------------------------------------------------------------
+# README claims
+# --------------------------------------------------------------------------
+
+_DELIV_PAY = """
+rev AS (
+  SELECT c.customer_unique_id, SUM(p.payment_value) AS revenue
+  FROM src_customers c JOIN src_orders o ON c.customer_id = o.customer_id
+  JOIN src_payments p ON o.order_id = p.order_id
+  WHERE o.order_status = 'delivered' GROUP BY c.customer_unique_id)
+"""
+
+SQL["clm_01_pareto_share"] = oracle("""
+SELECT MAX(customers) AS customers, CAST(MAX(ceil(customers * 0.2)) AS BIGINT) AS top_customers,
+       round(MAX(CASE WHEN rk = ceil(customers * 0.2) THEN cum_revenue END) * 100.0
+             / MAX(total_revenue), 4) AS top_revenue_pct,
+       MIN(CASE WHEN cum_revenue >= total_revenue * 0.8 THEN rk END) AS customers_for_revenue_share,
+       round(MIN(CASE WHEN cum_revenue >= total_revenue * 0.8 THEN rk END) * 100.0
+             / MAX(customers), 4) AS pct_customers_for_revenue_share
+FROM cum
+""", _DELIV_PAY + """,
+cum AS (
+  SELECT *, SUM(revenue) OVER (ORDER BY revenue DESC, customer_unique_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_revenue,
+         ROW_NUMBER() OVER (ORDER BY revenue DESC, customer_unique_id) AS rk,
+         COUNT(*) OVER () AS customers, SUM(revenue) OVER () AS total_revenue
+  FROM rev)
+""")
+
+SQL["clm_02_best_selling_categories"] = oracle("""
+SELECT coalesce(t.product_category_name_english, p.cat) AS category,
+       COUNT(*) AS items_sold, round(SUM(i.price), 2) AS revenue
+FROM src_items i JOIN src_orders o ON i.order_id = o.order_id
+JOIN (SELECT product_id, TRIM(product_category_name) AS cat FROM src_products
+      WHERE product_category_name IS NOT NULL AND TRIM(product_category_name) <> '') p
+  ON i.product_id = p.product_id
+LEFT JOIN src_translation t ON p.cat = t.product_category_name
+WHERE o.order_status = 'delivered'
+GROUP BY 1 ORDER BY items_sold DESC, category LIMIT 10
+""")
+
+SQL["clm_03_peak_month"] = oracle("""
+SELECT DATE_TRUNC('month', o.order_purchase_timestamp) AS order_month,
+       ROUND(SUM(p.payment_value), 2) AS monthly_revenue
+FROM src_orders o JOIN src_payments p ON o.order_id = p.order_id
+WHERE o.order_status = 'delivered'
+GROUP BY order_month ORDER BY monthly_revenue DESC, order_month LIMIT 1
+""")
+
+SQL["clm_04_no_second_purchase"] = oracle("""
+SELECT COUNT(*) AS customers, CAST(SUM(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT)
+         AS single_order_customers,
+       round(AVG(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) * 100, 4) AS pct_no_second_purchase
+FROM (SELECT c.customer_unique_id, COUNT(DISTINCT o.order_id) AS n
+      FROM src_customers c JOIN src_orders o ON c.customer_id = o.customer_id
+      WHERE o.order_status = 'delivered' GROUP BY 1)
+""")
+
+SQL["clm_05_top_regions"] = oracle("""
+SELECT c.customer_state, round(SUM(p.payment_value), 2) AS revenue
+FROM src_orders o JOIN src_payments p ON o.order_id = p.order_id
+JOIN src_customers c ON o.customer_id = c.customer_id
+WHERE o.order_status = 'delivered'
+GROUP BY c.customer_state ORDER BY revenue DESC, c.customer_state LIMIT 5
+""")
+
+SQL["clm_06_delivery_vs_review"] = oracle("""
+SELECT COUNT(*) AS pairs,
+       round(corr(date_diff('microsecond', o.order_purchase_timestamp,
+                            o.order_delivered_customer_date) / 86400000000.0::DOUBLE,
+                  CAST(r.review_score AS DOUBLE)), 6) AS correlation
+FROM src_orders o JOIN src_reviews r ON o.order_id = r.order_id
+WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NULL
+""")
+
+
+def _with_rfm(body: str) -> str:
+    from revlens.plans.oracles import _RFM
+    return oracle(body, _RFM)
+
+
+SQL["clm_07_rfm_repeat_rate"] = _with_rfm("""
+SELECT COUNT(*) AS customers,
+       CAST(SUM(CASE WHEN customer_segment <> 'Single Purchase' THEN 1 ELSE 0 END) AS BIGINT)
+         AS repeat_customers,
+       round(AVG(CASE WHEN customer_segment <> 'Single Purchase' THEN 1.0 ELSE 0.0 END) * 100, 4)
+         AS repeat_rate_pct
+FROM rfm_segments
+""")
+
+# --------------------------------------------------------------------------
+# Cleaning pipelines
+# --------------------------------------------------------------------------
+
+CL_REVIEWS = f"""
+rv_filled AS (
+  SELECT review_id, order_id, review_score,
+         coalesce(review_comment_title, '') AS review_comment_title,
+         coalesce(review_comment_message, '') AS review_comment_message,
+         review_creation_date, review_answer_timestamp,
+         ROW_NUMBER() OVER (PARTITION BY review_id
+                            ORDER BY review_answer_timestamp, order_id) AS rn
+  FROM src_reviews),
+rv_clean AS (
+  SELECT review_id, order_id, CAST(review_score AS INTEGER) AS review_score,
+         {_strip("review_comment_title")} AS review_comment_title,
+         {_strip("review_comment_message")} AS review_comment_message,
+         review_creation_date, review_answer_timestamp
+  FROM rv_filled WHERE rn = 1),
+cl_reviews AS (
+  SELECT review_id, order_id, review_score,
+         CASE WHEN review_comment_title = '' THEN 'no_title' ELSE review_comment_title END
+           AS review_comment_title,
+         CASE WHEN review_comment_message = '' THEN 'no_comment' ELSE review_comment_message END
+           AS review_comment_message,
+         review_creation_date, review_answer_timestamp
+  FROM rv_clean WHERE review_answer_timestamp >= review_creation_date)
+"""
+
+SQL["cln_01_customers"] = oracle("SELECT * FROM cl_customers2", CL_CUSTOMERS)
+SQL["cln_02_translation"] = oracle(f"""
+SELECT {_strip("product_category_name")} AS product_category_name,
+       {_strip("product_category_name_english")} AS product_category_name_english
+FROM src_translation""")
+SQL["cln_04_products"] = oracle("SELECT * FROM cl_products", CL_PRODUCTS)
+SQL["cln_05_orders"] = oracle("SELECT * FROM cl_orders", CL_ORDERS)
+SQL["cln_06_reviews"] = oracle("SELECT * FROM cl_reviews", CL_REVIEWS)
+SQL["cln_07_geolocation"] = oracle("SELECT * FROM cl_geolocation", CL_GEO)
+SQL["cln_08_items"] = oracle("SELECT * FROM src_items")
+SQL["cln_09_payments"] = oracle("SELECT * FROM cl_payments", CL_PAYMENTS)
+
+# --------------------------------------------------------------------------
+# Profiling / quality reports
+# --------------------------------------------------------------------------
+
+# Column lists of the adapter tables (in adapter order).
+ADAPTER_COLUMNS = {
+    "customers": ["customer_id", "customer_unique_id", "customer_zip_code_prefix",
+                  "customer_city", "customer_state"],
+    "geolocation": ["geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng",
+                    "geolocation_city", "geolocation_state"],
+    "items": ["order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value",
+              "shipping_limit_date"],
+    "orders": ["order_id", "customer_id", "order_status", "order_purchase_timestamp",
+               "order_approved_at", "order_delivered_carrier_date",
+               "order_delivered_customer_date", "order_estimated_delivery_date"],
+    "payments": ["order_id", "payment_sequential", "payment_type", "payment_installments",
+                 "payment_value"],
+    "products": ["product_id", "product_category_name", "product_name_lenght",
+                 "product_description_lenght", "product_photos_qty", "product_weight_g",
+                 "product_length_cm", "product_height_cm", "product_width_cm"],
+    "reviews": ["review_id", "order_id", "review_score", "review_comment_title",
+                "review_comment_message", "review_creation_date", "review_answer_timestamp"],
+    "sellers": ["seller_id", "seller_zip_code_prefix", "seller_city"],
+    "translation": ["product_category_name", "product_category_name_english"],
+}
+
+SQL["prf_01_shapes"] = oracle("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", COUNT(*) AS \"rows\", CAST({len(cols)} AS BIGINT) AS \"columns\" "
+    f"FROM src_{t}" for t, cols in sorted(ADAPTER_COLUMNS.items())))
+
+_ORDER_TYPES = ["bigint", "bigint", "string"] + ["timestamp_ntz"] * 5
+SQL["prf_02_column_info"] = oracle("\nUNION ALL\n".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", '{ty}' AS dtype, COUNT({c}) AS non_null "
+    f"FROM src_orders"
+    for i, (c, ty) in enumerate(zip(ADAPTER_COLUMNS["orders"], _ORDER_TYPES))))
+
+SQL["prf_03_null_counts"] = oracle("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", "
+    f"CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM src_{t}"
+    for t, cols in sorted(ADAPTER_COLUMNS.items()) for c in cols))
+
+
+def _describe(col: str) -> str:
+    stats = [("count", f"CAST(COUNT({col}) AS DOUBLE)"), ("mean", f"round(AVG({col}), 6)"),
+             ("std", f"round(stddev_samp({col}), 6)"), ("min", f"CAST(MIN({col}) AS DOUBLE)"),
+             ("25%", f"quantile_cont({col}, 0.25)"), ("50%", f"quantile_cont({col}, 0.5)"),
+             ("75%", f"quantile_cont({col}, 0.75)"), ("max", f"CAST(MAX({col}) AS DOUBLE)")]
+    return "\nUNION ALL\n".join(
+        f"SELECT '{col}' AS \"column\", '{name}' AS statistic, CAST({expr} AS DOUBLE) AS value "
+        f"FROM cl_payments" for name, expr in stats)
+
+
+SQL["prf_04_describe_payments"] = oracle(
+    _describe("payment_value") + "\nUNION ALL\n" + _describe("payment_installments"), CL_PAYMENTS)
+
+
+def _describe_text(col: str) -> str:
+    return (f"SELECT '{col}' AS \"column\", (SELECT COUNT({col}) FROM ot) AS count, "
+            f"(SELECT COUNT(DISTINCT {col}) FROM ot) AS \"unique\", "
+            f"(SELECT arg_min(v, (-n, v)) FROM (SELECT {col} AS v, COUNT(*) AS n FROM ot "
+            f"WHERE {col} IS NOT NULL GROUP BY 1)) AS top, "
+            f"(SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM ot WHERE {col} IS NOT NULL "
+            f"GROUP BY {col})) AS freq")
+
+
+SQL["prf_04_describe_text_orders"] = oracle(
+    "\nUNION ALL\n".join(_describe_text(c) for c in ADAPTER_COLUMNS["orders"]),
+    "ot AS (SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ADAPTER_COLUMNS["orders"])
+    + " FROM src_orders)")
+
+SQL["prf_05_payment_type_counts"] = oracle("""
+SELECT payment_type, COUNT(*) AS count FROM src_payments WHERE payment_type IS NOT NULL
+GROUP BY payment_type ORDER BY count DESC, payment_type
+""")
+
+SQL["prf_06_customer_cardinality"] = oracle("""
+SELECT 'customer_unique_id' AS "column", COUNT(DISTINCT customer_unique_id) AS "distinct" FROM cl_customers2
+UNION ALL SELECT 'customer_city', COUNT(DISTINCT customer_city) FROM cl_customers2
+UNION ALL SELECT 'customer_state', COUNT(DISTINCT customer_state) FROM cl_customers2
+""", CL_CUSTOMERS)
+
+_PRODUCT_OUT = ADAPTER_COLUMNS["products"] + ["product_volume_cm3"]
+SQL["prf_07_products_quality"] = oracle("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", "
+    f"CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_count, "
+    f"SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100.0 / COUNT(*) AS missing_pct, "
+    + (f"CAST(SUM(CASE WHEN {c} = 'unknown' THEN 1 ELSE 0 END) AS BIGINT) AS unknown_count, "
+       f"SUM(CASE WHEN {c} = 'unknown' THEN 1 ELSE 0 END) * 100.0 / COUNT(*) AS unknown_pct "
+       if c == "product_category_name" else
+       "CAST(0 AS BIGINT) AS unknown_count, 0.0::DOUBLE AS unknown_pct ")
+    + "FROM cl_products_all" for c in _PRODUCT_OUT), CL_PRODUCTS)
+
+SQL["prf_08_customer_rules"] = oracle("""
+SELECT 'invalid_state' AS rule, CAST(SUM(CASE WHEN NOT coalesce(regexp_matches(customer_state,
+         '^[A-Z]{2}$'), false) THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM cl_customers2
+UNION ALL SELECT 'short_city', CAST(SUM(CASE WHEN coalesce(length(customer_city) < 3, false)
+         THEN 1 ELSE 0 END) AS BIGINT) FROM cl_customers2
+UNION ALL SELECT 'invalid_zip', CAST(SUM(CASE WHEN NOT coalesce(regexp_matches(
+         customer_zip_code_prefix, '^\\d{5}$'), false) THEN 1 ELSE 0 END) AS BIGINT) FROM cl_customers2
+""", CL_CUSTOMERS)
+
+SQL["prf_09_duplicates"] = oracle("\nUNION ALL\n".join(
+    [f"SELECT '{t}' AS \"check\", CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * "
+     f"FROM src_{t})) AS BIGINT) AS duplicates FROM src_{t}" for t in sorted(ADAPTER_COLUMNS)]
+    + [f"SELECT 'customers.{k}', CAST(COUNT(*) - COUNT(DISTINCT {k}) - "
+       f"(CASE WHEN COUNT(*) > COUNT({k}) THEN 1 ELSE 0 END) AS BIGINT) FROM src_customers"
+       for k in ("customer_id", "customer_unique_id")]))
+
+SQL["prf_10_item_outliers"] = oracle("""
+SELECT CAST(COUNT(*) AS BIGINT) AS "rows",
+       CAST(SUM(CASE WHEN coalesce(price < pl OR price > pu, false)
+                      OR coalesce(freight_value < fl OR freight_value > fu, false)
+                THEN 1 ELSE 0 END) AS BIGINT) AS outliers,
+       ANY_VALUE(pl) AS price_lower, ANY_VALUE(pu) AS price_upper,
+       ANY_VALUE(fl) AS freight_value_lower, ANY_VALUE(fu) AS freight_value_upper,
+       SUM(CASE WHEN coalesce(price < pl OR price > pu, false)
+                  OR coalesce(freight_value < fl OR freight_value > fu, false)
+                THEN 1 ELSE 0 END) * 100.0 / COUNT(*) AS outlier_pct
+FROM src_items CROSS JOIN (
+  SELECT q1 - 1.5 * (q3 - q1) AS pl, q3 + 1.5 * (q3 - q1) AS pu,
+         f1 - 1.5 * (f3 - f1) AS fl, f3 + 1.5 * (f3 - f1) AS fu
+  FROM (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3,
+               quantile_cont(freight_value, 0.25) AS f1, quantile_cont(freight_value, 0.75) AS f3
+        FROM src_items))
+""")
+
+SQL["prf_11_parse_failures"] = oracle("""
+SELECT CAST(SUM(CASE WHEN shipping_limit_date IS NULL THEN 1 ELSE 0 END) AS BIGINT)
+         AS unparsed_shipping_dates FROM src_items
+""")
+
+SQL["prf_12_payment_minima"] = oracle("""
+SELECT CAST(MIN(payment_sequential) AS DOUBLE) AS min_payment_sequential,
+       CAST(MIN(payment_installments) AS DOUBLE) AS min_payment_installments,
+       CAST(MIN(payment_value) AS DOUBLE) AS min_payment_value FROM src_payments
+""")

@@ -36,7 +36,10 @@ def prf_03_null_counts(t: Tables) -> DataFrame:
 def prf_04_describe_payments(t: Tables) -> DataFrame:
     """``describe()`` of the cleaned payments' value and installments."""
     pay = clean_tables(t)["payments"]
-    return P.describe_numeric(pay, ["payment_value", "payment_installments"])
+    d = P.describe_numeric(pay, ["payment_value", "payment_installments"])
+    # mean and std are shown to 6 places so the summation order cannot show
+    return d.withColumn("value", F.when(F.col("statistic").isin("mean", "std"),
+                                        F.round("value", 6)).otherwise(F.col("value")))
 
 
 def prf_04_describe_text_orders(t: Tables) -> DataFrame:
