@@ -120,18 +120,78 @@ def _bucket_expr(o: Column, bounds: list, struct_type: T.StructType) -> Column:
     return build(0, len(lits))
 
 
-def _plan_buckets(df: DataFrame, order: list[Sort], keys: Sequence[str], n_rows: int | None,
-                  seed: int) -> tuple[DataFrame, int]:
+@dataclass(frozen=True)
+class Rank:
+    """One ordering to number (``weight`` None) or to sum ``weight`` over.
+
+    ``out`` receives the inclusive running value under ``order + keys``;
+    ``total`` (optional) the grand total.
+    """
+    order: Sequence[Sort | str]
+    keys: Sequence[str]
+    out: str
+    weight: str | Column | None = None
+    total: str | None = None
+
+
+def _n_buckets(spark, n_rows: int) -> int:
+    per_bucket = _conf_int(spark, _ROWS_PER_BUCKET_CONF, _DEFAULT_ROWS_PER_BUCKET)
+    max_buckets = _conf_int(spark, _MAX_BUCKETS_CONF, _DEFAULT_MAX_BUCKETS)
+    return max(1, min(max_buckets, math.ceil(n_rows / max(1, per_bucket))))
+
+
+def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None = None,
+                   seed: int = 7) -> DataFrame:
+    """Add one running row number / running sum column per ``Rank``.
+
+    All orders share one bucketed base: bucket ids for every order are
+    computed in a single projection, each order's per-bucket offsets are
+    aggregated from that base (so later orders never re-run earlier
+    windows), and the windows are then applied one after the other.
+    ``keys`` must make each order total for a deterministic result.
+    """
     spark = df.sparkSession
-    o = _order_struct(order, keys)
     if n_rows is None:
         n_rows = df.count()
-    per_bucket = _conf_int(spark, _ROWS_PER_BUCKET_CONF, _DEFAULT_ROWS_PER_BUCKET)
-    max_buckets = _conf_int(spark, _MAX_BUCKETS_CONF, _DEFAULT_MAX_BUCKETS)
-    n_buckets = max(1, min(max_buckets, math.ceil(n_rows / max(1, per_bucket))))
-    struct_type = df.select(o.alias("o")).schema["o"].dataType
-    bounds = _bounds(df, o, n_rows, n_buckets, seed)
-    return df.withColumn("_bucket", _bucket_expr(o, bounds, struct_type)), n_rows
+    n_buckets = _n_buckets(spark, n_rows)
+    cols = []
+    for i, r in enumerate(ranks):
+        order = _as_sorts(r.order)
+        o = _order_struct(order, r.keys)
+        if n_buckets > 1:
+            struct_type = df.select(o.alias("o")).schema["o"].dataType
+            bounds = _bounds(df, o, n_rows, n_buckets, seed + i)
+            cols.append(_bucket_expr(o, bounds, struct_type).alias(f"_b{i}"))
+        else:
+            cols.append(F.lit(0).alias(f"_b{i}"))
+        w = F.lit(1).cast("bigint") if r.weight is None else as_col(r.weight)
+        cols.append(w.alias(f"_w{i}"))
+    base = df.select("*", *cols)
+    out = base
+    for i, r in enumerate(ranks):
+        order = _as_sorts(r.order)
+        b, w = f"_b{i}", f"_w{i}"
+        per_bucket = base.groupBy(b).agg(F.sum(w).alias("_bw"))
+        zero = F.lit(0).cast(per_bucket.schema["_bw"].dataType)
+        # at most maxBuckets rows: this window and the broadcast are bounded
+        before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per_bucket.select(
+            b, F.coalesce(F.sum("_bw").over(before), zero).alias(f"_off{i}"),
+            F.sum("_bw").over(Window.partitionBy()).alias(f"_tot{i}"))
+        by_bucket = (Window.partitionBy(b)
+                     .orderBy(*[s.spark_order() for s in order],
+                              *[F.col(k).asc() for k in r.keys]))
+        local = (F.row_number().over(by_bucket) if r.weight is None else
+                 F.sum(w).over(by_bucket.rowsBetween(Window.unboundedPreceding,
+                                                     Window.currentRow)))
+        out = (out.withColumn(f"_loc{i}", local)
+               .join(F.broadcast(offsets), b)
+               .withColumn(r.out, F.col(f"_loc{i}") + F.col(f"_off{i}")))
+        if r.total:
+            out = out.withColumn(r.total, F.col(f"_tot{i}"))
+        out = out.drop(f"_loc{i}", f"_off{i}", f"_tot{i}")
+    return out.drop(*[f"_b{i}" for i in range(len(ranks))],
+                    *[f"_w{i}" for i in range(len(ranks))])
 
 
 def running_total(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
@@ -139,36 +199,8 @@ def running_total(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str
                   total: str | None = "_total", n_rows: int | None = None,
                   seed: int = 7) -> DataFrame:
     """Inclusive running total of ``weight`` (1 per row when None) under the
-    total order ``order + keys``; optionally the grand total as ``total``.
-
-    ``keys`` must make the order total (unique per row) for a deterministic
-    result.
-    """
-    order = _as_sorts(order)
-    w = F.lit(1).cast("bigint") if weight is None else as_col(weight)
-    bucketed, _ = _plan_buckets(df, order, keys, n_rows, seed)
-    bucketed = bucketed.withColumn("_w", w)
-    per_bucket = bucketed.groupBy("_bucket").agg(F.sum("_w").alias("_bw"))
-    # at most maxBuckets rows: a single-partition window and a broadcast are bounded
-    ordered = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "_bucket",
-        F.coalesce(F.sum("_bw").over(ordered), F.lit(0).cast(per_bucket.schema["_bw"].dataType))
-         .alias("_off"),
-        F.sum("_bw").over(Window.partitionBy()).alias("_tot"))
-    by_bucket = (Window.partitionBy("_bucket")
-                 .orderBy(*[s.spark_order() for s in order], *[F.col(k).asc() for k in keys]))
-    if weight is None:
-        local = F.row_number().over(by_bucket)
-    else:
-        local = F.sum("_w").over(by_bucket.rowsBetween(Window.unboundedPreceding,
-                                                       Window.currentRow))
-    res = (bucketed.withColumn("_local", local)
-           .join(F.broadcast(offsets), "_bucket")
-           .withColumn(out, F.col("_local") + F.col("_off")))
-    if total:
-        res = res.withColumn(total, F.col("_tot"))
-    return res.drop("_bucket", "_w", "_local", "_off", "_tot")
+    total order ``order + keys``; optionally the grand total as ``total``."""
+    return running_totals(df, [Rank(order, keys, out, weight, total)], n_rows=n_rows, seed=seed)
 
 
 def global_position(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
@@ -192,10 +224,18 @@ def ntile_from_position(pos, n, k: int) -> Column:
 def ntile(df: DataFrame, k: int, order: Sequence[Sort | str], keys: Sequence[str], out: str,
           *, n_rows: int | None = None, seed: int = 7) -> DataFrame:
     """Distributed ``NTILE(k) OVER (ORDER BY order..., keys...)``."""
-    pos = global_position(df, order, keys, out="_ntile_pos", total="_ntile_n",
-                          n_rows=n_rows, seed=seed)
-    return (pos.withColumn(out, ntile_from_position("_ntile_pos", "_ntile_n", k))
-            .drop("_ntile_pos", "_ntile_n"))
+    return ntiles(df, k, [(order, keys, out)], n_rows=n_rows, seed=seed)
+
+
+def ntiles(df: DataFrame, k: int, specs: Sequence[tuple], *, n_rows: int | None = None,
+           seed: int = 7) -> DataFrame:
+    """Several ``NTILE(k)`` columns at once; ``specs`` = [(order, keys, out)]."""
+    ranks = [Rank(order, keys, f"_p{i}", None, "_n" if i == 0 else None)
+             for i, (order, keys, _) in enumerate(specs)]
+    pos = running_totals(df, ranks, n_rows=n_rows, seed=seed)
+    for i, (_, _, out) in enumerate(specs):
+        pos = pos.withColumn(out, ntile_from_position(f"_p{i}", "_n", k))
+    return pos.drop("_n", *[f"_p{i}" for i in range(len(specs))])
 
 
 def qcut_rank_tile(pos, n, q: int = 4) -> Column:

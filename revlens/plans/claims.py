@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.dates import fractional_days
-from revlens.operators.ordering import Sort, running_total
+from revlens.operators.ordering import Rank, Sort, running_totals
 from revlens.plans import sql_analyses as q
+from revlens.session import cut_lineage
 
 Tables = dict[str, DataFrame]
 
@@ -22,11 +23,10 @@ def clm_01_pareto_share(t: Tables, top_share: float = 0.2, revenue_share: float
     """Revenue share of the top 20 % of people, and the share of people that
     makes 80 % of revenue (ranked by revenue DESC, then person id), via a
     distributed running total."""
-    rev = _revenue_per_person(t)
-    cum = running_total(rev, [Sort("revenue", desc=True)], ["customer_unique_id"],
-                        weight="revenue", out="cum_revenue", total="total_revenue")
-    cum = running_total(cum, [Sort("revenue", desc=True)], ["customer_unique_id"],
-                        out="rank", total="customers")
+    rev = cut_lineage(_revenue_per_person(t))
+    order, key = [Sort("revenue", desc=True)], ["customer_unique_id"]
+    cum = running_totals(rev, [Rank(order, key, "cum_revenue", "revenue", "total_revenue"),
+                               Rank(order, key, "rank", None, "customers")])
     k_top = F.ceil(F.col("customers") * F.lit(top_share))
     return cum.agg(
         F.max("customers").alias("customers"),

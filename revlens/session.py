@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,10 +66,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` to the reliable checkpoint folder and return the
-    re-read DataFrame (survives executor loss; never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and return it re-read.
+
+    One write job (``Dataset.checkpoint`` would compute the plan twice unless
+    cached), the result survives executor loss, and the re-read table carries
+    file statistics for adaptive planning. Never a local checkpoint.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/revlens-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def is_local(spark: SparkSession) -> bool:
