@@ -7,6 +7,7 @@ batch, never per row through pickling).
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Mapping
 
@@ -19,8 +20,39 @@ from revlens.functions._col import as_col
 
 # Python ``str.isspace`` characters, in a class both Java regex and RE2 accept.
 PY_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-# Python ``str`` cased letters (upper, lower, title case).
-_CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+
+
+def _cased_class() -> str:
+    """Regex class of the characters Python treats as cased (``str.title``
+    looks at whether the previous character is cased): the letter categories
+    Lu/Ll/Lt plus the other characters with a case property, derived from
+    Python's tables as code-point ranges."""
+    extra = []
+    for cp in range(sys.maxunicode + 1):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        ch = chr(cp)
+        if (ch.islower() or ch.isupper() or ch.istitle()) and \
+                unicodedata.category(ch) not in ("Lu", "Ll", "Lt"):
+            extra.append(cp)
+    ranges, start, prev = [], None, None
+    for cp in extra:
+        if start is None:
+            start = prev = cp
+        elif cp == prev + 1:
+            prev = cp
+        else:
+            ranges.append((start, prev))
+            start = prev = cp
+    if start is not None:
+        ranges.append((start, prev))
+    parts = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}"
+                    for a, b in ranges)
+    return f"[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}{parts}]"
+
+
+# Python ``str`` cased characters.
+_CASED = _cased_class()
 
 
 def py_strip(c) -> Column:
@@ -55,17 +87,44 @@ def clean_zip(c, width: int = 5) -> Column:
     return F.when(as_col(c).isNull() | (d == ""), F.lit(None).cast("string")).otherwise(zfill(d, width))
 
 
+def _title_specials() -> dict[str, str]:
+    """Characters whose title case differs from their upper case (ß -> Ss,
+    the dz/lj/nj digraphs, ligatures...), derived from Python's own tables."""
+    out = {}
+    for cp in range(sys.maxunicode + 1):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        ch = chr(cp)
+        if ch.title() != ch.upper():
+            out[ch] = ch.title()
+    return out
+
+
+_TITLE_SPECIALS = _title_specials()
+
+
 def title_case(c) -> Column:
-    """Python ``str.title()``: a cased letter is upper-cased when the previous
+    """Python ``str.title()``: a cased letter is title-cased when the previous
     character is not cased, lower-cased otherwise (so letters after digits,
-    apostrophes, '@', '.', combining marks start a new word). Native: the
-    string is split into characters and rebuilt with ``transform``."""
+    apostrophes, '@', '.', combining marks start a new word), with the
+    final-sigma rule of ``str.lower``. Native: the string is split into
+    characters and rebuilt with ``transform``."""
     c = as_col(c)
     chars = F.split(c, "")
+    specials = F.create_map(*[F.lit(x) for kv in _TITLE_SPECIALS.items() for x in kv])
+
+    def title(ch):
+        return F.coalesce(specials[ch], F.upper(ch))
+
+    def lower(ch, i):
+        nxt = F.when(i + 1 < F.size(chars), F.element_at(chars, i + 2))
+        final_sigma = (ch == "Σ") & ~F.coalesce(nxt.rlike(f"^{_CASED}$"), F.lit(False))
+        return F.when(final_sigma, F.lit("ς")).otherwise(F.lower(ch))
+
     rebuilt = F.array_join(
-        F.transform(chars, lambda ch, i: F.when(i == 0, F.upper(ch))
-                    .when(F.element_at(chars, i).rlike(f"^{_CASED}$"), F.lower(ch))
-                    .otherwise(F.upper(ch))), "")
+        F.transform(chars, lambda ch, i: F.when(i == 0, title(ch))
+                    .when(F.element_at(chars, i).rlike(f"^{_CASED}$"), lower(ch, i))
+                    .otherwise(title(ch))), "")
     return F.when(c.isNull(), c).when(c == "", c).otherwise(rebuilt)
 
 
