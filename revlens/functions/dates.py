@@ -66,3 +66,15 @@ def minus_days(ts, days: int) -> Column:
 
 def plus_days(ts, days: int) -> Column:
     return as_col(ts) + F.make_dt_interval(F.lit(days))
+
+
+def avg_days_exact(micros, weight=None) -> Column:
+    """Aggregate: mean of an elapsed time given in integer microseconds, in
+    days. The sum is exact (decimal), so the mean does not depend on
+    summation order (PostgreSQL numeric semantics); ``weight`` repeats a row
+    ``weight`` times."""
+    us = as_col(micros)
+    w = F.lit(1) if weight is None else as_col(weight)
+    total = F.sum(us.cast("decimal(38,0)") * w.cast("decimal(38,0)"))
+    count = F.sum(F.when(us.isNotNull(), w).cast("decimal(38,0)"))
+    return (total / count).cast("double") / F.lit(_US_PER_DAY)

@@ -299,7 +299,7 @@ ORDER BY b.bin_order
 """, NB + "," + _OC + "," + _SELLER_ROWS)
 
 SQL["ana_08_payment_bins"] = oracle("""
-SELECT payment_type, inst_group, AVG(payment_value) AS avg_ltv,
+SELECT payment_type, inst_group, round_even(AVG(payment_value), 6) AS avg_ltv,
        COUNT(DISTINCT customer_unique_id) AS customers
 FROM pay WHERE inst_group IS NOT NULL AND payment_type IS NOT NULL
 GROUP BY payment_type, inst_group ORDER BY avg_ltv DESC, payment_type, inst_group
