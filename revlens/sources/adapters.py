@@ -74,7 +74,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
+    return payments_from_lineitem(_read(spark, sf_dir, "lineitem"))
+
+
+def payments_from_lineitem(li: DataFrame) -> DataFrame:
+    """Payment rows from line items (batch or streaming DataFrame)."""
     ln = F.col("l_linenumber") % 4
     return li.select(
         F.col("l_orderkey").alias("order_id"),
