@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from revlens.plans import claims as clm
 from revlens.plans import cleaning as cln
 from revlens.plans import notebook_analyses as ana
+from revlens.plans import primitives as prim
 from revlens.plans import quality as prf
 from revlens.plans import sql_analyses as q
 from revlens.sources.adapters import load_tables
@@ -76,6 +77,13 @@ REGISTRY: dict[str, TableQuery] = {
     "prf_10_item_outliers": prf.prf_10_item_outliers,
     "prf_11_parse_failures": prf.prf_11_parse_failures,
     "prf_12_payment_minima": prf.prf_12_payment_minima,
+    # single-operator queries
+    "win_01_order_value_ntile": prim.win_01_order_value_ntile,
+    "win_02_order_sequence": prim.win_02_order_sequence,
+    "win_03_revenue_rank_first": prim.win_03_revenue_rank_first,
+    "dup_02_first_delivered_order": prim.dup_02_first_delivered_order,
+    "agg_14_zip_median_point": prim.agg_14_zip_median_point,
+    "agg_18_first_delivery_date": prim.agg_18_first_delivery_date,
 }
 
 

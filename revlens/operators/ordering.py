@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions._col import as_col
+from revlens.session import cut_lineage
 
 _ROWS_PER_BUCKET_CONF = "revlens.order.rowsPerBucket"
 _MAX_BUCKETS_CONF = "revlens.order.maxBuckets"
@@ -141,7 +142,7 @@ def _n_buckets(spark, n_rows: int) -> int:
 
 
 def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None = None,
-                   seed: int = 7) -> DataFrame:
+                   seed: int = 7, materialize: bool = True) -> DataFrame:
     """Add one running row number / running sum column per ``Rank``.
 
     All orders share one bucketed base: bucket ids for every order are
@@ -149,8 +150,15 @@ def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None =
     aggregated from that base (so later orders never re-run earlier
     windows), and the windows are then applied one after the other.
     ``keys`` must make each order total for a deterministic result.
+
+    The input is read several times (count, sample, offsets, windows), so by
+    default it is first written to the checkpoint folder once
+    (``materialize=False`` when the caller already did that).
     """
     spark = df.sparkSession
+    if materialize:
+        df = cut_lineage(df)
+        n_rows = None
     if n_rows is None:
         n_rows = df.count()
     n_buckets = _n_buckets(spark, n_rows)
@@ -197,18 +205,19 @@ def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None =
 def running_total(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
                   weight: str | Column | None = None, out: str = "_cum",
                   total: str | None = "_total", n_rows: int | None = None,
-                  seed: int = 7) -> DataFrame:
+                  seed: int = 7, materialize: bool = True) -> DataFrame:
     """Inclusive running total of ``weight`` (1 per row when None) under the
     total order ``order + keys``; optionally the grand total as ``total``."""
-    return running_totals(df, [Rank(order, keys, out, weight, total)], n_rows=n_rows, seed=seed)
+    return running_totals(df, [Rank(order, keys, out, weight, total)], n_rows=n_rows, seed=seed,
+                          materialize=materialize)
 
 
 def global_position(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
                     out: str = "_pos", total: str | None = "_n", n_rows: int | None = None,
-                    seed: int = 7) -> DataFrame:
+                    seed: int = 7, materialize: bool = True) -> DataFrame:
     """1-based ROW_NUMBER over the whole DataFrame, computed distributed."""
     return running_total(df, order, keys, weight=None, out=out, total=total,
-                         n_rows=n_rows, seed=seed)
+                         n_rows=n_rows, seed=seed, materialize=materialize)
 
 
 def ntile_from_position(pos, n, k: int) -> Column:
@@ -222,17 +231,18 @@ def ntile_from_position(pos, n, k: int) -> Column:
 
 
 def ntile(df: DataFrame, k: int, order: Sequence[Sort | str], keys: Sequence[str], out: str,
-          *, n_rows: int | None = None, seed: int = 7) -> DataFrame:
+          *, n_rows: int | None = None, seed: int = 7, materialize: bool = True) -> DataFrame:
     """Distributed ``NTILE(k) OVER (ORDER BY order..., keys...)``."""
-    return ntiles(df, k, [(order, keys, out)], n_rows=n_rows, seed=seed)
+    return ntiles(df, k, [(order, keys, out)], n_rows=n_rows, seed=seed,
+                  materialize=materialize)
 
 
 def ntiles(df: DataFrame, k: int, specs: Sequence[tuple], *, n_rows: int | None = None,
-           seed: int = 7) -> DataFrame:
+           seed: int = 7, materialize: bool = True) -> DataFrame:
     """Several ``NTILE(k)`` columns at once; ``specs`` = [(order, keys, out)]."""
     ranks = [Rank(order, keys, f"_p{i}", None, "_n" if i == 0 else None)
              for i, (order, keys, _) in enumerate(specs)]
-    pos = running_totals(df, ranks, n_rows=n_rows, seed=seed)
+    pos = running_totals(df, ranks, n_rows=n_rows, seed=seed, materialize=materialize)
     for i, (_, _, out) in enumerate(specs):
         pos = pos.withColumn(out, ntile_from_position(f"_p{i}", "_n", k))
     return pos.drop("_n", *[f"_p{i}" for i in range(len(specs))])
@@ -279,3 +289,24 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], *, prefix: str
         (F.col(f"_lo{i}").cast("double")
          + (F.col(f"_hi{i}").cast("double") - F.col(f"_lo{i}").cast("double")) * F.col(f"_fr{i}"))
         .alias(f"{prefix}_{i}") for i in range(len(qs))])
+
+
+def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Sort | str],
+                     keys: Sequence[str], out: str, *, n_rows: int | None = None,
+                     seed: int = 7) -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY groups ORDER BY order, keys)``
+    without sending a whole group to one task: the global position under
+    (groups, order, keys) minus the position where the group starts. A group
+    holding a third of all rows is spread over many range buckets; the
+    per-group start table has one row per group and is joined back."""
+    sorts = [Sort(g) for g in groups] + _as_sorts(order)
+    pos = running_totals(df, [Rank(sorts, keys, "_gpos")], n_rows=n_rows, seed=seed)
+    starts = pos.groupBy(*groups).agg(F.min("_gpos").alias("_gstart"))
+    starts = starts.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_gstart")
+    cond = None
+    for g in groups:
+        c = pos[g].eqNullSafe(starts[f"_g_{g}"])
+        cond = c if cond is None else cond & c
+    return (pos.join(starts, cond)
+            .withColumn(out, F.col("_gpos") - F.col("_gstart") + 1)
+            .drop("_gpos", "_gstart", *[f"_g_{g}" for g in groups]))

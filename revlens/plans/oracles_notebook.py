@@ -631,3 +631,52 @@ SELECT CAST(MIN(payment_sequential) AS DOUBLE) AS min_payment_sequential,
        CAST(MIN(payment_installments) AS DOUBLE) AS min_payment_installments,
        CAST(MIN(payment_value) AS DOUBLE) AS min_payment_value FROM src_payments
 """)
+
+# --------------------------------------------------------------------------
+# Single-operator queries
+# --------------------------------------------------------------------------
+
+_CO = """
+sco AS (SELECT c.customer_unique_id, o.order_id, o.order_purchase_timestamp,
+               o.order_delivered_customer_date
+        FROM src_customers c JOIN src_orders o ON c.customer_id = o.customer_id
+        WHERE o.order_status = 'delivered')
+"""
+
+SQL["win_01_order_value_ntile"] = oracle("""
+SELECT order_id, NTILE(4) OVER (ORDER BY order_paid DESC NULLS FIRST, order_id) AS value_tile
+FROM (SELECT order_id, SUM(payment_value) AS order_paid FROM src_payments GROUP BY order_id)
+""")
+
+SQL["win_02_order_sequence"] = oracle("""
+SELECT customer_unique_id, order_id,
+       ROW_NUMBER() OVER (PARTITION BY customer_unique_id
+                          ORDER BY order_purchase_timestamp, order_id) AS order_number
+FROM sco
+""", _CO)
+
+SQL["win_03_revenue_rank_first"] = oracle("""
+SELECT customer_unique_id, ROW_NUMBER() OVER (ORDER BY revenue, customer_unique_id) AS revenue_rank
+FROM (SELECT sco.customer_unique_id, SUM(p.payment_value) AS revenue
+      FROM sco JOIN src_payments p ON sco.order_id = p.order_id GROUP BY 1)
+""", _CO)
+
+SQL["dup_02_first_delivered_order"] = oracle("""
+SELECT customer_unique_id, order_id, order_purchase_timestamp FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_unique_id
+                               ORDER BY order_purchase_timestamp, order_id) AS rn FROM sco)
+WHERE rn = 1
+""", _CO)
+
+SQL["agg_14_zip_median_point"] = oracle("""
+SELECT geolocation_zip_code_prefix, median(geolocation_lat) AS geolocation_lat,
+       median(geolocation_lng) AS geolocation_lng
+FROM cl_geolocation GROUP BY 1
+""", CL_GEO)
+
+SQL["agg_18_first_delivery_date"] = oracle("""
+SELECT customer_unique_id,
+       arg_min(order_delivered_customer_date, (order_purchase_timestamp, order_id))
+         FILTER (WHERE order_delivered_customer_date IS NOT NULL) AS order_delivered_customer_date
+FROM sco GROUP BY 1
+""", _CO)
