@@ -35,6 +35,8 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": "16g"})
     tables = load_tables(spark, sf_dir)
+    # JVM start-up and first-use class loading are not query time
+    spark.range(1_000_000).selectExpr("sum(id)").collect()
     times: dict[str, float] = {}
     warm_times: dict[str, float] = {}
     failed: dict[str, str] = {}

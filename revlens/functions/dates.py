@@ -26,8 +26,21 @@ def parse_coerce(c) -> Column:
     return F.try_to_timestamp(as_col(c)).cast("timestamp_ntz")
 
 
+def wall_clock_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the wall-clock value of a
+    ``timestamp_ntz``, from its date and time fields. Unlike
+    ``timestampdiff``, this never consults the session time zone, so a
+    daylight-saving change cannot move a difference by an hour."""
+    ts = as_col(ts)
+    secs = F.date_part(F.lit("SECOND"), ts)  # seconds with microsecond fraction
+    return (F.unix_date(F.to_date(ts)).cast("bigint") * F.lit(86_400_000_000)
+            + (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * F.lit(1_000_000)
+            + (secs * 1_000_000).cast("bigint"))
+
+
 def elapsed_micros(end, start) -> Column:
-    return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end))
+    """``end - start`` in microseconds (time-zone independent)."""
+    return wall_clock_micros(end) - wall_clock_micros(start)
 
 
 def fractional_days(end, start) -> Column:

@@ -142,7 +142,7 @@ def _n_buckets(spark, n_rows: int) -> int:
 
 
 def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None = None,
-                   seed: int = 7, materialize: bool = True) -> DataFrame:
+                   seed: int = 7, materialize: bool | None = None) -> DataFrame:
     """Add one running row number / running sum column per ``Rank``.
 
     All orders share one bucketed base: bucket ids for every order are
@@ -151,9 +151,10 @@ def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None =
     windows), and the windows are then applied one after the other.
     ``keys`` must make each order total for a deterministic result.
 
-    The input is read several times (count, sample, offsets, windows), so by
-    default it is first written to the checkpoint folder once
-    (``materialize=False`` when the caller already did that).
+    The input is read several times (count, samples, offsets, windows). With
+    ``materialize=None`` (default) it is written once to the checkpoint
+    folder as soon as more than one range bucket is needed, i.e. whenever it
+    is large; ``True``/``False`` force the choice.
     """
     spark = df.sparkSession
     if materialize:
@@ -162,6 +163,8 @@ def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None =
     if n_rows is None:
         n_rows = df.count()
     n_buckets = _n_buckets(spark, n_rows)
+    if materialize is None and n_buckets > 1:
+        df = cut_lineage(df)
     cols = []
     for i, r in enumerate(ranks):
         order = _as_sorts(r.order)
@@ -205,7 +208,7 @@ def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None =
 def running_total(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
                   weight: str | Column | None = None, out: str = "_cum",
                   total: str | None = "_total", n_rows: int | None = None,
-                  seed: int = 7, materialize: bool = True) -> DataFrame:
+                  seed: int = 7, materialize: bool | None = None) -> DataFrame:
     """Inclusive running total of ``weight`` (1 per row when None) under the
     total order ``order + keys``; optionally the grand total as ``total``."""
     return running_totals(df, [Rank(order, keys, out, weight, total)], n_rows=n_rows, seed=seed,
@@ -214,7 +217,7 @@ def running_total(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str
 
 def global_position(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
                     out: str = "_pos", total: str | None = "_n", n_rows: int | None = None,
-                    seed: int = 7, materialize: bool = True) -> DataFrame:
+                    seed: int = 7, materialize: bool | None = None) -> DataFrame:
     """1-based ROW_NUMBER over the whole DataFrame, computed distributed."""
     return running_total(df, order, keys, weight=None, out=out, total=total,
                          n_rows=n_rows, seed=seed, materialize=materialize)
@@ -231,14 +234,14 @@ def ntile_from_position(pos, n, k: int) -> Column:
 
 
 def ntile(df: DataFrame, k: int, order: Sequence[Sort | str], keys: Sequence[str], out: str,
-          *, n_rows: int | None = None, seed: int = 7, materialize: bool = True) -> DataFrame:
+          *, n_rows: int | None = None, seed: int = 7, materialize: bool | None = None) -> DataFrame:
     """Distributed ``NTILE(k) OVER (ORDER BY order..., keys...)``."""
     return ntiles(df, k, [(order, keys, out)], n_rows=n_rows, seed=seed,
                   materialize=materialize)
 
 
 def ntiles(df: DataFrame, k: int, specs: Sequence[tuple], *, n_rows: int | None = None,
-           seed: int = 7, materialize: bool = True) -> DataFrame:
+           seed: int = 7, materialize: bool | None = None) -> DataFrame:
     """Several ``NTILE(k)`` columns at once; ``specs`` = [(order, keys, out)]."""
     ranks = [Rank(order, keys, f"_p{i}", None, "_n" if i == 0 else None)
              for i, (order, keys, _) in enumerate(specs)]

@@ -25,7 +25,8 @@ def clm_01_pareto_share(t: Tables, top_share: float = 0.2, revenue_share: float
     rev = _revenue_per_person(t)
     order, key = [Sort("revenue", desc=True)], ["customer_unique_id"]
     cum = running_totals(rev, [Rank(order, key, "cum_revenue", "revenue", "total_revenue"),
-                               Rank(order, key, "rank", None, "customers")])
+                               Rank(order, key, "rank", None, "customers")],
+                         materialize=True)
     k_top = F.ceil(F.col("customers") * F.lit(top_share))
     return cum.agg(
         F.max("customers").alias("customers"),

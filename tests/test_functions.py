@@ -125,3 +125,17 @@ def test_haversine(spark):
     assert 340 < r[0].x < 370
     assert r[1].x == 0.0
     assert r[2].x == pytest.approx(3.141592653589793 * 6371.0)  # half circumference
+
+
+def test_elapsed_time_ignores_session_time_zone(spark):
+    # 2018-11-04 00:00 is a daylight-saving jump in America/Sao_Paulo
+    rows = [(dt.datetime(2018, 11, 5, 0, 0), dt.datetime(2018, 11, 3, 12, 0, 0, 250))]
+    df = _ts(spark, rows)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        r = df.select(floored_days("a", "b").alias("d"), elapsed_hours("a", "b").alias("h")).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r.d == 1
+    assert r.h == pytest.approx(36 - 250 / 3.6e9)
