@@ -18,12 +18,14 @@ _US_PER_HOUR = 3_600_000_000.0
 
 def parse_strict(c) -> Column:
     """Text -> timestamp; malformed text raises under ANSI (``x::timestamp``)."""
-    return F.to_timestamp_ntz(as_col(c))
+    return as_col(c).cast("timestamp_ntz")
 
 
 def parse_coerce(c) -> Column:
-    """Text -> timestamp; malformed text becomes NULL (``errors='coerce'``)."""
-    return F.try_to_timestamp(as_col(c)).cast("timestamp_ntz")
+    """Text -> timestamp; malformed text becomes NULL (``errors='coerce'``).
+    Parsed straight to ``timestamp_ntz``, so no local time is ever shifted
+    by a time-zone rule."""
+    return as_col(c).try_cast("timestamp_ntz")
 
 
 def wall_clock_micros(ts) -> Column:
