@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.operators.ordering import exact_quantiles
+from revlens.operators.ordering import column_quantiles
 from revlens.operators.relational import with_scalars
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -72,23 +72,21 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     value): count, mean, std (sample), min, 25%, 50%, 75%, max. Quartiles are
     exact linear-interpolated, computed distributed per column."""
     cols = list(cols or numeric_columns(df))
-    parts = []
+    aggs = []
     for c in cols:
-        base = df.agg(F.count(c).cast("double").alias("count"),
-                      F.avg(c).cast("double").alias("mean"),
-                      F.stddev_samp(c).cast("double").alias("std"),
-                      F.min(c).cast("double").alias("min"),
-                      F.max(c).cast("double").alias("max"))
-        qs = exact_quantiles(df.select(c), c, [0.25, 0.5, 0.75], prefix="_q")
-        one = (with_scalars(base, qs)
-               .select("count", "mean", "std", "min", F.col("_q_0").alias("25%"),
-                       F.col("_q_1").alias("50%"), F.col("_q_2").alias("75%"), "max"))
-        parts.append(_long(one, ["count", "mean", "std", "min", "25%", "50%", "75%", "max"],
-                           "statistic", "value").withColumn("column", F.lit(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("column", "statistic", "value")
+        aggs += [F.count(c).cast("double").alias(f"count|{c}"),
+                 F.avg(c).cast("double").alias(f"mean|{c}"),
+                 F.stddev_samp(c).cast("double").alias(f"std|{c}"),
+                 F.min(c).cast("double").alias(f"min|{c}"),
+                 F.max(c).cast("double").alias(f"max|{c}")]
+    moments = (_long(df.agg(*aggs), [a for a in df.agg(*aggs).columns], "key", "value")
+               .select(F.split("key", r"\|")[1].alias("column"),
+                       F.split("key", r"\|")[0].alias("statistic"), "value"))
+    quart = (column_quantiles(df, cols, [0.25, 0.5, 0.75])
+             .select("column", F.col("q0").alias("25%"), F.col("q1").alias("50%"),
+                     F.col("q2").alias("75%"))
+             .unpivot(["column"], ["25%", "50%", "75%"], "statistic", "value"))
+    return moments.unionByName(quart).select("column", "statistic", "value")
 
 
 def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -143,13 +141,13 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Rows with any column outside [Q1 - k*IQR, Q3 + k*IQR]: one row with
     rows, outliers, outlier_pct and the bounds per column."""
-    bounds = None
-    for c in cols:
-        q = exact_quantiles(df.select(c), c, [0.25, 0.75], prefix=f"_{c}")
-        q = q.select(
-            (F.col(f"_{c}_0") - k * (F.col(f"_{c}_1") - F.col(f"_{c}_0"))).alias(f"{c}_lower"),
-            (F.col(f"_{c}_1") + k * (F.col(f"_{c}_1") - F.col(f"_{c}_0"))).alias(f"{c}_upper"))
-        bounds = q if bounds is None else bounds.crossJoin(q)
+    q = column_quantiles(df, cols, [0.25, 0.75])  # one row per column
+    bounds = q.agg(*[
+        F.max(F.when(F.col("column") == c, F.col("q0") - k * (F.col("q1") - F.col("q0"))))
+        .alias(f"{c}_lower") for c in cols], *[
+        F.max(F.when(F.col("column") == c, F.col("q1") + k * (F.col("q1") - F.col("q0"))))
+        .alias(f"{c}_upper") for c in cols])
+    bounds = bounds.select(*[x for c in cols for x in (f"{c}_lower", f"{c}_upper")])
     flagged = with_scalars(df.select(*cols), bounds)
     out_pred = None
     for c in cols:

@@ -66,6 +66,28 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 def group_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                  approx: bool = False) -> DataFrame:
-    """Per-group linear-interpolated median of each column (NULLs skipped)."""
-    f = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
-    return df.groupBy(*keys).agg(*[f(F.col(c)).alias(c) for c in cols])
+    """Per-group linear-interpolated median of each column (NULLs skipped).
+
+    Exact by default and distributed (``ordering.group_quantiles``): Spark's
+    ``median`` would merge every distinct value of a group in one task.
+    ``approx=True`` uses ``percentile_approx`` instead.
+    """
+    if approx:
+        return df.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5).alias(c) for c in cols])
+    from revlens.operators.ordering import column_quantiles
+    med = (column_quantiles(df, cols, [0.5], groups=keys)
+           .groupBy(*keys).pivot("column", list(cols)).agg(F.first("q0")))
+    out = df.select(*keys).distinct()  # every group, also those with only NULLs
+    return join_null_safe(out, med, keys, "left").select(*keys, *[F.col(c) for c in cols])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                   how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (SQL GROUP BY keeps a
+    NULL group; a plain join would drop it). Output keeps the left keys."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

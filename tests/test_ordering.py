@@ -82,3 +82,26 @@ def test_exact_quantiles_match_numpy(spark, multi_bucket):
     got = exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0]).collect()[0]
     ref = np.quantile(vals, [0.0, 0.25, 0.5, 0.75, 1.0])
     assert np.allclose(list(got), ref)
+
+
+def test_group_quantiles_match_pandas(spark, multi_bucket):
+    from revlens.operators.ordering import group_quantiles
+    from revlens.operators.relational import group_median
+    rng = np.random.default_rng(4)
+    g = rng.choice(["a", "b", "c", None], size=300, p=[0.6, 0.2, 0.15, 0.05])  # hot group 'a'
+    v = np.round(rng.normal(size=300), 2)
+    rows = [(g[i], None if i % 17 == 0 else float(v[i])) for i in range(300)] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q0, r.q1) for r in group_quantiles(df, ["g"], "v", [0.5, 0.9],
+                                                      names=["q0", "q1"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    for key, part in pdf.groupby("g", dropna=False):
+        vals = part["v"].dropna()
+        key = None if pd.isna(key) else key
+        if len(vals) == 0:
+            assert key not in got
+            continue
+        assert got[key] == pytest.approx((vals.quantile(0.5), vals.quantile(0.9)))
+    med = {r.g: r.v for r in group_median(df, ["g"], ["v"]).collect()}
+    assert med["d"] is None and med["a"] == pytest.approx(pdf[pdf.g == "a"].v.median())
+    assert None in med
