@@ -36,9 +36,11 @@ from revlens.session import cut_lineage
 
 _ROWS_PER_BUCKET_CONF = "revlens.order.rowsPerBucket"
 _MAX_BUCKETS_CONF = "revlens.order.maxBuckets"
-_DEFAULT_ROWS_PER_BUCKET = 2_000_000
+_DEFAULT_ROWS_PER_BUCKET = 250_000
 _DEFAULT_MAX_BUCKETS = 4096
 _SAMPLES_PER_BUCKET = 32
+_IN_MEMORY_VALUES_CONF = "revlens.quantile.maxInMemoryValues"
+_DEFAULT_IN_MEMORY_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -325,8 +327,17 @@ def group_quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: Sequence
     names = list(names or [f"{col}_q{i}" for i in range(len(qs))])
     vc = (df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).alias("_v"))
           .agg(F.count(F.lit(1)).alias("_c")))
+    n_pairs = vc.count()
+    limit = _conf_int(df.sparkSession, _IN_MEMORY_VALUES_CONF, _DEFAULT_IN_MEMORY_VALUES)
+    if n_pairs <= limit:
+        # checked bound: the exact percentile buffers hold at most n_pairs
+        # (value, count) entries in total, so the built-in aggregate is safe
+        pct = vc.groupBy(*groups).agg(
+            F.percentile(F.col("_v").cast("double"), F.array(*[F.lit(float(q)) for q in qs]),
+                         F.col("_c")).alias("_p"))
+        return pct.select(*groups, *[F.col("_p")[i].alias(names[i]) for i in range(len(qs))])
     cum = running_totals(vc, [Rank([Sort(g) for g in groups] + [Sort("_v")], [], "_cum", "_c")],
-                         seed=seed)
+                         n_rows=n_pairs, seed=seed)
     bounds = (cum.groupBy(*groups).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"),
                                        F.sum("_c").alias("_n"))
               .withColumnsRenamed({g: f"_g_{g}" for g in groups}))

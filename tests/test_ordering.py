@@ -84,8 +84,11 @@ def test_exact_quantiles_match_numpy(spark, multi_bucket):
     assert np.allclose(list(got), ref)
 
 
-def test_group_quantiles_match_pandas(spark, multi_bucket):
+@pytest.mark.parametrize("distributed", [True, False])
+def test_group_quantiles_match_pandas(spark, request, distributed):
     from revlens.operators.ordering import group_quantiles
+    if distributed:
+        request.getfixturevalue("multi_bucket")
     from revlens.operators.relational import group_median
     rng = np.random.default_rng(4)
     g = rng.choice(["a", "b", "c", None], size=300, p=[0.6, 0.2, 0.15, 0.05])  # hot group 'a'
