@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from revlens.functions import strings as S
 from revlens.functions.dates import elapsed_hours, floored_days, parse_coerce, parse_strict
+from revlens.operators.ordering import column_quantiles
 from revlens.operators.relational import first_row_per_key, with_scalars
 
 # ---- fixed values ----------------------------------------------------------
@@ -149,7 +150,10 @@ def clean_products(df: DataFrame, drop_unknown: bool = True) -> DataFrame:
     kept = (df.withColumn("product_category_name",
                           F.coalesce("product_category_name", F.lit("unknown")))
             .where(_all_positive(PRODUCT_DIMENSIONS)))
-    medians = kept.agg(*[F.median(c).alias(f"_med_{c}") for c in PRODUCT_MEDIAN_FILL])
+    # exact global medians; the quantile operator bounds its memory (see ordering)
+    med = column_quantiles(kept, PRODUCT_MEDIAN_FILL, [0.5])
+    medians = med.agg(*[F.max(F.when(F.col("column") == c, F.col("q0"))).alias(f"_med_{c}")
+                        for c in PRODUCT_MEDIAN_FILL])
     filled = with_scalars(kept, medians)
     for c in PRODUCT_MEDIAN_FILL:
         filled = filled.withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}")))
