@@ -644,7 +644,8 @@ sco AS (SELECT c.customer_unique_id, o.order_id, o.order_purchase_timestamp,
 """
 
 SQL["win_01_order_value_ntile"] = oracle("""
-SELECT order_id, NTILE(4) OVER (ORDER BY order_paid DESC NULLS FIRST, order_id) AS value_tile
+SELECT order_id,
+       CAST(NTILE(4) OVER (ORDER BY order_paid DESC NULLS FIRST, order_id) AS INTEGER) AS value_tile
 FROM (SELECT order_id, SUM(payment_value) AS order_paid FROM src_payments GROUP BY order_id)
 """)
 
