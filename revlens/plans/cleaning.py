@@ -238,19 +238,36 @@ def clean_payments(df: DataFrame) -> DataFrame:
     return df.where(F.col("payment_installments") >= 0).where(F.col("payment_value") > 0)
 
 
+class _LazyTables(dict):
+    """Mapping that builds each table on first access (some cleaning steps
+    run a small bounded job while planning, e.g. the product medians)."""
+
+    def __init__(self, builders):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        value = self._builders[key]()
+        self[key] = value
+        return value
+
+    def __contains__(self, key):
+        return key in self._builders or super().__contains__(key)
+
+
 def clean_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Cleaned versions of every table, plus the raw reviews and translation
-    the notebook re-reads for its analyses."""
-    return {
-        "customers": clean_customers(t["customers"]),
-        "translation": clean_translation(t["translation"]),
-        "sellers": clean_sellers(t["sellers"]),
-        "products": clean_products(t["products"]),
-        "orders": clean_orders(t["orders"]),
-        "reviews": clean_reviews(t["reviews"]),
-        "geolocation": clean_geolocation(t["geolocation"]),
-        "items": clean_items(t["items"]),
-        "payments": clean_payments(t["payments"]),
-        "raw_reviews": t["reviews"],
-        "raw_translation": t["translation"],
-    }
+    the notebook re-reads for its analyses (built lazily on first use)."""
+    return _LazyTables({
+        "customers": lambda: clean_customers(t["customers"]),
+        "translation": lambda: clean_translation(t["translation"]),
+        "sellers": lambda: clean_sellers(t["sellers"]),
+        "products": lambda: clean_products(t["products"]),
+        "orders": lambda: clean_orders(t["orders"]),
+        "reviews": lambda: clean_reviews(t["reviews"]),
+        "geolocation": lambda: clean_geolocation(t["geolocation"]),
+        "items": lambda: clean_items(t["items"]),
+        "payments": lambda: clean_payments(t["payments"]),
+        "raw_reviews": lambda: t["reviews"],
+        "raw_translation": lambda: t["translation"],
+    })
