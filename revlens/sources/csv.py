@@ -15,15 +15,21 @@ from pyspark.sql import types as T
 from revlens.functions.strings import null_tokens
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             na_values: Sequence[str] | None = None) -> DataFrame:
-    """Header CSV; quoted fields may span lines (review texts do).
+# Tables whose quoted text fields may contain line breaks (review comments).
+MULTILINE_TABLES = {"reviews"}
+
 
-    With ``schema`` there is no inference pass. ``na_values`` lists extra
-    exact tokens that become NULL in text columns (the CSV reader takes only
-    one ``nullValue``).
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             na_values: Sequence[str] | None = None, multiline: bool = False) -> DataFrame:
+    """Header CSV with double-quote escaping.
+
+    ``multiline=True`` lets quoted fields span lines (review texts do); it
+    makes each file a single split, so it is used only where needed and large
+    inputs should then arrive as many files. With ``schema`` there is no
+    inference pass. ``na_values`` lists extra exact tokens that become NULL
+    in text columns (the CSV reader takes only one ``nullValue``).
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
+    reader = (spark.read.option("header", True).option("multiLine", multiline)
               .option("escape", '"').option("mode", "PERMISSIVE"))
     if schema is not None:
         reader = reader.schema(schema)
@@ -66,7 +72,8 @@ def ingest_folder(spark: SparkSession, folder: str,
         name = table_name(base)
         logical = name_map(name) if name_map else name
         try:
-            df = read_csv(spark, path, (schemas or {}).get(logical))
+            df = read_csv(spark, path, (schemas or {}).get(logical),
+                          multiline=logical in MULTILINE_TABLES)
             sink(df, logical)
             status.append((logical, base, True, None))
         except Exception as ex:  # noqa: BLE001 - isolate per-file failures

@@ -30,7 +30,7 @@ def test_read_csv_multiline_and_null_tokens(spark):
         "review_creation_date": ["2018-01-01 00:00:00"] * 2,
         "review_answer_timestamp": ["2018-01-02 00:00:00"] * 2,
     }).to_csv(p, index=False)
-    df = read_csv(spark, p, RAW_SCHEMAS["reviews"], na_values=["", "null"])
+    df = read_csv(spark, p, RAW_SCHEMAS["reviews"], na_values=["", "null"], multiline=True)
     rows = {r.review_id: r for r in df.collect()}
     assert rows["r1"].review_comment_message == "line 1\nline 2"
     assert rows["r1"].review_comment_title is None and rows["r2"].review_comment_title is None
