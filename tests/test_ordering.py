@@ -108,3 +108,27 @@ def test_group_quantiles_match_pandas(spark, request, distributed):
     med = {r.g: r.v for r in group_median(df, ["g"], ["v"]).collect()}
     assert med["d"] is None and med["a"] == pytest.approx(pdf[pdf.g == "a"].v.median())
     assert None in med
+
+
+def test_group_row_number_with_hot_group(spark, multi_bucket):
+    from revlens.operators.ordering import group_row_number
+    rng = np.random.default_rng(11)
+    n = 600
+    # person 0 holds a third of all rows; timestamps tie often
+    people = np.where(np.arange(n) < n // 3, 0, rng.integers(1, 40, size=n))
+    ts = rng.integers(0, 20, size=n)
+    rows = [(int(i), int(people[i]), int(ts[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "order_id long, person long, ts long")
+    got = group_row_number(df, ["person"], [Sort("ts")], ["order_id"], "rn")
+    ref = df.withColumn("rn", F.row_number().over(
+        Window.partitionBy("person").orderBy("ts", "order_id")))
+    assert sorted(got.select("order_id", "rn").collect()) == \
+        sorted(ref.select("order_id", "rn").collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_b0" in plan and "partitionBy(person" not in plan
+
+
+def test_first_per_key_aggregates_partially(spark, small_tables):
+    from revlens.plans.sql_analyses import first_order_ids
+    plan = first_order_ids(small_tables)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan
