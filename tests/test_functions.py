@@ -139,3 +139,20 @@ def test_elapsed_time_ignores_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert r.d == 1
     assert r.h == pytest.approx(36 - 250 / 3.6e9)
+
+
+def test_h2_h6_h8_order_rounding_division(spark):
+    from revlens.functions.maths import pct, safe_ratio
+    from revlens.operators.ordering import Sort
+    df = spark.createDataFrame([(1, None), (2, 5.0), (3, 7.0)], "k int, v double")
+    # H2: PostgreSQL DESC puts NULLs first; Spark's default DESC puts them last
+    got = [r.k for r in df.orderBy(Sort("v", desc=True, nulls_first=True).spark_order()).collect()]
+    assert got == [1, 3, 2]
+    # H6: SQL rounding is half-up, numpy display rounding half-to-even
+    r = spark.range(1).select(F.round(F.lit(0.125), 2).alias("up"),
+                              F.bround(F.lit(0.125), 2).alias("even")).collect()[0]
+    assert (r.up, r.even) == (0.13, 0.12)
+    # H8: ratios never raise on a zero denominator under ANSI
+    r = spark.range(1).select(safe_ratio(F.lit(1), F.lit(0)).alias("a"),
+                              pct(F.lit(3), F.lit(4)).alias("b")).collect()[0]
+    assert r.a is None and r.b == 75.0

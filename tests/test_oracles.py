@@ -10,6 +10,8 @@ from revlens.verify import compare, duck_connect
 from conftest import SF_SMALL
 
 QUERIES = entry.queries()
+_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
 ORACLES = entry.oracle_sql()
 
 
@@ -26,6 +28,12 @@ def test_query_matches_oracle(spark, con, name):
         return
     ok, msg = compare(df, con, ORACLES[name])
     assert ok, msg
+    # column types agree too (the driver compares schemas)
+    rel = con.sql(ORACLES[name])
+    duck = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: _DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck
 
 
 def test_every_oracle_has_a_query():
