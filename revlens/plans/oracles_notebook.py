@@ -525,11 +525,15 @@ SQL["prf_01_shapes"] = oracle("\nUNION ALL\n".join(
     f"SELECT '{t}' AS \"table\", COUNT(*) AS \"rows\", CAST({len(cols)} AS BIGINT) AS \"columns\" "
     f"FROM src_{t}" for t, cols in sorted(ADAPTER_COLUMNS.items())))
 
-_ORDER_TYPES = ["bigint", "bigint", "string"] + ["timestamp_ntz"] * 5
+# DuckDB type names -> Spark's simple type names
+_TYPE_NAME = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
+              "WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' "
+              "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof({c})) END")
 SQL["prf_02_column_info"] = oracle("\nUNION ALL\n".join(
-    f"SELECT {i} AS position, '{c}' AS \"column\", '{ty}' AS dtype, COUNT({c}) AS non_null "
-    f"FROM src_orders"
-    for i, (c, ty) in enumerate(zip(ADAPTER_COLUMNS["orders"], _ORDER_TYPES))))
+    f"SELECT '{t}' AS \"table\", {i} AS position, '{c}' AS \"column\", "
+    f"(SELECT {_TYPE_NAME.format(c=c)} FROM src_{t} LIMIT 1) AS dtype, "
+    f"COUNT({c}) AS non_null FROM src_{t}"
+    for t, cols in sorted(ADAPTER_COLUMNS.items()) for i, c in enumerate(cols)))
 
 SQL["prf_03_null_counts"] = oracle("\nUNION ALL\n".join(
     f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", "

@@ -22,7 +22,13 @@ def prf_01_shapes(t: Tables) -> DataFrame:
 
 
 def prf_02_column_info(t: Tables) -> DataFrame:
-    return P.column_info(t["orders"])
+    """``info()`` of every raw table: position, column, type, non-null count."""
+    out = None
+    for name in sorted(t):
+        s = P.column_info(t[name]).select(F.lit(name).alias("table"), "position", "column",
+                                          "dtype", "non_null")
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def prf_03_null_counts(t: Tables) -> DataFrame:
