@@ -44,3 +44,16 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["order_month", "monthly_revenue"]
     assert df.count() > 0
+
+
+def test_shared_base_gives_same_results(spark, small_tables):
+    from revlens.catalog import REGISTRY
+    from revlens.plans.notebook_analyses import with_shared_notebook_base
+    from revlens.plans.sql_analyses import with_shared_base
+    from revlens.verify import canon
+    shared = with_shared_notebook_base(with_shared_base(small_tables))
+    for name in ("qry_01_rfm_segments", "qry_02_state_ltv", "qry_08_payment_method",
+                 "clm_01_pareto_share", "agg_18_first_delivery_date", "ana_01_rfm_quantile",
+                 "ana_06_distance_bins", "ana_11_customer_overview"):
+        a, b = REGISTRY[name](small_tables), REGISTRY[name](shared)
+        assert canon(a.collect(), a.columns) == canon(b.collect(), b.columns), name
