@@ -7,6 +7,7 @@ batch, never per row through pickling).
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 from collections.abc import Mapping
@@ -22,6 +23,7 @@ from revlens.functions._col import as_col
 PY_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
+@functools.lru_cache(maxsize=1)
 def _cased_class() -> str:
     """Regex class of the characters Python treats as cased (``str.title``
     looks at whether the previous character is cased): the letter categories
@@ -51,8 +53,6 @@ def _cased_class() -> str:
     return f"[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}{parts}]"
 
 
-# Python ``str`` cased characters.
-_CASED = _cased_class()
 
 
 def py_strip(c) -> Column:
@@ -87,6 +87,7 @@ def clean_zip(c, width: int = 5) -> Column:
     return F.when(as_col(c).isNull() | (d == ""), F.lit(None).cast("string")).otherwise(zfill(d, width))
 
 
+@functools.lru_cache(maxsize=1)
 def _title_specials() -> dict[str, str]:
     """Characters whose title case differs from their upper case (ß -> Ss,
     the dz/lj/nj digraphs, ligatures...), derived from Python's own tables."""
@@ -100,9 +101,6 @@ def _title_specials() -> dict[str, str]:
     return out
 
 
-_TITLE_SPECIALS = _title_specials()
-
-
 def title_case(c) -> Column:
     """Python ``str.title()``: a cased letter is title-cased when the previous
     character is not cased, lower-cased otherwise (so letters after digits,
@@ -111,19 +109,20 @@ def title_case(c) -> Column:
     characters and rebuilt with ``transform``."""
     c = as_col(c)
     chars = F.split(c, "")
-    specials = F.create_map(*[F.lit(x) for kv in _TITLE_SPECIALS.items() for x in kv])
+    specials = F.create_map(*[F.lit(x) for kv in _title_specials().items() for x in kv])
+    cased = _cased_class()
 
     def title(ch):
         return F.coalesce(specials[ch], F.upper(ch))
 
     def lower(ch, i):
         nxt = F.when(i + 1 < F.size(chars), F.element_at(chars, i + 2))
-        final_sigma = (ch == "Σ") & ~F.coalesce(nxt.rlike(f"^{_CASED}$"), F.lit(False))
+        final_sigma = (ch == "Σ") & ~F.coalesce(nxt.rlike(f"^{cased}$"), F.lit(False))
         return F.when(final_sigma, F.lit("ς")).otherwise(F.lower(ch))
 
     rebuilt = F.array_join(
         F.transform(chars, lambda ch, i: F.when(i == 0, title(ch))
-                    .when(F.element_at(chars, i).rlike(f"^{_CASED}$"), lower(ch, i))
+                    .when(F.element_at(chars, i).rlike(f"^{cased}$"), lower(ch, i))
                     .otherwise(title(ch))), "")
     return F.when(c.isNull(), c).when(c == "", c).otherwise(rebuilt)
 
