@@ -3,7 +3,9 @@ JSON line ``{"metric", "value", "unit", "queries", "sf", ...}``.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
 (default 8), ``BENCH_QUERIES`` (comma-separated name prefixes; default all),
-``BENCH_WARM`` (1 = also time a second, warm run), ``BENCH_SHARED`` (1 =
+``BENCH_WARM`` (1 = also time a second, warm run), ``BENCH_EVENTLOG`` (a
+scratch folder: write Spark's event log there for stage and task times),
+``BENCH_SHARED`` (1 =
 batch mode: the delivered customer-order join and per-order payment totals
 are materialised once, timed as ``shared_base`` and included in the total).
 
@@ -37,8 +39,11 @@ def main() -> None:
     from revlens.session import build_session
     from revlens.sources.adapters import load_tables
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENTLOG"):
+        extra.update({"spark.eventLog.enabled": "true",
+                      "spark.eventLog.dir": os.environ["BENCH_EVENTLOG"]})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, extra=extra)
     tables = load_tables(spark, sf_dir)
     # JVM start-up and first-use class loading are not query time
     spark.range(1_000_000).selectExpr("sum(id)").collect()

@@ -53,3 +53,17 @@ def ingest_to_folder(root: str, fmt: str = "parquet"):
     def sink(df: DataFrame, name: str) -> None:
         write_table(df, name, path=f"{root.rstrip('/')}/{name}", fmt=fmt)
     return sink
+
+
+def register_tables(tables: dict[str, DataFrame], prefix: str = "") -> list[str]:
+    """Register every table of a table dict as a temporary view (names with
+    an optional prefix), so analysts can keep querying them with
+    ``spark.sql``. Internal entries (leading underscore) are skipped."""
+    names = []
+    for name, df in tables.items():
+        if name.startswith("_"):
+            continue
+        view = f"{prefix}{name}"
+        df.createOrReplaceTempView(view)
+        names.append(view)
+    return names

@@ -92,3 +92,17 @@ def test_foreach_batch_sink(spark, small_tables):
     q.awaitTermination(120)
     assert spark.read.parquet(out).select("order_month").distinct().count() == \
         qry_10_monthly_revenue(small_tables).count()
+
+
+def test_register_tables_for_sql(spark, small_tables):
+    from revlens.sources.sinks import register_tables
+    names = register_tables(small_tables, prefix="ec_")
+    assert "ec_orders" in names and "ec_payments" in names
+    got = spark.sql("""
+        SELECT trunc(CAST(o.order_purchase_timestamp AS DATE), 'MM') AS m,
+               ROUND(SUM(p.payment_value), 2) AS revenue
+        FROM ec_orders o JOIN ec_payments p ON o.order_id = p.order_id
+        WHERE o.order_status = 'delivered' GROUP BY 1""").collect()
+    ref = {r.order_month.date(): r.monthly_revenue
+           for r in qry_10_monthly_revenue(small_tables).collect()}
+    assert {r.m: r.revenue for r in got} == ref
