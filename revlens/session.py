@@ -75,11 +75,33 @@ def cut_lineage(df):
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/revlens-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{_MATERIALIZED_PREFIX}{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+_MATERIALIZED_PREFIX = "revlens-"
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Delete the intermediate tables ``cut_lineage`` wrote to the checkpoint
+    folder. Call it at the end of a batch, once no DataFrame built earlier in
+    the session will run again. Returns the number of folders removed."""
+    root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        return 0
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    removed = 0
+    if fs.exists(path):
+        for st in fs.listStatus(path):
+            if st.getPath().getName().startswith(_MATERIALIZED_PREFIX):
+                fs.delete(st.getPath(), True)
+                removed += 1
+    return removed
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

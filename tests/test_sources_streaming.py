@@ -106,3 +106,10 @@ def test_register_tables_for_sql(spark, small_tables):
     ref = {r.order_month.date(): r.monthly_revenue
            for r in qry_10_monthly_revenue(small_tables).collect()}
     assert {r.m: r.revenue for r in got} == ref
+
+
+def test_cut_lineage_and_cleanup(spark):
+    from revlens.session import clear_materialized, cut_lineage
+    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.count() == 10 and df.agg(F.sum("x")).collect()[0][0] == 90
+    assert clear_materialized(spark) >= 1
