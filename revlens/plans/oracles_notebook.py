@@ -544,8 +544,9 @@ SQL["prf_03_null_counts"] = oracle("\nUNION ALL\n".join(
 def _describe(col: str) -> str:
     stats = [("count", f"CAST(COUNT({col}) AS DOUBLE)"), ("mean", f"round(AVG({col}), 6)"),
              ("std", f"round(stddev_samp({col}), 6)"), ("min", f"CAST(MIN({col}) AS DOUBLE)"),
-             ("25%", f"quantile_cont({col}, 0.25)"), ("50%", f"quantile_cont({col}, 0.5)"),
-             ("75%", f"quantile_cont({col}, 0.75)"), ("max", f"CAST(MAX({col}) AS DOUBLE)")]
+             ("25%", f"round(quantile_cont({col}, 0.25), 11)"),
+             ("50%", f"round(quantile_cont({col}, 0.5), 11)"),
+             ("75%", f"round(quantile_cont({col}, 0.75), 11)"), ("max", f"CAST(MAX({col}) AS DOUBLE)")]
     return "\nUNION ALL\n".join(
         f"SELECT '{col}' AS \"column\", '{name}' AS statistic, CAST({expr} AS DOUBLE) AS value "
         f"FROM cl_payments" for name, expr in stats)
@@ -612,8 +613,8 @@ SELECT CAST(COUNT(*) AS BIGINT) AS "rows",
        CAST(SUM(CASE WHEN coalesce(price < pl OR price > pu, false)
                       OR coalesce(freight_value < fl OR freight_value > fu, false)
                 THEN 1 ELSE 0 END) AS BIGINT) AS outliers,
-       ANY_VALUE(pl) AS price_lower, ANY_VALUE(pu) AS price_upper,
-       ANY_VALUE(fl) AS freight_value_lower, ANY_VALUE(fu) AS freight_value_upper,
+       round(ANY_VALUE(pl), 11) AS price_lower, round(ANY_VALUE(pu), 11) AS price_upper,
+       round(ANY_VALUE(fl), 11) AS freight_value_lower, round(ANY_VALUE(fu), 11) AS freight_value_upper,
        SUM(CASE WHEN coalesce(price < pl OR price > pu, false)
                   OR coalesce(freight_value < fl OR freight_value > fu, false)
                 THEN 1 ELSE 0 END) * 100.0 / COUNT(*) AS outlier_pct

@@ -43,9 +43,13 @@ def prf_04_describe_payments(t: Tables) -> DataFrame:
     """``describe()`` of the cleaned payments' value and installments."""
     pay = clean_tables(t)["payments"]
     d = P.describe_numeric(pay, ["payment_value", "payment_installments"])
-    # mean and std are shown to 6 places so the summation order cannot show
+    # mean and std are shown to 6 places so the summation order cannot show,
+    # interpolated quartiles to 11 places (engines interpolate with different
+    # operation orders, which differ in the last binary digit)
     return d.withColumn("value", F.when(F.col("statistic").isin("mean", "std"),
-                                        F.round("value", 6)).otherwise(F.col("value")))
+                                        F.round("value", 6))
+                        .when(F.col("statistic").isin("25%", "50%", "75%"), F.round("value", 11))
+                        .otherwise(F.col("value")))
 
 
 def prf_04_describe_text_orders(t: Tables) -> DataFrame:
@@ -94,7 +98,10 @@ def prf_09_duplicates(t: Tables) -> DataFrame:
 
 
 def prf_10_item_outliers(t: Tables) -> DataFrame:
-    return P.iqr_outliers(clean_tables(t)["items"], ["price", "freight_value"])
+    out = P.iqr_outliers(clean_tables(t)["items"], ["price", "freight_value"])
+    bounds = [c for c in out.columns if c.endswith(("_lower", "_upper"))]
+    # bounds shown to 11 places (interpolation order differs between engines)
+    return out.select(*[F.round(c, 11).alias(c) if c in bounds else F.col(c) for c in out.columns])
 
 
 def prf_11_parse_failures(t: Tables) -> DataFrame:
