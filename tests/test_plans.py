@@ -39,3 +39,10 @@ def test_global_ntile_partitions_by_bucket(spark, small_tables, multi_bucket):
     windows = [m for m in re.finditer(r"Window \[row_number\(\)", plan)]
     assert len(windows) == 3
     assert df.count() > 0
+
+
+def test_python_only_where_city_text_is_output(small_tables):
+    # NFKD (Arrow pandas UDF) runs in the seller cleaning output, but is
+    # pruned from analyses that only need the seller's ZIP
+    assert "ArrowEvalPython" in _plan(REGISTRY["cln_03_sellers"](small_tables))
+    assert "EvalPython" not in _plan(REGISTRY["ana_06_distance_bins"](small_tables))
