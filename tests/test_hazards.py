@@ -143,3 +143,19 @@ def test_h17_ties_broken_by_key(spark):
     assert first.first_order_id == 10
     buyer = q.churn_flags(t).collect()[0]
     assert buyer.buyer_type == "One-time Buyer"      # first == last timestamp
+
+
+def test_person_with_several_customer_ids(spark):
+    # customer_id is per order address; customer_unique_id is the person
+    cust = [(1, 100, 1, "c", "SP"), (2, 100, 1, "c", "SP"), (3, 300, 1, "c", "RJ")]
+    orders = [_order(10, 1, D(2018, 1, 1)), _order(11, 2, D(2018, 3, 1)),
+              _order(12, 3, D(2018, 3, 1))]
+    pays = [(10, 1, "boleto", 1, 10.0), (11, 1, "boleto", 1, 20.0), (12, 1, "voucher", 2, 5.0)]
+    t = tables(spark, customers=cust, orders=orders, payments=pays)
+    rfm = {r.customer_unique_id: (r.frequency, r.total_spent) for r in q.rfm_scores(t).collect()}
+    assert rfm == {100: (2, 30.0), 300: (1, 5.0)}
+    buyers = {r.customer_unique_id: r.buyer_type for r in q.churn_flags(t).collect()}
+    assert buyers == {100: "Repeat Buyer", 300: "One-time Buyer"}
+    seg = {r.customer_unique_id: r.customer_segment
+           for r in q.qry_11_rfm_customer_segments(t).collect()}
+    assert seg[300] == "Single Purchase" and seg[100] != "Single Purchase"
