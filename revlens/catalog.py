@@ -70,6 +70,7 @@ REGISTRY: dict[str, TableQuery] = {
     "prf_04_describe_payments": prf.prf_04_describe_payments,
     "prf_04_describe_text_orders": prf.prf_04_describe_text_orders,
     "prf_05_payment_type_counts": prf.prf_05_payment_type_counts,
+    "prf_05_category_counts_with_nulls": prf.prf_05_category_counts_with_nulls,
     "prf_06_customer_cardinality": prf.prf_06_customer_cardinality,
     "prf_07_products_quality": prf.prf_07_products_quality,
     "prf_08_customer_rules": prf.prf_08_customer_rules,

@@ -686,3 +686,8 @@ SELECT customer_unique_id,
          FILTER (WHERE order_delivered_customer_date IS NOT NULL) AS order_delivered_customer_date
 FROM sco GROUP BY 1
 """, _CO)
+
+SQL["prf_05_category_counts_with_nulls"] = oracle("""
+SELECT product_category_name, COUNT(*) AS count FROM src_products
+GROUP BY product_category_name ORDER BY count DESC, product_category_name NULLS FIRST
+""")

@@ -62,6 +62,12 @@ def prf_05_payment_type_counts(t: Tables) -> DataFrame:
     return P.value_counts(t["payments"], "payment_type")
 
 
+def prf_05_category_counts_with_nulls(t: Tables) -> DataFrame:
+    """``value_counts(dropna=False)`` of the raw product category (NULL is a
+    group of its own)."""
+    return P.value_counts(t["products"], "product_category_name", dropna=False)
+
+
 def prf_06_customer_cardinality(t: Tables) -> DataFrame:
     c = clean_tables(t)["customers"]
     return P.distinct_counts(c, ["customer_unique_id", "customer_city", "customer_state"])
