@@ -91,21 +91,26 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``describe()`` of text columns: count, unique, top, freq per column
-    (top ties broken by the smaller value)."""
+    (top ties broken by the smaller value). One scan: the columns are stacked
+    as (column, value), counted per pair with a partial aggregate, and the
+    per-column statistics are read off those counts."""
     cols = list(cols or text_columns(df))
-    parts = []
-    for c in cols:
-        stats = df.agg(F.count(c).alias("count"), F.countDistinct(c).alias("unique"))
-        top = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v"))
-               .agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.min_by(F.col("v"), F.struct(-F.col("n"), F.col("v"))).alias("top"),
-                    F.max("n").alias("freq")))
-        parts.append(with_scalars(stats, top).select(
-            F.lit(c).alias("column"), "count", "unique", "top", "freq"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(c).alias("v"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.*").where(F.col("v").isNotNull())
+    pairs = stacked.groupBy("i", "column", "v").agg(F.count(F.lit(1)).alias("n"))
+    stats = (pairs.groupBy("i", "column")
+             .agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+                  F.min_by(F.col("v"), F.struct(-F.col("n"), F.col("v"))).alias("top"),
+                  F.max("n").alias("freq")))
+    # columns without any non-null value still get a row (count 0)
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)],
+                                            "i int, column string")
+    return (F.broadcast(names).join(stats, ["i", "column"], "left")
+            .select("column", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+                    F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"),
+                    "top", F.col("freq").cast("bigint").alias("freq"), "i")
+            .orderBy("i").drop("i"))
 
 
 def quality_table(df: DataFrame, unknown: str = "unknown") -> DataFrame:
