@@ -451,7 +451,7 @@ SELECT COUNT(*) AS customers,
          AS repeat_customers,
        round(AVG(CASE WHEN customer_segment <> 'Single Purchase' THEN 1.0 ELSE 0.0 END) * 100, 4)
          AS repeat_rate_pct
-FROM rfm_segments
+FROM person_segments
 """)
 
 # --------------------------------------------------------------------------
