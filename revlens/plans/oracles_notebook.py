@@ -205,36 +205,36 @@ first_o AS (
     SELECT customer_unique_id, order_id,
       ROW_NUMBER() OVER (PARTITION BY customer_unique_id
                          ORDER BY order_purchase_timestamp, order_id) AS rn FROM oc) WHERE rn = 1),
-rep_people AS (SELECT customer_unique_id, COUNT(*) > 1 AS rep FROM oc GROUP BY customer_unique_id),
-first_rev AS (
+repeat_people AS (SELECT customer_unique_id, COUNT(*) > 1 AS rep FROM oc GROUP BY customer_unique_id),
+first_order_reviews AS (
   SELECT f.customer_unique_id, f.order_id, r.review_score, p.rep
   FROM first_o f LEFT JOIN src_reviews r ON f.order_id = r.order_id
-  JOIN rep_people p ON f.customer_unique_id = p.customer_unique_id)
+  JOIN repeat_people p ON f.customer_unique_id = p.customer_unique_id)
 """
 
 SQL["ana_04_first_review_repeat"] = oracle("""
 SELECT review_score, AVG(CAST(rep AS INTEGER)) AS repeat
-FROM first_rev WHERE review_score IS NOT NULL GROUP BY review_score ORDER BY review_score
+FROM first_order_reviews WHERE review_score IS NOT NULL GROUP BY review_score ORDER BY review_score
 """, NB + "," + _OC + "," + _FIRST)
 
 _CAT = """
-cat AS (
+item_categories AS (
   SELECT oc.customer_unique_id,
          coalesce(t.product_category_name_english, p.product_category_name) AS category
   FROM src_items i JOIN cl_products p ON i.product_id = p.product_id
   JOIN oc ON i.order_id = oc.order_id
   LEFT JOIN src_translation t ON p.product_category_name = t.product_category_name),
-cust_total AS (SELECT customer_unique_id, COUNT(*) AS total_orders FROM cat GROUP BY 1),
-cust_cat AS (SELECT DISTINCT customer_unique_id, category FROM cat WHERE category IS NOT NULL),
-cat_rate AS (
+person_rows AS (SELECT customer_unique_id, COUNT(*) AS total_orders FROM item_categories GROUP BY 1),
+person_cat_pairs AS (SELECT DISTINCT customer_unique_id, category FROM item_categories WHERE category IS NOT NULL),
+category_rates AS (
   SELECT cc.category, COUNT(cc.customer_unique_id) AS customers,
          AVG(CASE WHEN ct.total_orders > 1 THEN 1 ELSE 0 END) AS repeat_rate
-  FROM cust_cat cc JOIN cust_total ct ON cc.customer_unique_id = ct.customer_unique_id
+  FROM person_cat_pairs cc JOIN person_rows ct ON cc.customer_unique_id = ct.customer_unique_id
   GROUP BY cc.category HAVING COUNT(cc.customer_unique_id) >= 50)
 """
 
 SQL["ana_05_category_repeat"] = oracle("""
-SELECT category, customers, repeat_rate FROM cat_rate
+SELECT category, customers, repeat_rate FROM category_rates
 ORDER BY repeat_rate DESC, category LIMIT 10
 """, NB + "," + _OC + "," + _CAT)
 
@@ -271,15 +271,15 @@ agg AS (SELECT distance_bin, AVG(delivery_days) AS avg_delivery_days,
 """)
 
 _SELLER_ROWS = """
-seller_avg AS (
+seller_mean_score AS (
   SELECT i.seller_id, AVG(r.review_score) AS avg_seller_rating
   FROM src_reviews r JOIN src_items i ON r.order_id = i.order_id GROUP BY i.seller_id),
-cust_n AS (SELECT customer_unique_id, COUNT(*) AS total FROM oc GROUP BY 1),
-srows AS (
+person_order_rows AS (SELECT customer_unique_id, COUNT(*) AS total FROM oc GROUP BY 1),
+seller_item_rows AS (
   SELECT oc.order_id, i.seller_id, sa.avg_seller_rating, cn.total > 1 AS rep
   FROM oc JOIN src_items i ON oc.order_id = i.order_id
-  JOIN seller_avg sa ON i.seller_id = sa.seller_id
-  JOIN cust_n cn ON oc.customer_unique_id = cn.customer_unique_id)
+  JOIN seller_mean_score sa ON i.seller_id = sa.seller_id
+  JOIN person_order_rows cn ON oc.customer_unique_id = cn.customer_unique_id)
 """
 
 SQL["ana_07_seller_rating_bins"] = oracle("""
@@ -294,7 +294,7 @@ LEFT JOIN (
               WHEN avg_seller_rating > 4 AND avg_seller_rating <= 5 THEN '4-5 (excellent)' END
            AS rating_bin,
          AVG(CAST(rep AS INTEGER)) AS rr, COUNT(rep) AS n
-  FROM srows GROUP BY 1) a ON a.rating_bin = b.rating_bin
+  FROM seller_item_rows GROUP BY 1) a ON a.rating_bin = b.rating_bin
 ORDER BY b.bin_order
 """, NB + "," + _OC + "," + _SELLER_ROWS)
 
@@ -341,15 +341,15 @@ SELECT 'one_time_buyers_pct' AS metric, CAST(NULL AS VARCHAR) AS label,
 UNION ALL
 SELECT 'repeat_rate_by_first_review_score_pct', CAST(review_score AS VARCHAR),
        round_even(AVG(CAST(rep AS INTEGER)) * 100, 1)
-FROM first_rev WHERE review_score IS NOT NULL GROUP BY review_score
+FROM first_order_reviews WHERE review_score IS NOT NULL GROUP BY review_score
 UNION ALL
 SELECT 'top_row_of_last_result_pct', segment, repeat_rate * 100 FROM aov_seg WHERE bin_order = 1
 UNION ALL
-SELECT * FROM (SELECT 'top_category_repeat_rate_pct', category, repeat_rate * 100 FROM cat_rate
+SELECT * FROM (SELECT 'top_category_repeat_rate_pct', category, repeat_rate * 100 FROM category_rates
                ORDER BY repeat_rate DESC, category LIMIT 1)
 UNION ALL
 SELECT 'high_rated_seller_repeat_pct', CAST(NULL AS VARCHAR), AVG(CAST(rep AS INTEGER)) * 100
-FROM srows WHERE avg_seller_rating >= 4
+FROM seller_item_rows WHERE avg_seller_rating >= 4
 """, NB + "," + _OC + "," + _FL + "," + _FIRST + "," + _AOV + "," + _CAT + "," + _SELLER_ROWS)
 
 SQL["ana_11_customer_overview"] = oracle("""
