@@ -1,0 +1,3 @@
+"""Named analyses (SQL and notebook versions), README findings, cleaning
+pipelines, quality reports, single-operator queries and their DuckDB
+oracles."""

@@ -1,0 +1 @@
+"""Readers (test-table adapter, CSV, folder ingest), schemas and sinks."""
