@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revlens.llm.common import read
 from revlens.llm.line_dedup import LINE_DEDUP_SQL, op10_line_dedup
+from revlens.llm.mixing import op5_mixing
+from revlens.llm.pieces import default_model, op3_sentencepiece
+from revlens.llm.simhash import op6_simhash_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_sentencepiece": lambda spark, d: op3_sentencepiece(read(spark, d, "documents"), default_model()),
+    "op5_mixing": lambda spark, d: op5_mixing(read(spark, d, "documents")),
+    "op6_simhash_near_dedup": lambda spark, d: op6_simhash_near_dedup(read(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: op10_line_dedup(read(spark, d, "documents")),
 }
 
