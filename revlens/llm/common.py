@@ -7,14 +7,17 @@ bytes instead of one Python object for each word.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.session import cut_lineage
+from revlens.session import cut_lineage, ensure_checkpoint_dir
 
 #: Rows and bytes of one Arrow batch sent to a Python worker. Documents may
 #: hold 100 kB and more, so Spark's default of 10,000 rows would not bound a
@@ -27,8 +30,28 @@ BATCH_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 18
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever they run, by way of
+    the shared checkpoint folder."""
+    sc = spark.sparkContext
+    name = f"{__package__.partition('.')[0]}.zip"
+    if name in sc._python_includes:
+        return
+    root, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Limit the Arrow batches that this session sends to Python workers."""
+    """Limit the Arrow batches that this session sends to Python workers, and
+    send them this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import written
+from revlens.llm.common import ship, written
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -147,6 +147,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     """``(doc_id, source, text_hash, size, source_size, target, copies)`` for
     every row."""
     spark = docs.sparkSession
+    ship(spark)
     text = F.coalesce("text", F.lit(""))
     sized = written(docs.select(
         "doc_id", "source", F.xxhash64(text).alias("text_hash"),
