@@ -43,7 +43,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 #: Documents, besides the last two of the flight, that the landing decides.
 LANDING = 12
 #: Above this many sources their table is joined like any other table.
