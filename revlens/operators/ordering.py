@@ -2,28 +2,28 @@
 
 ``Window.orderBy`` without ``partitionBy`` (NTILE over all customers, a
 global running total, rank over a whole column) sends every row to one task.
-The operators here compute the same values with range buckets instead:
-
-1. The order is made total by appending unique key columns, and encoded as
-   one ascending struct ``o`` (DESC numeric values are negated; a null flag
-   puts NULLs first or last as asked).
-2. A small seeded sample of ``o`` gives ``p - 1`` bounds, embedded in the
-   plan as literals; a binary CASE tree maps each row to its bucket in
-   ``log2(p)`` comparisons. Literal bounds keep the bucket of a row fixed even
-   when a stage is recomputed after an executor loss. The sample only
-   affects balance, never results. Because the unique key is part of ``o``,
-   a value shared by a third of all rows is still split across buckets.
-3. Per-bucket counts/sums (at most ``p`` rows, so broadcasting them is
-   bounded) give prefix offsets.
-4. A window partitioned by bucket numbers rows (or sums weights) inside each
-   bucket; adding the offset gives the global position / running total.
-
-Only scalars and the ``p`` bounds ever reach the driver.
+The operators here compute the same values in one way at every size:
+
+1. The order is made total by appending unique key columns; Spark's
+   ``repartitionByRange`` deals the rows out by it and sorts each partition.
+   Because the key is part of the order, a value shared by a third of all
+   rows is still split across partitions.
+2. ``monotonically_increasing_id`` gives each row its partition number and its
+   place there. Both are stored with the rows in the shared checkpoint folder,
+   so a partition that is computed again after an executor loss can't shift.
+3. One count or sum for each partition gives the offsets (as many rows as
+   partitions; they pass through the driver and are broadcast).
+4. Place plus offset is the global position; a running sum needs one window
+   within the partition, plus the offset.
+
+Functions of this module therefore run jobs when they are called: a range
+sample, a write and the counts for each different order. The number of
+partitions is ``revlens.order.partitions``, by default
+``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,31 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions._col import as_col
-from revlens.session import cut_lineage
+from revlens.operators.relational import join_null_safe
+from revlens.session import cut_lineage, discard
 
-_ROWS_PER_BUCKET_CONF = "revlens.order.rowsPerBucket"
-_MAX_BUCKETS_CONF = "revlens.order.maxBuckets"
-_DEFAULT_ROWS_PER_BUCKET = 250_000
-_DEFAULT_MAX_BUCKETS = 4096
-_SAMPLES_PER_BUCKET = 32
-_IN_MEMORY_VALUES_CONF = "revlens.quantile.maxInMemoryValues"
-_DEFAULT_IN_MEMORY_VALUES = 2_000_000
+PARTITIONS_CONF = "revlens.order.partitions"
+#: ``monotonically_increasing_id`` keeps the place in a partition in its lower
+#: 33 bits and the partition above.
+_PLACE_BITS = 33
 
 
 @dataclass(frozen=True)
 class Sort:
-    """One sort term. ``desc`` needs a numeric column (it is negated)."""
+    """One sort term."""
     col: str | Column
     desc: bool = False
     nulls_first: bool | None = None  # default: ASC nulls first, DESC nulls last (Spark)
 
-    def terms(self) -> list[Column]:
-        c = as_col(self.col)
-        nulls_first = (not self.desc) if self.nulls_first is None else self.nulls_first
-        null_flag = c.isNotNull() if nulls_first else c.isNull()
-        value = -c if self.desc else c
-        return [null_flag, value]
-
     def spark_order(self) -> Column:
         c = as_col(self.col)
         nulls_first = (not self.desc) if self.nulls_first is None else self.nulls_first
@@ -69,60 +60,6 @@ def _as_sorts(order: Sequence[Sort | str]) -> list[Sort]:
     return [s if isinstance(s, Sort) else Sort(s) for s in order]
 
 
-def _order_struct(order: Sequence[Sort], keys: Sequence[str]) -> Column:
-    fields = []
-    for i, s in enumerate(order):
-        flag, value = s.terms()
-        fields += [flag.alias(f"n{i}"), value.alias(f"v{i}")]
-    fields += [F.col(k).alias(f"k{j}") for j, k in enumerate(keys)]
-    return F.struct(*fields)
-
-
-def _conf_int(spark, name: str, default: int) -> int:
-    try:
-        return int(spark.conf.get(name, str(default)))
-    except Exception:  # noqa: BLE001 - unset or malformed conf falls back
-        return default
-
-
-def _bounds(df: DataFrame, o: Column, n_rows: int, n_buckets: int, seed: int) -> list:
-    """Pick ``n_buckets - 1`` sorted split points of ``o`` from a sample."""
-    if n_buckets <= 1 or n_rows == 0:
-        return []
-    want = n_buckets * _SAMPLES_PER_BUCKET
-    fraction = min(1.0, want / n_rows)
-    sample = (df.select(o.alias("o")).sample(False, fraction, seed)
-              .orderBy("o").collect())  # bounded: ~n_buckets * 32 rows
-    if not sample:
-        return []
-    picks = []
-    for b in range(1, n_buckets):
-        picks.append(sample[min(len(sample) - 1, (b * len(sample)) // n_buckets)]["o"])
-    # drop duplicates while keeping order
-    out = []
-    for p in picks:
-        if not out or p != out[-1]:
-            out.append(p)
-    return out
-
-
-def _literal_struct(row, struct_type: T.StructType) -> Column:
-    return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name)
-                      for i, f in enumerate(struct_type.fields)])
-
-
-def _bucket_expr(o: Column, bounds: list, struct_type: T.StructType) -> Column:
-    lits = [_literal_struct(b, struct_type) for b in bounds]
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(o < lits[mid - 1], build(lo, mid - 1)).otherwise(build(mid, hi))
-
-    return build(0, len(lits))
-
-
 @dataclass(frozen=True)
 class Rank:
     """One ordering to number (``weight`` None) or to sum ``weight`` over.
@@ -137,92 +74,72 @@ class Rank:
     total: str | None = None
 
 
-def _n_buckets(spark, n_rows: int) -> int:
-    per_bucket = _conf_int(spark, _ROWS_PER_BUCKET_CONF, _DEFAULT_ROWS_PER_BUCKET)
-    max_buckets = _conf_int(spark, _MAX_BUCKETS_CONF, _DEFAULT_MAX_BUCKETS)
-    return max(1, min(max_buckets, math.ceil(n_rows / max(1, per_bucket))))
+def _partitions(spark) -> int:
+    return int(spark.conf.get(PARTITIONS_CONF, None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_totals(df: DataFrame, ranks: Sequence[Rank], *, n_rows: int | None = None,
-                   seed: int = 7, materialize: bool | None = None) -> DataFrame:
-    """Add one running row number / running sum column per ``Rank``.
+def _placed(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str]) -> DataFrame:
+    """The rows of ``df``, stored in range partitions of the total order, with
+    partition ``_p`` and place ``_i`` (from 0) in it."""
+    terms = [*[s.spark_order() for s in _as_sorts(order)], *[F.col(k).asc() for k in keys]]
+    stored = cut_lineage(df.repartitionByRange(_partitions(df.sparkSession), *terms)
+                         .sortWithinPartitions(*terms).withColumn("_at", F.monotonically_increasing_id()))
+    return (stored.withColumn("_p", F.shiftright("_at", _PLACE_BITS).cast("int"))
+            .withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).drop("_at"))
+
 
-    All orders share one bucketed base: bucket ids for every order are
-    computed in a single projection, each order's per-bucket offsets are
-    aggregated from that base (so later orders never re-run earlier
-    windows), and the windows are then applied one after the other.
-    ``keys`` must make each order total for a deterministic result.
+def _offsets(placed: DataFrame, weight: Column) -> DataFrame:
+    """``(_p, _off, _tot)``: what comes before each partition, and all."""
+    sums = placed.groupBy("_p").agg(F.sum(weight).alias("_w"))
+    kind = sums.schema["_w"].dataType
+    rows, before = [], None
+    for r in sorted(sums.collect(), key=lambda r: r["_p"]):  # one row per partition
+        rows.append((r["_p"], before))
+        if r["_w"] is not None:
+            before = r["_w"] if before is None else before + r["_w"]
+    schema = T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_off", kind),
+                           T.StructField("_tot", kind)])
+    table = placed.sparkSession.createDataFrame([(p, off, before) for p, off in rows], schema)
+    return F.broadcast(table.withColumn("_off", F.coalesce("_off", F.lit(0).cast(kind))))
 
-    The input is read several times (count, samples, offsets, windows). With
-    ``materialize=None`` (default) it is written once to the checkpoint
-    folder as soon as more than one range bucket is needed, i.e. whenever it
-    is large; ``True``/``False`` force the choice.
+
+def running_totals(df: DataFrame, ranks: Sequence[Rank]) -> DataFrame:
+    """Add one running row number / running sum column per ``Rank``.
+
+    ``keys`` must make each order total for a deterministic result. Ranks of
+    one order share its partitions; every other order is dealt out anew.
     """
-    spark = df.sparkSession
-    if materialize:
-        df = cut_lineage(df)
-        n_rows = None
-    if n_rows is None:
-        n_rows = df.count()
-    n_buckets = _n_buckets(spark, n_rows)
-    if materialize is None and n_buckets > 1:
-        df = cut_lineage(df)
-    cols = []
-    for i, r in enumerate(ranks):
-        order = _as_sorts(r.order)
-        o = _order_struct(order, r.keys)
-        if n_buckets > 1:
-            struct_type = df.select(o.alias("o")).schema["o"].dataType
-            bounds = _bounds(df, o, n_rows, n_buckets, seed + i)
-            cols.append(_bucket_expr(o, bounds, struct_type).alias(f"_b{i}"))
-        else:
-            cols.append(F.lit(0).alias(f"_b{i}"))
+    out, placed, last = df, None, None
+    for r in ranks:
+        order = (tuple(_as_sorts(r.order)), tuple(r.keys))
+        if placed is None or repr(order) != last:
+            before, placed = placed, _placed(out.drop("_p", "_i"), r.order, r.keys)
+            if before is not None:
+                discard(before)
+            out, last = placed, repr(order)
         w = F.lit(1).cast("bigint") if r.weight is None else as_col(r.weight)
-        cols.append(w.alias(f"_w{i}"))
-    base = df.select("*", *cols)
-    out = base
-    for i, r in enumerate(ranks):
-        order = _as_sorts(r.order)
-        b, w = f"_b{i}", f"_w{i}"
-        per_bucket = base.groupBy(b).agg(F.sum(w).alias("_bw"))
-        zero = F.lit(0).cast(per_bucket.schema["_bw"].dataType)
-        # at most maxBuckets rows: this window and the broadcast are bounded
-        before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = per_bucket.select(
-            b, F.coalesce(F.sum("_bw").over(before), zero).alias(f"_off{i}"),
-            F.sum("_bw").over(Window.partitionBy()).alias(f"_tot{i}"))
-        by_bucket = (Window.partitionBy(b)
-                     .orderBy(*[s.spark_order() for s in order],
-                              *[F.col(k).asc() for k in r.keys]))
-        local = (F.row_number().over(by_bucket) if r.weight is None else
-                 F.sum(w).over(by_bucket.rowsBetween(Window.unboundedPreceding,
-                                                     Window.currentRow)))
-        out = (out.withColumn(f"_loc{i}", local)
-               .join(F.broadcast(offsets), b)
-               .withColumn(r.out, F.col(f"_loc{i}") + F.col(f"_off{i}")))
+        here = (F.col("_i") + 1 if r.weight is None else F.coalesce(F.sum(w).over(
+            Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+        out = out.withColumn("_here", here).join(_offsets(placed, w), "_p").withColumn(
+            r.out, F.col("_here") + F.col("_off"))
         if r.total:
-            out = out.withColumn(r.total, F.col(f"_tot{i}"))
-        out = out.drop(f"_loc{i}", f"_off{i}", f"_tot{i}")
-    return out.drop(*[f"_b{i}" for i in range(len(ranks))],
-                    *[f"_w{i}" for i in range(len(ranks))])
+            out = out.withColumn(r.total, F.col("_tot"))
+        out = out.drop("_here", "_off", "_tot")
+    return out.drop("_p", "_i")
 
 
 def running_total(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
                   weight: str | Column | None = None, out: str = "_cum",
-                  total: str | None = "_total", n_rows: int | None = None,
-                  seed: int = 7, materialize: bool | None = None) -> DataFrame:
+                  total: str | None = "_total") -> DataFrame:
     """Inclusive running total of ``weight`` (1 per row when None) under the
     total order ``order + keys``; optionally the grand total as ``total``."""
-    return running_totals(df, [Rank(order, keys, out, weight, total)], n_rows=n_rows, seed=seed,
-                          materialize=materialize)
+    return running_totals(df, [Rank(order, keys, out, weight, total)])
 
 
 def global_position(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str], *,
-                    out: str = "_pos", total: str | None = "_n", n_rows: int | None = None,
-                    seed: int = 7, materialize: bool | None = None) -> DataFrame:
+                    out: str = "_pos", total: str | None = "_n") -> DataFrame:
     """1-based ROW_NUMBER over the whole DataFrame, computed distributed."""
-    return running_total(df, order, keys, weight=None, out=out, total=total,
-                         n_rows=n_rows, seed=seed, materialize=materialize)
+    return running_total(df, order, keys, weight=None, out=out, total=total)
 
 
 def ntile_from_position(pos, n, k: int) -> Column:
@@ -235,19 +152,16 @@ def ntile_from_position(pos, n, k: int) -> Column:
             .otherwise(m + F.floor((r - 1 - big) / F.greatest(q, F.lit(1))) + 1)).cast("int")
 
 
-def ntile(df: DataFrame, k: int, order: Sequence[Sort | str], keys: Sequence[str], out: str,
-          *, n_rows: int | None = None, seed: int = 7, materialize: bool | None = None) -> DataFrame:
+def ntile(df: DataFrame, k: int, order: Sequence[Sort | str], keys: Sequence[str], out: str) -> DataFrame:
     """Distributed ``NTILE(k) OVER (ORDER BY order..., keys...)``."""
-    return ntiles(df, k, [(order, keys, out)], n_rows=n_rows, seed=seed,
-                  materialize=materialize)
+    return ntiles(df, k, [(order, keys, out)])
 
 
-def ntiles(df: DataFrame, k: int, specs: Sequence[tuple], *, n_rows: int | None = None,
-           seed: int = 7, materialize: bool | None = None) -> DataFrame:
+def ntiles(df: DataFrame, k: int, specs: Sequence[tuple]) -> DataFrame:
     """Several ``NTILE(k)`` columns at once; ``specs`` = [(order, keys, out)]."""
     ranks = [Rank(order, keys, f"_p{i}", None, "_n" if i == 0 else None)
              for i, (order, keys, _) in enumerate(specs)]
-    pos = running_totals(df, ranks, n_rows=n_rows, seed=seed, materialize=materialize)
+    pos = running_totals(df, ranks)
     for i, (_, _, out) in enumerate(specs):
         pos = pos.withColumn(out, ntile_from_position(f"_p{i}", "_n", k))
     return pos.drop("_n", *[f"_p{i}" for i in range(len(specs))])
@@ -266,88 +180,61 @@ def qcut_rank_tile(pos, n, q: int = 4) -> Column:
             ).cast("int")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], *, prefix: str = "q",
-                    seed: int = 7) -> DataFrame:
-    """One-row DataFrame with linear-interpolated quantiles (numpy/pandas
-    default) of the non-null values of ``col``, columns ``{prefix}_{i}``.
-
-    Exact and distributed: values are first collapsed to (value, count) by a
-    partial aggregate, then a running count over the distinct values finds the
-    two order statistics each quantile interpolates between.
-    """
-    vc = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v"))
-          .agg(F.count(F.lit(1)).alias("_c")))
-    cum = running_total(vc, [Sort("_v")], [], weight="_c", out="_cum", total="_n", seed=seed)
-    aggs = []
-    for i, q in enumerate(qs):
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        lo = F.floor(h)
-        hi = F.ceil(h)
-        start = F.col("_cum") - F.col("_c")  # 0-based index of this value's first copy
-        has_lo = (start <= lo) & (lo < F.col("_cum"))
-        has_hi = (start <= hi) & (hi < F.col("_cum"))
-        aggs += [F.max(F.when(has_lo, F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(has_hi, F.col("_v"))).alias(f"_hi{i}"),
-                 F.max(h - lo).alias(f"_fr{i}")]
-    one = cum.agg(*aggs)
-    return one.select(*[
-        (F.col(f"_lo{i}").cast("double")
-         + (F.col(f"_hi{i}").cast("double") - F.col(f"_lo{i}").cast("double")) * F.col(f"_fr{i}"))
-        .alias(f"{prefix}_{i}") for i in range(len(qs))])
+def _carried(placed: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:
+    """``(_p, groups, _carry)``: for each partition that begins inside of a
+    group, what the partitions before hold of that group. One row at most for
+    each partition; only these groups cross an edge."""
+    per = placed.groupBy("_p", *groups).agg(F.sum(weight).alias("_w"), F.min("_i").alias("_s"))
+    edge = F.struct(*groups, "_w")
+    edges = per.groupBy("_p").agg(F.min_by(edge, "_s").alias("first"), F.max_by(edge, "_s").alias("last"),
+                                  F.count(F.lit(1)).alias("n")).collect()
+    kind, rows, of, total = per.schema["_w"].dataType, [], None, None
+    for r in sorted(edges, key=lambda r: r["_p"]):
+        first, last = tuple(r["first"])[:-1], tuple(r["last"])[:-1]
+        carry = total if first == of else None
+        if carry is not None:
+            rows.append((r["_p"], *first, carry))
+        of, total = last, r["last"]["_w"]
+        if r["n"] == 1 and carry is not None:
+            total = carry + total
+    schema = T.StructType([T.StructField("_p", T.IntegerType()), *[placed.schema[g] for g in groups],
+                           T.StructField("_carry", kind)])
+    return F.broadcast(placed.sparkSession.createDataFrame(rows, schema))
 
 
 def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Sort | str],
-                     keys: Sequence[str], out: str, *, n_rows: int | None = None,
-                     seed: int = 7) -> DataFrame:
+                     keys: Sequence[str], out: str) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY groups ORDER BY order, keys)``
-    without sending a whole group to one task: the global position under
-    (groups, order, keys) minus the position where the group starts. A group
-    holding a third of all rows is spread over many range buckets; the
-    per-group start table has one row per group and is joined back."""
-    sorts = [Sort(g) for g in groups] + _as_sorts(order)
-    pos = running_totals(df, [Rank(sorts, keys, "_gpos")], n_rows=n_rows, seed=seed)
-    starts = pos.groupBy(*groups).agg(F.min("_gpos").alias("_gstart"))
-    starts = starts.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_gstart")
-    cond = None
-    for g in groups:
-        c = pos[g].eqNullSafe(starts[f"_g_{g}"])
-        cond = c if cond is None else cond & c
-    return (pos.join(starts, cond)
-            .withColumn(out, F.col("_gpos") - F.col("_gstart") + 1)
-            .drop("_gpos", "_gstart", *[f"_g_{g}" for g in groups]))
+    without sending a whole group to one task: rows are dealt out by (groups,
+    order, keys), numbered within (partition, group), and a group that began
+    in an earlier partition adds what those hold of it."""
+    placed = _placed(df, [*[Sort(g) for g in groups], *_as_sorts(order)], keys)
+    start = F.min("_i").over(Window.partitionBy("_p", *groups))
+    met = join_null_safe(placed.withColumn("_start", start),
+                         _carried(placed, groups, F.lit(1).cast("bigint")), ["_p", *groups], "left")
+    return met.withColumn(out, F.col("_i") - F.col("_start") + 1 + F.coalesce("_carry", F.lit(0))).drop(
+        "_p", "_i", "_start", "_carry")
 
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: Sequence[float], *,
-                    names: Sequence[str] | None = None, seed: int = 7) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Per-group linear-interpolated quantiles of ``col`` (NULLs skipped),
     exact and distributed: (group, value) pairs are counted with a partial
-    aggregate, a running count over (group, value) locates each group's
-    order statistics, and one more partial aggregate per group picks them.
-    No task ever holds all values of a group, however large the group."""
+    aggregate and dealt out by (group, value); a running count within each
+    group locates its order statistics, and one more partial aggregate per
+    group picks them. No task ever holds all values of a group."""
     names = list(names or [f"{col}_q{i}" for i in range(len(qs))])
     vc = (df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).alias("_v"))
           .agg(F.count(F.lit(1)).alias("_c")))
-    n_pairs = vc.count()
-    limit = _conf_int(df.sparkSession, _IN_MEMORY_VALUES_CONF, _DEFAULT_IN_MEMORY_VALUES)
-    if n_pairs <= limit:
-        # checked bound: the exact percentile buffers hold at most n_pairs
-        # (value, count) entries in total, so the built-in aggregate is safe
-        pct = vc.groupBy(*groups).agg(
-            F.percentile(F.col("_v").cast("double"), F.array(*[F.lit(float(q)) for q in qs]),
-                         F.col("_c")).alias("_p"))
-        return pct.select(*groups, *[F.col("_p")[i].alias(names[i]) for i in range(len(qs))])
-    cum = running_totals(vc, [Rank([Sort(g) for g in groups] + [Sort("_v")], [], "_cum", "_c")],
-                         n_rows=n_pairs, seed=seed)
-    bounds = (cum.groupBy(*groups).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"),
-                                       F.sum("_c").alias("_n"))
-              .withColumnsRenamed({g: f"_g_{g}" for g in groups}))
-    cond = None
-    for g in groups:
-        c = cum[g].eqNullSafe(bounds[f"_g_{g}"])
-        cond = c if cond is None else cond & c
-    j = cum.join(bounds, cond)
-    first = F.col("_cum") - F.col("_c") - F.col("_start")  # 0-based index in the group
-    last = F.col("_cum") - F.col("_start")
+    placed = _placed(vc, [Sort(g) for g in groups] + [Sort("_v")], [])
+    local = F.sum("_c").over(Window.partitionBy("_p", *groups).orderBy("_i")
+                             .rowsBetween(Window.unboundedPreceding, 0))
+    cum = join_null_safe(placed.withColumn("_local", local), _carried(placed, groups, F.col("_c")),
+                         ["_p", *groups], "left").withColumn(
+        "_cum", F.col("_local") + F.coalesce("_carry", F.lit(0)))
+    totals = placed.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    j = join_null_safe(cum, totals, groups)
+    first, last = F.col("_cum") - F.col("_c"), F.col("_cum")  # 0-based index of the first copy
     aggs = []
     for i, q in enumerate(qs):
         h = (F.col("_n") - 1) * F.lit(float(q))
@@ -363,7 +250,7 @@ def group_quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: Sequence
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], *,
-                     groups: Sequence[str] = (), seed: int = 7) -> DataFrame:
+                     groups: Sequence[str] = ()) -> DataFrame:
     """Quantiles of several columns in one distributed pass: the columns are
     stacked as (groups..., _col, value) and quantiled per (groups, _col).
     Returns rows (groups..., column, q0, q1, ...)."""
@@ -371,5 +258,5 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], *,
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols]))
         .alias("_s")).select(*groups, "_s._col", "_s._x")
     names = [f"q{i}" for i in range(len(qs))]
-    out = group_quantiles(stacked, [*groups, "_col"], "_x", qs, names=names, seed=seed)
+    out = group_quantiles(stacked, [*groups, "_col"], "_x", qs, names=names)
     return out.withColumnRenamed("_col", "column")

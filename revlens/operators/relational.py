@@ -64,16 +64,12 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
             .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicates")))
 
 
-def group_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                 approx: bool = False) -> DataFrame:
+def group_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Per-group linear-interpolated median of each column (NULLs skipped).
 
-    Exact by default and distributed (``ordering.group_quantiles``): Spark's
-    ``median`` would merge every distinct value of a group in one task.
-    ``approx=True`` uses ``percentile_approx`` instead.
+    Exact and distributed (``ordering.group_quantiles``): Spark's ``median``
+    would merge every distinct value of a group in one task.
     """
-    if approx:
-        return df.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5).alias(c) for c in cols])
     from revlens.operators.ordering import column_quantiles
     med = (column_quantiles(df, cols, [0.5], groups=keys)
            .groupBy(*keys).pivot("column", list(cols)).agg(F.first("q0")))

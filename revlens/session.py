@@ -22,18 +22,20 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "revlens", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with revlens defaults.
 
-    On a cluster, leave ``master`` as None and size ``shuffle_partitions`` to
-    the data (about 128-256 MB of shuffle per partition).
+    On a cluster, leave ``master`` as None and set ``shuffle_partitions`` to
+    the data (about 128-256 MB of shuffle per partition); unset, the
+    session's own setting holds.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -80,6 +82,15 @@ def cut_lineage(df):
     return spark.read.parquet(path)
 
 
+def discard(*frames) -> None:
+    """Delete tables that ``cut_lineage`` made and no later plan reads."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _MATERIALIZED_PREFIX = "revlens-"
 
 
@@ -100,11 +111,3 @@ def clear_materialized(spark: SparkSession) -> int:
                 fs.delete(st.getPath(), True)
                 removed += 1
     return removed
-
-
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def cpu_count() -> int:
-    return os.cpu_count() or 1

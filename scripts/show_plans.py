@@ -1,8 +1,6 @@
 """Print the formatted physical plan of registered queries.
 
 usage: python scripts/show_plans.py [sf_dir] name-substring ...
-Set REVLENS_ROWS_PER_BUCKET (e.g. 100) to see the multi-bucket plans of the
-distributed ordering operators on small data.
 """
 
 from __future__ import annotations
@@ -21,8 +19,6 @@ def main() -> None:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     spark = build_session("local[8]")
-    if os.environ.get("REVLENS_ROWS_PER_BUCKET"):
-        spark.conf.set("revlens.order.rowsPerBucket", os.environ["REVLENS_ROWS_PER_BUCKET"])
     tables = load_tables(spark, sf_dir)
     for name, fn in REGISTRY.items():
         if args and not any(a in name for a in args):

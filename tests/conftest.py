@@ -29,11 +29,7 @@ def small_tables(spark):
 
 @pytest.fixture()
 def multi_bucket(spark):
-    """Force the distributed ordering operator to use many small buckets."""
-    spark.conf.set("revlens.order.rowsPerBucket", "7")
-    spark.conf.set("revlens.order.maxBuckets", "64")
-    spark.conf.set("revlens.quantile.maxInMemoryValues", "5")  # take the distributed path
+    """Deal the rows of ordering operators out to many small partitions."""
+    spark.conf.set("revlens.order.partitions", "23")
     yield
-    spark.conf.unset("revlens.order.rowsPerBucket")
-    spark.conf.unset("revlens.order.maxBuckets")
-    spark.conf.unset("revlens.quantile.maxInMemoryValues")
+    spark.conf.unset("revlens.order.partitions")

@@ -9,6 +9,8 @@ import pytest
 from revlens.catalog import REGISTRY
 from revlens.plans import sql_analyses as q
 
+from conftest import SF_CHECK
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -30,17 +32,31 @@ def test_no_row_at_a_time_python(small_tables, name):
     assert "BatchEvalPython" not in plan
 
 
-def test_global_ntile_partitions_by_bucket(spark, small_tables, multi_bucket):
+def test_global_ntile_needs_no_window_over_all_rows(spark, small_tables, multi_bucket):
     df = q.rfm_scores(small_tables)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    # every data-sized window is fed by a hash exchange on a bucket id
-    assert re.search(r"hashpartitioning\(_b\d", plan), plan
-    assert "windowspecdefinition(recency_days" not in plan  # no unpartitioned window
-    windows = [m for m in re.finditer(r"Window \[row_number\(\)", plan)]
-    assert len(windows) == 3
+    plan = _plan(df)
+    assert "SinglePartition" not in plan and "windowspecdefinition(recency_days" not in plan
     assert df.count() > 0
 
 
+def _single_partition_inputs(plan: str) -> list[str]:
+    """The node under each ``Exchange SinglePartition``."""
+    lines = plan.splitlines()
+    return [re.sub(r"^[\s:+\-*()0-9]*", "", lines[i + 1]) for i, line in enumerate(lines)
+            if "Exchange SinglePartition" in line]
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY))
+def test_no_single_partition_over_data(spark, name):
+    """With default settings only partial aggregates and limits (a row or k
+    rows for each task) are gathered into one partition."""
+    from revlens.sources.adapters import load_tables
+    plan = _plan(REGISTRY[name](load_tables(spark, SF_CHECK)))
+    for node in _single_partition_inputs(plan):
+        assert re.match(r"(HashAggregate|ObjectHashAggregate|SortAggregate)\(keys=\[\], functions=\[(\]|.*partial_)"
+                        r"|LocalLimit|TakeOrderedAndProject", node), node
+
+
 def test_python_only_where_city_text_is_output(small_tables):
     # NFKD (Arrow pandas UDF) runs in the seller cleaning output, but is
     # pruned from analyses that only need the seller's ZIP
