@@ -336,9 +336,9 @@ def train(blocks: DataFrame, parts: DataFrame, train_docs: int) -> Model:
                 yield pd.DataFrame({"code": code, "n": n})
 
     found = blocks.select("hashes", "shapes", "tokens", "lengths", "held").mapInPandas(
-        pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+        pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(ITEMS * ITEMS)
-    bigrams[found["code"].to_numpy()] = found["n"].to_numpy()
+    bigrams[found.column("code").to_numpy()] = found.column("n").to_numpy()
     bigrams = bigrams.reshape(ITEMS, ITEMS)
     of = exchange(bigrams)
     member = np.zeros((ITEMS, CLASSES))
