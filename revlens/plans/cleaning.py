@@ -140,16 +140,28 @@ def clean_sellers(df: DataFrame) -> DataFrame:
     return df.withColumn(city, S.replace_values(city, SELLER_CITY_MAP_2))
 
 
-def clean_products(df: DataFrame, drop_unknown: bool = True) -> DataFrame:
-    """Null tokens, 'unknown' category, drop non-positive dimensions, median
-    fill (medians taken after the drop), volume, drop 'unknown' (the quality
-    table is taken just before that last step: ``drop_unknown=False``)."""
+def _kept_products(df: DataFrame) -> DataFrame:
     for c in df.columns:
         if _is_string(df, c):
             df = df.withColumn(c, S.null_tokens(c))
-    kept = (df.withColumn("product_category_name",
+    return (df.withColumn("product_category_name",
                           F.coalesce("product_category_name", F.lit("unknown")))
             .where(_all_positive(PRODUCT_DIMENSIONS)))
+
+
+def product_categories(df: DataFrame) -> DataFrame:
+    """Id and category of the cleaned products, without the median fill of
+    columns that this leaves out."""
+    return (_kept_products(df).where(F.col("product_category_name") != "unknown")
+            .select("product_id", "product_category_name"))
+
+
+def clean_products(df: DataFrame, drop_unknown: bool = True) -> DataFrame:
+    """Null tokens, 'unknown' category, drop non-positive dimensions, median
+    fill (medians taken after the drop), volume, drop 'unknown' (the quality
+    table is taken just before that last step: ``drop_unknown=False``). Runs
+    the jobs of the median when it is called."""
+    kept = _kept_products(df)
     # exact global medians; the quantile operator bounds its memory (see ordering)
     med = column_quantiles(kept, PRODUCT_MEDIAN_FILL, [0.5])
     medians = med.agg(*[F.max(F.when(F.col("column") == c, F.col("q0"))).alias(f"_med_{c}")
@@ -263,6 +275,7 @@ def clean_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "translation": lambda: clean_translation(t["translation"]),
         "sellers": lambda: clean_sellers(t["sellers"]),
         "products": lambda: clean_products(t["products"]),
+        "product_categories": lambda: product_categories(t["products"]),
         "orders": lambda: clean_orders(t["orders"]),
         "reviews": lambda: clean_reviews(t["reviews"]),
         "geolocation": lambda: clean_geolocation(t["geolocation"]),

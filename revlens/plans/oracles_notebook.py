@@ -4,6 +4,7 @@ over the adapter CTEs; the M:N merges are written as literal joins."""
 
 from __future__ import annotations
 
+from revlens.plans.cleaning import REGION_BY_STATE
 from revlens.sources.adapters import oracle
 
 # Python whitespace class (same text as revlens.functions.strings.PY_WS).
@@ -18,16 +19,8 @@ def _zfill(x: str) -> str:
     return f"CASE WHEN length({x}) < 5 THEN lpad({x}, 5, '0') ELSE {x} END"
 
 
-_REGIONS = {
-    "Norte": ["AC", "AP", "AM", "PA", "RO", "RR", "TO"],
-    "Nordeste": ["AL", "BA", "CE", "MA", "PB", "PE", "PI", "RN", "SE"],
-    "Centro-Oeste": ["DF", "GO", "MT", "MS"],
-    "Sudeste": ["ES", "MG", "RJ", "SP"],
-    "Sul": ["PR", "RS", "SC"],
-}
-_REGION_CASE = "CASE " + " ".join(
-    f"WHEN customer_state IN ({', '.join(repr(s) for s in states)}) THEN '{r}'"
-    for r, states in _REGIONS.items()) + " END"
+_REGION_CASE = "CASE customer_state " + " ".join(
+    f"WHEN '{state}' THEN '{region}'" for state, region in REGION_BY_STATE.items()) + " END"
 
 _ZIP_DIGITS = "regexp_replace(CAST(customer_zip_code_prefix AS VARCHAR), '\\D', '', 'g')"
 
@@ -140,12 +133,7 @@ oc AS (SELECT o.order_id, o.order_purchase_timestamp, c.customer_unique_id, o.cu
 
 SQL: dict[str, str] = {}
 
-SQL["ana_01_rfm_quantile"] = oracle("""
-SELECT Segment, COUNT(customer_unique_id) AS customers,
-       round_even(AVG(Monetary), 2) AS avg_ltv, round_even(AVG(Frequency), 2) AS avg_orders,
-       round_even(AVG(Recency), 2) AS avg_recency
-FROM seg GROUP BY Segment ORDER BY avg_ltv DESC, Segment
-""", NB + "," + _OC + """,
+_RFM_NB = """
 snap AS (SELECT MAX(order_purchase_timestamp) + INTERVAL 1 DAY AS snapshot FROM nb_orders),
 rfm AS (
   SELECT oc.customer_unique_id,
@@ -175,8 +163,15 @@ seg AS (
       WHEN R <= 2 AND F >= 3 THEN 'At Risk Loyal'
       WHEN R >= 3 AND F <= 2 THEN 'Recent Low Frequency'
       ELSE 'Regular Repeat Buyers' END AS Segment
-  FROM rfm LEFT JOIN scores ON rfm.customer_unique_id = scores.customer_unique_id)
-""")
+  FROM rfm LEFT JOIN scores ON rfm.customer_unique_id = scores.customer_unique_id),
+rfm_summary AS (
+  SELECT Segment, COUNT(customer_unique_id) AS customers,
+         round_even(AVG(Monetary), 2) AS avg_ltv, round_even(AVG(Frequency), 2) AS avg_orders,
+         round_even(AVG(Recency), 2) AS avg_recency
+  FROM seg GROUP BY Segment)
+"""
+
+SQL["ana_01_rfm_quantile"] = oracle("SELECT * FROM rfm_summary", NB + "," + _OC + "," + _RFM_NB)
 
 SQL["ana_02_state_delivery"] = oracle("""
 SELECT c.customer_state, AVG(o.delivery_days) AS avg_delivery,
@@ -350,7 +345,12 @@ SELECT * FROM (SELECT 'top_category_repeat_rate_pct', category, repeat_rate * 10
 UNION ALL
 SELECT 'high_rated_seller_repeat_pct', CAST(NULL AS VARCHAR), AVG(CAST(rep AS INTEGER)) * 100
 FROM seller_item_rows WHERE avg_seller_rating >= 4
-""", NB + "," + _OC + "," + _FL + "," + _FIRST + "," + _AOV + "," + _CAT + "," + _SELLER_ROWS)
+UNION ALL
+SELECT 'rfm_' || measure, Segment, value
+FROM (SELECT Segment, customers::DOUBLE AS customers, avg_ltv::DOUBLE AS avg_ltv,
+             avg_orders::DOUBLE AS avg_orders, avg_recency::DOUBLE AS avg_recency FROM rfm_summary)
+     UNPIVOT INCLUDE NULLS (value FOR measure IN (customers, avg_ltv, avg_orders, avg_recency))
+""", NB + "," + _OC + "," + _FL + "," + _FIRST + "," + _AOV + "," + _CAT + "," + _SELLER_ROWS + "," + _RFM_NB)
 
 SQL["ana_11_customer_overview"] = oracle("""
 SELECT 'unique_customers' AS metric, CAST(NULL AS VARCHAR) AS label,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.operators import profiling as P
 from revlens.operators.relational import duplicate_count
 from revlens.plans.cleaning import clean_products, clean_tables
+from revlens.sources.adapters import TABLES
 
 Tables = dict[str, DataFrame]
 
@@ -15,7 +16,7 @@ Tables = dict[str, DataFrame]
 def prf_01_shapes(t: Tables) -> DataFrame:
     """Rows and columns of every raw table."""
     out = None
-    for name in sorted(t):
+    for name in sorted(TABLES):
         s = P.shape(t[name]).select(F.lit(name).alias("table"), "rows", "columns")
         out = s if out is None else out.unionByName(s)
     return out
@@ -24,7 +25,7 @@ def prf_01_shapes(t: Tables) -> DataFrame:
 def prf_02_column_info(t: Tables) -> DataFrame:
     """``info()`` of every raw table: position, column, type, non-null count."""
     out = None
-    for name in sorted(t):
+    for name in sorted(TABLES):
         s = P.column_info(t[name]).select(F.lit(name).alias("table"), "position", "column",
                                           "dtype", "non_null")
         out = s if out is None else out.unionByName(s)
@@ -33,7 +34,7 @@ def prf_02_column_info(t: Tables) -> DataFrame:
 
 def prf_03_null_counts(t: Tables) -> DataFrame:
     out = None
-    for name in sorted(t):
+    for name in sorted(TABLES):
         s = P.null_counts(t[name]).select(F.lit(name).alias("table"), "column", "nulls")
         out = s if out is None else out.unionByName(s)
     return out
@@ -93,7 +94,7 @@ def prf_08_customer_rules(t: Tables) -> DataFrame:
 def prf_09_duplicates(t: Tables) -> DataFrame:
     """Duplicate rows of each raw table, and duplicate customer keys."""
     out = None
-    for name in sorted(t):
+    for name in sorted(TABLES):
         s = duplicate_count(t[name]).select(F.lit(name).alias("check"), "duplicates")
         out = s if out is None else out.unionByName(s)
     for key in ("customer_id", "customer_unique_id"):
