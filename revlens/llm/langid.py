@@ -147,7 +147,8 @@ def decode(x: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndar
     likely = np.exp(loss.min(axis=1, keepdims=True) - loss)
     order = np.sort(loss, axis=1)
     close = order[:, 1] - order[:, 0] < AMBIGUOUS if len(names) > 1 else np.zeros(len(x), bool)
-    return loss.argmin(axis=1), likely.max(axis=1) / likely.sum(axis=1), close
+    # rounded, as a matrix product's last bits vary with the rows beside it
+    return loss.argmin(axis=1), np.round(likely.max(axis=1) / likely.sum(axis=1), 6), close
 
 
 def _has_letter(column: pa.Array) -> np.ndarray:

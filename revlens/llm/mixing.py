@@ -146,6 +146,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
              shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(doc_id, source, text_hash, size, source_size, target, copies)`` for
     every row."""
+    if shard_rows < 4:  # each shard leaves two documents: rounds must shrink
+        raise ValueError("shard_rows must be 4 or more")
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce("text", F.lit(""))

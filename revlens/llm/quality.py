@@ -155,7 +155,8 @@ def votes(x: np.ndarray, model: tuple) -> np.ndarray:
     k = min(NEIGHBOURS, near.shape[1])
     least = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
     near = np.where(near >= least[:, None] - 1e-6, np.maximum(near, 1e-3) ** POWER, 0) * vote
-    return np.clip((near @ label) / near.sum(axis=1), 0.0, 1.0).astype(np.float64)
+    # rounded, as a matrix product's last bits vary with the rows beside it
+    return np.round(np.clip((near @ label) / near.sum(axis=1), 0.0, 1.0).astype(np.float64), 5)
 
 
 def scored(docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
