@@ -4,15 +4,14 @@ JSON line ``{"metric", "value", "unit", "queries", "sf", ...}``.
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
 (default 8), ``BENCH_QUERIES`` (comma-separated name prefixes; default all),
 ``BENCH_WARM`` (1 = also time a second, warm run), ``BENCH_EVENTLOG`` (a
-scratch folder: write Spark's event log there for stage and task times),
-``BENCH_SHARED`` (1 =
-batch mode: the delivered customer-order join and per-order payment totals
-are materialised once, timed as ``shared_base`` and included in the total).
+scratch folder: write Spark's event log there for stage and task times).
+Every query runs on its own, from the tables.
 
 Each query is forced to full execution with the ``noop`` sink, so neither
 result size nor driver collection is part of the time; a query's time
-includes the small driver-side jobs it issues itself (counts and samples of
-the distributed ordering operator, checkpoints).
+includes the jobs it issues itself while its plan is built (samples, writes
+and counts of the ordering operators). Intermediate tables are deleted after
+each query.
 """
 
 from __future__ import annotations
@@ -31,12 +30,9 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [p for p in os.environ.get("BENCH_QUERIES", "").split(",") if p]
     warm = os.environ.get("BENCH_WARM", "0") == "1"
-    shared = os.environ.get("BENCH_SHARED", "1") == "1"
 
     from revlens.catalog import REGISTRY
-    from revlens.plans.notebook_analyses import with_shared_notebook_base
-    from revlens.plans.sql_analyses import with_shared_base
-    from revlens.session import build_session
+    from revlens.session import build_session, clear_materialized
     from revlens.sources.adapters import load_tables
 
     extra = {"spark.driver.memory": "16g"}
@@ -50,10 +46,6 @@ def main() -> None:
     times: dict[str, float] = {}
     warm_times: dict[str, float] = {}
     failed: dict[str, str] = {}
-    if shared:
-        t0 = time.perf_counter()
-        tables = with_shared_notebook_base(with_shared_base(tables))
-        times["shared_base"] = round(time.perf_counter() - t0, 3)
     for name, fn in REGISTRY.items():
         if only and not any(name.startswith(p) for p in only):
             continue
@@ -65,6 +57,7 @@ def main() -> None:
                 failed[name] = str(ex)[:200]
                 break
             bucket[name] = round(time.perf_counter() - t0, 3)
+            clear_materialized(spark)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "total_query_seconds",
@@ -73,8 +66,7 @@ def main() -> None:
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
-        "n_queries": len([k for k in times if k != "shared_base"]),
-        "shared_base": shared,
+        "n_queries": len(times),
     }
     if warm_times:
         out["warm_queries"] = warm_times

@@ -58,10 +58,10 @@ REGISTRY: dict[str, TableQuery] = {
     "cln_02_translation": lambda t: cln.clean_translation(t["translation"]),
     "cln_03_sellers": lambda t: cln.clean_sellers(t["sellers"]),
     "cln_04_products": lambda t: cln.clean_products(t["products"]),
-    "cln_05_orders": lambda t: cln.clean_orders(t["orders"]),
-    "cln_06_reviews": lambda t: cln.clean_reviews(t["reviews"]),
+    "cln_05_orders": lambda t: cln.clean_tables(t)["orders"],
+    "cln_06_reviews": lambda t: cln.clean_tables(t)["reviews"],
     "cln_07_geolocation": lambda t: cln.clean_geolocation(t["geolocation"]),
-    "cln_08_items": lambda t: cln.clean_items(t["items"]),
+    "cln_08_items": lambda t: cln.clean_tables(t)["items"],
     "cln_09_payments": lambda t: cln.clean_payments(t["payments"]),
     # profiling / quality reports
     "prf_01_shapes": prf.prf_01_shapes,
@@ -83,6 +83,7 @@ REGISTRY: dict[str, TableQuery] = {
     "win_02_order_sequence": prim.win_02_order_sequence,
     "win_03_revenue_rank_first": prim.win_03_revenue_rank_first,
     "dup_02_first_delivered_order": prim.dup_02_first_delivered_order,
+    "dup_06_seller_cities": prim.dup_06_seller_cities,
     "agg_14_zip_median_point": prim.agg_14_zip_median_point,
     "agg_18_first_delivery_date": prim.agg_18_first_delivery_date,
 }

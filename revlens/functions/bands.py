@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from revlens.functions._col import as_col
-from revlens.functions.maths import cut, cut_order
+from revlens.functions.maths import cut
 
 # ---- fixed values: labels used by the SQL analyses -------------------------
 SEG_SINGLE = "Single Purchase"
@@ -102,7 +102,3 @@ def installment_bin(n) -> Column:
 
 def aov_bin(v) -> Column:
     return cut(v, AOV_BIN_EDGES, AOV_BIN_LABELS)
-
-
-def bin_order(x, edges) -> Column:
-    return cut_order(x, edges)

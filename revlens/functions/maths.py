@@ -42,16 +42,6 @@ def cut(x, edges: Sequence[float], labels: Sequence[str]) -> Column:
     return expr
 
 
-def cut_order(x, edges: Sequence[float]) -> Column:
-    """1-based bin number for ``cut`` (NULL outside), for ordering labels."""
-    x = as_col(x)
-    expr = None
-    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]), start=1):
-        cond = (x > F.lit(lo)) & (x <= F.lit(hi))
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
 def safe_ratio(num, den) -> Column:
     """num / NULLIF(den, 0) as double (ANSI division never raises)."""
     den = as_col(den)
@@ -66,19 +56,3 @@ def pct(num, den) -> Column:
 def flag(cond: Column) -> Column:
     """CASE WHEN cond THEN 1 ELSE 0 END (NULL counts as 0)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
-
-
-def all_of(*conds: Column) -> Column:
-    out = None
-    for c in conds:
-        out = c if out is None else (out & c)
-    return out
-
-
-def any_of(*conds: Column) -> Column:
-    """Row-wise any(), with unknown comparisons counted as False."""
-    out = None
-    for c in conds:
-        c = F.coalesce(c, F.lit(False))
-        out = c if out is None else (out | c)
-    return out

@@ -1,15 +1,12 @@
 """String helpers with Python/pandas semantics (Column -> Column).
 
-All but ``nfkd`` are native Spark expressions. Unicode normalisation has no
-Spark built-in, so ``nfkd`` is an Arrow-batched pandas UDF (vectorised per
-batch, never per row through pickling).
+All but ``title_case`` and ``nfkd`` are native Spark expressions. Python's
+title case and Unicode normalisation have no Spark built-in, so these two are
+pandas UDFs over Arrow batches.
 """
 
 from __future__ import annotations
 
-import functools
-import sys
-import unicodedata
 from collections.abc import Mapping
 
 import pandas as pd
@@ -23,48 +20,11 @@ from revlens.functions._col import as_col
 PY_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
-@functools.lru_cache(maxsize=1)
-def _cased_class() -> str:
-    """Regex class of the characters Python treats as cased (``str.title``
-    looks at whether the previous character is cased): the letter categories
-    Lu/Ll/Lt plus the other characters with a case property, derived from
-    Python's tables as code-point ranges."""
-    extra = []
-    for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
-        if (ch.islower() or ch.isupper() or ch.istitle()) and \
-                unicodedata.category(ch) not in ("Lu", "Ll", "Lt"):
-            extra.append(cp)
-    ranges, start, prev = [], None, None
-    for cp in extra:
-        if start is None:
-            start = prev = cp
-        elif cp == prev + 1:
-            prev = cp
-        else:
-            ranges.append((start, prev))
-            start = prev = cp
-    if start is not None:
-        ranges.append((start, prev))
-    parts = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}"
-                    for a, b in ranges)
-    return f"[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}{parts}]"
-
-
-
-
 def py_strip(c) -> Column:
     """Python ``str.strip()`` (all Unicode whitespace, both ends)."""
     return F.regexp_replace(as_col(c), rf"^{PY_WS}+|{PY_WS}+$", "")
 
 
-def sql_trim(c) -> Column:
-    """SQL ``TRIM(x)`` (spaces only)."""
-    return F.trim(as_col(c))
-
-
 def strip_char(c, chars: str) -> Column:
     """Python ``str.strip(chars)``."""
     return F.btrim(as_col(c), F.lit(chars))
@@ -87,59 +47,19 @@ def clean_zip(c, width: int = 5) -> Column:
     return F.when(as_col(c).isNull() | (d == ""), F.lit(None).cast("string")).otherwise(zfill(d, width))
 
 
-@functools.lru_cache(maxsize=1)
-def _title_specials() -> dict[str, str]:
-    """Characters whose title case differs from their upper case (ß -> Ss,
-    the dz/lj/nj digraphs, ligatures...), derived from Python's own tables."""
-    out = {}
-    for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
-        if ch.title() != ch.upper():
-            out[ch] = ch.title()
-    return out
-
-
-def title_case(c) -> Column:
-    """Python ``str.title()``: a cased letter is title-cased when the previous
-    character is not cased, lower-cased otherwise (so letters after digits,
-    apostrophes, '@', '.', combining marks start a new word), with the
-    final-sigma rule of ``str.lower``. Native: the string is split into
-    characters and rebuilt with ``transform``."""
-    c = as_col(c)
-    chars = F.split(c, "")
-    specials = F.create_map(*[F.lit(x) for kv in _title_specials().items() for x in kv])
-    cased = _cased_class()
-
-    def title(ch):
-        return F.coalesce(specials[ch], F.upper(ch))
-
-    def lower(ch, i):
-        nxt = F.when(i + 1 < F.size(chars), F.element_at(chars, i + 2))
-        final_sigma = (ch == "Σ") & ~F.coalesce(nxt.rlike(f"^{cased}$"), F.lit(False))
-        return F.when(final_sigma, F.lit("ς")).otherwise(F.lower(ch))
-
-    rebuilt = F.array_join(
-        F.transform(chars, lambda ch, i: F.when(i == 0, title(ch))
-                    .when(F.element_at(chars, i).rlike(f"^{cased}$"), lower(ch, i))
-                    .otherwise(title(ch))), "")
-    return F.when(c.isNull(), c).when(c == "", c).otherwise(rebuilt)
-
-
-def initcap_sql(c) -> Column:
-    """SQL ``initcap`` (capitalise after spaces only), for contrast."""
-    return F.initcap(as_col(c))
+@F.pandas_udf(T.StringType())
+def _title(s: pd.Series) -> pd.Series:
+    return s.str.title()
 
 
 @F.pandas_udf(T.StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKD", v) if isinstance(v, str) else v)
+    return s.str.normalize("NFKD")
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else v)
+def title_case(c) -> Column:
+    """Python ``str.title()`` (Arrow-batched pandas UDF)."""
+    return _title(as_col(c))
 
 
 def nfkd(c) -> Column:
@@ -147,10 +67,6 @@ def nfkd(c) -> Column:
     return _nfkd(as_col(c))
 
 
-def nfc(c) -> Column:
-    return _nfc(as_col(c))
-
-
 def before_first(c, sep: str) -> Column:
     """``s.str.split(sep).str[0]``."""
     return F.substring_index(as_col(c), sep, 1)
@@ -175,6 +91,11 @@ def is_digits(c) -> Column:
     return as_col(c).rlike(r"^\p{Nd}+$")
 
 
+#: What pandas' ``read_csv`` takes for missing by default.
+PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def null_tokens(c, tokens=("", "null")) -> Column:
     """``read_csv(na_values=tokens)``: exact token -> NULL."""
     c = as_col(c)

@@ -2,7 +2,9 @@
 
 Step order follows the notebook exactly (several steps are not idempotent
 and their order changes the result). All steps are native column
-expressions except NFKD in the seller-city pipeline (Arrow pandas UDF).
+expressions except title case and NFKD of seller cities (pandas UDFs).
+Orders, reviews and items are read from their ``csv_`` tables, where times are
+still text, if the table dict has them.
 
 Documented difference: pandas ``astype(str)`` turns a missing value into the
 text 'nan'; here NULL stays NULL. Identifier columns that are numeric in the
@@ -276,10 +278,10 @@ def clean_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "sellers": lambda: clean_sellers(t["sellers"]),
         "products": lambda: clean_products(t["products"]),
         "product_categories": lambda: product_categories(t["products"]),
-        "orders": lambda: clean_orders(t["orders"]),
-        "reviews": lambda: clean_reviews(t["reviews"]),
+        "orders": lambda: clean_orders(t.get("csv_orders", t["orders"])),
+        "reviews": lambda: clean_reviews(t.get("csv_reviews", t["reviews"])),
         "geolocation": lambda: clean_geolocation(t["geolocation"]),
-        "items": lambda: clean_items(t["items"]),
+        "items": lambda: clean_items(t.get("csv_items", t["items"])),
         "payments": lambda: clean_payments(t["payments"]),
         "raw_reviews": lambda: t["reviews"],
         "raw_translation": lambda: t["translation"],

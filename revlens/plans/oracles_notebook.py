@@ -4,7 +4,8 @@ over the adapter CTEs; the M:N merges are written as literal joins."""
 
 from __future__ import annotations
 
-from revlens.plans.cleaning import REGION_BY_STATE
+from revlens.plans.cleaning import (REGION_BY_STATE, SELLER_CITY_INVALID, SELLER_CITY_MAP_1,
+                                    SELLER_CITY_MAP_2, SELLER_CITY_TYPOS)
 from revlens.sources.adapters import oracle
 
 # Python whitespace class (same text as revlens.functions.strings.PY_WS).
@@ -103,24 +104,43 @@ cl_geolocation AS (
   WHERE geolocation_lat BETWEEN -33.75 AND 5.25 AND geolocation_lng BETWEEN -73.5 AND -34.5)
 """
 
-# Seller rows the city pipeline keeps. Title case only changes letter case,
-# and every dropped name equals the title case of its lower-case form, so a
-# lower-case comparison after the same splits decides the same rows.
-_CITY0 = _strip("seller_city")
-_CITY1 = (f"lower(regexp_replace(split_part(split_part(split_part({_CITY0}, '/', 1), '-', 1), "
-          f"',', 1), '{_WS}+', ' ', 'g'))")
+def _mapped(x: str, values: dict[str, str]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {x} END"
+
+
+def _first_part(x: str, *seps: str) -> str:
+    for sep in seps:
+        x = f"split_part({x}, '{sep}', 1)"
+    return x
+
+
+# The city pipeline step by step. The fixture's letters are ASCII but for the
+# 'ã' that the first fix-up writes, which NFKD decomposes.
 CL_SELLERS = f"""
+city_1 AS (
+  SELECT seller_id, regexp_replace(CAST(seller_zip_code_prefix AS VARCHAR), '\\D', '', 'g') AS zip,
+         array_to_string(list_transform(regexp_extract_all({_strip("seller_city")}, '[A-Za-z]+|[^A-Za-z]+'),
+                                        lambda w: upper(w[1]) || lower(w[2:])), '') AS city
+  FROM src_sellers),
+city_2 AS (SELECT * REPLACE ({_mapped("city", SELLER_CITY_MAP_1)} AS city) FROM city_1),
+city_3 AS (
+  SELECT * REPLACE (regexp_replace({_first_part("city", "/", "-", ",")}, '{_WS}+', ' ', 'g') AS city) FROM city_2
+  WHERE NOT coalesce(regexp_matches(city, '^[0-9]+$'), false)),
+city_4 AS (SELECT * REPLACE ({_mapped("city", SELLER_CITY_TYPOS)} AS city) FROM city_3),
+city_5 AS (SELECT * REPLACE ({_mapped("city", SELLER_CITY_TYPOS)} AS city) FROM city_4),
+city_6 AS (
+  SELECT * REPLACE ({_first_part(_strip("replace(city, 'ã', 'a' || chr(771))"), "/", chr(92), "-", ",")} AS city)
+  FROM city_5
+  WHERE city IS NULL OR city NOT IN ({", ".join(repr(x) for x in SELLER_CITY_INVALID)})),
 cl_sellers AS (
-  SELECT seller_id,
-         CASE WHEN regexp_replace(CAST(seller_zip_code_prefix AS VARCHAR), '\\D', '', 'g') = ''
-              THEN NULL
-              ELSE {_zfill("regexp_replace(CAST(seller_zip_code_prefix AS VARCHAR), '\\D', '', 'g')")}
-         END AS seller_zip_code_prefix
-  FROM src_sellers
-  WHERE NOT coalesce(regexp_matches({_CITY0}, '^\\p{{Nd}}+$'), false)
-    AND (seller_city IS NULL OR {_CITY1} NOT IN
-         ('centro', 'bahia', 'parana', 'santa catarina', 'minas gerais',
-          'vendas@creditparts.com.br')))
+  SELECT seller_id, CASE WHEN zip <> '' THEN {_zfill("zip")} END AS seller_zip_code_prefix,
+         {_mapped("city", SELLER_CITY_MAP_2)} AS seller_city
+  FROM city_6)
+"""
+
+CL_ITEMS = """
+cl_items AS (
+  SELECT * REPLACE (TRY_CAST(shipping_limit_date AS TIMESTAMP) AS shipping_limit_date) FROM src_csv_items)
 """
 
 NB = ",\n".join(x.strip() for x in (CL_CUSTOMERS, CL_ORDERS, CL_PAYMENTS, CL_PRODUCTS, CL_GEO,
@@ -489,10 +509,12 @@ SELECT {_strip("product_category_name")} AS product_category_name,
        {_strip("product_category_name_english")} AS product_category_name_english
 FROM src_translation""")
 SQL["cln_04_products"] = oracle("SELECT * FROM cl_products", CL_PRODUCTS)
+SQL["cln_03_sellers"] = oracle("SELECT * FROM cl_sellers", CL_SELLERS)
+SQL["dup_06_seller_cities"] = oracle("SELECT DISTINCT seller_city FROM cl_sellers", CL_SELLERS)
 SQL["cln_05_orders"] = oracle("SELECT * FROM cl_orders", CL_ORDERS)
 SQL["cln_06_reviews"] = oracle("SELECT * FROM cl_reviews", CL_REVIEWS)
 SQL["cln_07_geolocation"] = oracle("SELECT * FROM cl_geolocation", CL_GEO)
-SQL["cln_08_items"] = oracle("SELECT * FROM src_items")
+SQL["cln_08_items"] = oracle("SELECT * FROM cl_items", CL_ITEMS)
 SQL["cln_09_payments"] = oracle("SELECT * FROM cl_payments", CL_PAYMENTS)
 
 # --------------------------------------------------------------------------
@@ -628,8 +650,8 @@ FROM src_items CROSS JOIN (
 
 SQL["prf_11_parse_failures"] = oracle("""
 SELECT CAST(SUM(CASE WHEN shipping_limit_date IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-         AS unparsed_shipping_dates FROM src_items
-""")
+         AS unparsed_shipping_dates FROM cl_items
+""", CL_ITEMS)
 
 SQL["prf_12_payment_minima"] = oracle("""
 SELECT CAST(MIN(payment_sequential) AS DOUBLE) AS min_payment_sequential,

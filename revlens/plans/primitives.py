@@ -5,6 +5,7 @@ derived table, so the block can be checked against SQL on its own.
 * ``win_02``: order sequence number per person (skew-safe per-group number)
 * ``win_03``: pandas ``rank(method='first')`` of revenue per person
 * ``dup_02``: first delivered order per person (``DISTINCT ON``)
+* ``dup_06``: the different cleaned seller cities (``unique()``)
 * ``agg_14``: median coordinates per ZIP prefix
 * ``agg_18``: first non-null delivery date per person in purchase order
 """
@@ -18,7 +19,7 @@ from revlens.operators.ordering import Sort, global_position, group_row_number,
 from revlens.operators.relational import (first_non_null_per_column, first_row_per_key,
                                           group_median)
 from revlens.plans import sql_analyses as q
-from revlens.plans.cleaning import clean_geolocation
+from revlens.plans.cleaning import clean_geolocation, clean_sellers
 
 Tables = dict[str, DataFrame]
 
@@ -49,6 +50,10 @@ def dup_02_first_delivered_order(t: Tables) -> DataFrame:
                              ["order_id", "order_purchase_timestamp"])
 
 
+def dup_06_seller_cities(t: Tables) -> DataFrame:
+    return clean_sellers(t["sellers"]).select("seller_city").distinct()
+
+
 def agg_14_zip_median_point(t: Tables) -> DataFrame:
     return group_median(clean_geolocation(t["geolocation"]), ["geolocation_zip_code_prefix"],
                         ["geolocation_lat", "geolocation_lng"])

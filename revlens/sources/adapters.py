@@ -151,7 +151,23 @@ def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (s.join(n, s.s_nationkey == n.n_nationkey)
             .select(F.col("s_suppkey").alias("seller_id"),
                     F.col("s_nationkey").alias("seller_zip_code_prefix"),
-                    F.lower("n_name").alias("seller_city")))
+                    _written_city(F.col("s_suppkey"), F.lower("n_name")).alias("seller_city")))
+
+
+#: Ways in which sellers write their city, by ``s_suppkey % 16``: text before
+#: and after the name, or a text instead of it (None: the key itself).
+CITY_AFFIXES = {0: ("", ""), 1: ("  ", "  "), 2: ("", " / sp"), 3: ("", "-df"), 4: ("", ", br"), 13: ("", "   do  sul")}
+CITY_TEXTS = {5: None, 6: "centro", 7: "sao pauo", 8: "sao paulo", 9: "rio de janeiro", 10: "sbc",
+              11: "vendas@creditparts.com.br", 12: "brasilia df", 14: "garulhos", 15: "scao jose do rio pardo"}
+
+
+def _written_city(key: Column, name: Column) -> Column:
+    out = name
+    for k, (before, after) in CITY_AFFIXES.items():
+        out = F.when(key % 16 == k, F.concat(F.lit(before), name, F.lit(after))).otherwise(out)
+    for k, text in CITY_TEXTS.items():
+        out = F.when(key % 16 == k, key.cast("string") if text is None else F.lit(text)).otherwise(out)
+    return out
 
 
 def geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +182,31 @@ def geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_name").alias("geolocation_state")))
 
 
+def _as_text(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in cols})
+
+
+def csv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as their CSV file has them: all times are text."""
+    return _as_text(orders(spark, sf_dir), "order_purchase_timestamp", "order_approved_at",
+                    "order_delivered_carrier_date", "order_delivered_customer_date",
+                    "order_estimated_delivery_date")
+
+
+def csv_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_text(reviews(spark, sf_dir), "review_creation_date", "review_answer_timestamp")
+
+
+def csv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as text, with shipping dates that are no dates."""
+    k, c = F.col("order_id"), "shipping_limit_date"
+    out = _as_text(items(spark, sf_dir), c)
+    return out.withColumn(c, F.when(k % 29 == 0, "unknown").when(k % 31 == 0, "1995-02-31 00:00:00")
+                          .otherwise(F.col(c)))
+
+
 _BUILDERS = {
+    "csv_orders": csv_orders, "csv_reviews": csv_reviews, "csv_items": csv_items,
     "customers": customers, "orders": orders, "payments": payments, "items": items,
     "reviews": reviews, "products": products, "translation": translation,
     "sellers": sellers, "geolocation": geolocation,
@@ -215,6 +255,11 @@ src_items AS (
          l_extendedprice * l_tax / 1000.0::DOUBLE AS freight_value,
          l_shipdate AS shipping_limit_date
   FROM lineitem),
+src_csv_items AS (
+  SELECT * REPLACE (CASE WHEN order_id % 29 = 0 THEN 'unknown'
+                         WHEN order_id % 31 = 0 THEN '1995-02-31 00:00:00'
+                         ELSE CAST(shipping_limit_date AS VARCHAR) END AS shipping_limit_date)
+  FROM src_items),
 src_reviews AS (
   SELECT event_id AS review_id,
          CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END AS order_id,
@@ -241,7 +286,8 @@ src_translation AS (
   SELECT DISTINCT p_brand AS product_category_name, upper(p_brand) AS product_category_name_english
   FROM part WHERE length(p_brand) = 7),
 src_sellers AS (
-  SELECT s_suppkey AS seller_id, s_nationkey AS seller_zip_code_prefix, lower(n_name) AS seller_city
+  SELECT s_suppkey AS seller_id, s_nationkey AS seller_zip_code_prefix,
+         CASE s_suppkey % 16 {cities} ELSE lower(n_name) END AS seller_city
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 src_geolocation AS (
   SELECT c_nationkey AS geolocation_zip_code_prefix,
@@ -249,7 +295,9 @@ src_geolocation AS (
          -70.0::DOUBLE + c_nationkey * 0.9::DOUBLE AS geolocation_lng,
          lower(c_mktsegment) AS geolocation_city, n_name AS geolocation_state
   FROM customer JOIN nation ON c_nationkey = n_nationkey)
-"""
+""".replace("{cities}", " ".join(
+    [f"WHEN {k} THEN '{a}' || lower(n_name) || '{b}'" for k, (a, b) in CITY_AFFIXES.items()]
+    + [f"WHEN {k} THEN " + ("CAST(s_suppkey AS VARCHAR)" if x is None else f"'{x}'") for k, x in CITY_TEXTS.items()]))
 
 
 def oracle(sql_body: str, ctes: str = "") -> str:

@@ -9,10 +9,9 @@ import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.functions.strings import null_tokens
+from revlens.functions.strings import PANDAS_NA, null_tokens
 
 
 # Tables whose quoted text fields may contain line breaks (review comments).
@@ -20,14 +19,16 @@ MULTILINE_TABLES = {"reviews"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             na_values: Sequence[str] | None = None, multiline: bool = False) -> DataFrame:
+             na_values: Sequence[str] | None = None, multiline: bool = False,
+             keep_default_na: bool = True) -> DataFrame:
     """Header CSV with double-quote escaping.
 
     ``multiline=True`` lets quoted fields span lines (review texts do); it
     makes each file a single split, so it is used only where needed and large
     inputs should then arrive as many files. With ``schema`` there is no
-    inference pass. ``na_values`` lists extra exact tokens that become NULL
-    in text columns (the CSV reader takes only one ``nullValue``).
+    inference pass. As in pandas, the default missing tokens and those of
+    ``na_values`` become NULL in text columns; ``keep_default_na=False``
+    leaves only the latter.
     """
     reader = (spark.read.option("header", True).option("multiLine", multiline)
               .option("escape", '"').option("mode", "PERMISSIVE"))
@@ -36,11 +37,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     else:
         reader = reader.option("inferSchema", True)
     df = reader.csv(path)
-    if na_values:
-        for f in df.schema.fields:
-            if isinstance(f.dataType, T.StringType):
-                df = df.withColumn(f.name, null_tokens(f.name, tuple(na_values)))
-    return df
+    tokens = (*(PANDAS_NA if keep_default_na else ()), *(na_values or ()))
+    return df.select(*[null_tokens(f.name, tokens).alias(f.name)
+                       if tokens and isinstance(f.dataType, T.StringType) else f.name for f in df.schema.fields])
 
 
 def table_name(file_name: str) -> str:
@@ -79,8 +78,3 @@ def ingest_folder(spark: SparkSession, folder: str,
         except Exception as ex:  # noqa: BLE001 - isolate per-file failures
             status.append((logical, base, False, str(ex).splitlines()[0][:500]))
     return spark.createDataFrame(status, "table string, file string, ok boolean, error string")
-
-
-def with_source_file(df: DataFrame) -> DataFrame:
-    """Attach the input file name of each row (useful for audit trails)."""
-    return df.withColumn("source_file", F.input_file_name())

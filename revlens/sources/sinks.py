@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, name: str, *, path: str | None = None, fmt: str = "parquet",
@@ -32,20 +32,25 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str
 
 
 def register_view(df: DataFrame, name: str, global_view: bool = False) -> None:
-    """``CREATE OR REPLACE VIEW name AS ...`` (recomputed at each read)."""
+    """``CREATE OR REPLACE VIEW name AS ...``: the plan of ``df`` is run at each
+    read, on the files that it listed when it was built."""
     if global_view:
         df.createOrReplaceGlobalTempView(name)
     else:
         df.createOrReplaceTempView(name)
 
 
-def register_rfm_view(spark: SparkSession, tables: dict[str, DataFrame],
-                      name: str = "rfm_customer_segments") -> DataFrame:
-    """Register the per-person RFM segment view; returns its DataFrame."""
+def refresh_rfm_view(load: Callable[[], dict[str, DataFrame]],
+                     name: str = "rfm_customer_segments") -> DataFrame:
+    """Register the per-person RFM segment view over the tables that ``load``
+    returns now. The tiles need jobs over all people, so the view is a
+    snapshot: it shows the data of the last call, and this is called again
+    when orders or payments have changed. The intermediate tables of the
+    snapshot before are not needed any more (``session.clear_materialized``)."""
     from revlens.plans.sql_analyses import qry_11_rfm_customer_segments
-    df = qry_11_rfm_customer_segments(tables)
+    df = qry_11_rfm_customer_segments(load())
     register_view(df, name)
-    return spark.table(name)
+    return df.sparkSession.table(name)
 
 
 def ingest_to_folder(root: str, fmt: str = "parquet"):
@@ -58,11 +63,9 @@ def ingest_to_folder(root: str, fmt: str = "parquet"):
 def register_tables(tables: dict[str, DataFrame], prefix: str = "") -> list[str]:
     """Register every table of a table dict as a temporary view (names with
     an optional prefix), so analysts can keep querying them with
-    ``spark.sql``. Internal entries (leading underscore) are skipped."""
+    ``spark.sql``."""
     names = []
     for name, df in tables.items():
-        if name.startswith("_"):
-            continue
         view = f"{prefix}{name}"
         df.createOrReplaceTempView(view)
         names.append(view)

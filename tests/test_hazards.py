@@ -159,3 +159,46 @@ def test_person_with_several_customer_ids(spark):
     seg = {r.customer_unique_id: r.customer_segment
            for r in q.qry_11_rfm_customer_segments(t).collect()}
     assert seg[300] == "Single Purchase" and seg[100] != "Single Purchase"
+
+
+def test_h13_missing_text_stays_null(spark):
+    # pandas' astype(str) would write 'nan'; NULL is kept, as documented
+    from revlens.plans.cleaning import clean_geolocation, clean_sellers
+    sellers = spark.createDataFrame([("s1", None, None)], "seller_id string, seller_zip_code_prefix string, seller_city string")
+    assert [tuple(r) for r in clean_sellers(sellers).collect()] == [("s1", None, None)]
+    geo = spark.createDataFrame([(None, -10.0, -50.0, None, None)],
+                                "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double, "
+                                "geolocation_city string, geolocation_state string")
+    row = clean_geolocation(geo).first()
+    assert row.geolocation_zip_code_prefix is None and row.geolocation_city is None
+
+
+def test_h18_times_are_parsed_before_they_are_compared(spark):
+    # as text '2018-1-9' is after '2018-01-10'; parsed once at the source it is not
+    from revlens.plans.cleaning import clean_orders
+    cols = ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
+            "order_delivered_customer_date", "order_estimated_delivery_date"]
+    rows = [("o1", "c1", "delivered", "2018-1-9 08:00:00", *[None] * 4),
+            ("o2", "c1", "delivered", "2018-01-10 08:00:00", *[None] * 4)]
+    df = spark.createDataFrame(rows, "order_id string, customer_id string, order_status string, "
+                               + ", ".join(f"{c} string" for c in cols))
+    out = clean_orders(df)
+    assert dict(out.dtypes)["order_purchase_timestamp"] == "timestamp_ntz"
+    assert df.agg(F.max("order_purchase_timestamp")).first()[0].startswith("2018-1-9")
+    assert out.agg(F.max_by("order_id", "order_purchase_timestamp")).first()[0] == "o2"
+
+
+def test_h21_dropped_sellers_and_products_drop_their_order_rows(small_tables):
+    from revlens.plans import notebook_analyses as nb
+    from revlens.plans.cleaning import clean_tables, product_categories
+    c = nb.notebook_tables(small_tables)
+    items, raw = c["items"], clean_tables(small_tables)
+    kept_sellers = raw["sellers"].select("seller_id")
+    assert kept_sellers.count() < small_tables["sellers"].count()
+    assert items.join(kept_sellers, "seller_id").count() < items.count()
+    kept = product_categories(small_tables["products"])
+    assert sorted(kept.collect()) == sorted(raw["products"].select(*kept.columns).collect())
+    people = items.join(kept, "product_id").join(nb._orders_customers(c, ("order_id",)), "order_id")
+    most = people.groupBy("product_category_name").agg(F.countDistinct("customer_unique_id").alias("n")).agg(F.max("n")).first()[0]
+    assert nb.category_repeat(c, min_customers=most + 1).count() == 0
+    assert nb.category_repeat(c, min_customers=1).agg(F.max("customers")).first()[0] == most

@@ -1,10 +1,11 @@
 """Differential check: every registered query with an oracle equals its
 DuckDB statement on the smallest test tables (the driver repeats this at
-sf0.01); queries without one at least run."""
+sf0.01)."""
 
 import pytest
 
 import __spark_entry__ as entry
+from revlens.catalog import REGISTRY
 from revlens.verify import compare, duck_connect
 
 from conftest import SF_SMALL
@@ -24,7 +25,8 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     if name not in ORACLES:
-        assert df.count() >= 0
+        # the llm queries without SQL have brute-force tests of their own
+        assert name not in REGISTRY and df.columns
         return
     ok, msg = compare(df, con, ORACLES[name])
     assert ok, msg
@@ -44,16 +46,3 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["order_month", "monthly_revenue"]
     assert df.count() > 0
-
-
-def test_shared_base_gives_same_results(spark, small_tables):
-    from revlens.catalog import REGISTRY
-    from revlens.plans.notebook_analyses import with_shared_notebook_base
-    from revlens.plans.sql_analyses import with_shared_base
-    from revlens.verify import canon
-    shared = with_shared_notebook_base(with_shared_base(small_tables))
-    for name in ("qry_01_rfm_segments", "qry_02_state_ltv", "qry_08_payment_method",
-                 "clm_01_pareto_share", "agg_18_first_delivery_date", "ana_01_rfm_quantile",
-                 "ana_06_distance_bins", "ana_11_customer_overview"):
-        a, b = REGISTRY[name](small_tables), REGISTRY[name](shared)
-        assert canon(a.collect(), a.columns) == canon(b.collect(), b.columns), name

@@ -10,7 +10,7 @@ from revlens.plans.sql_analyses import qry_10_monthly_revenue
 from revlens.sources import adapters
 from revlens.sources.csv import ingest_folder, read_csv, table_name
 from revlens.sources.schemas import RAW_SCHEMAS
-from revlens.sources.sinks import ingest_to_folder, register_rfm_view, register_view
+from revlens.sources.sinks import ingest_to_folder, refresh_rfm_view, register_view
 from revlens.streaming.revenue import (monthly_revenue_stream, read_file_stream,
                                        start_monthly_revenue)
 
@@ -59,9 +59,41 @@ def test_ingest_folder_isolates_failures(spark):
 def test_views(spark, small_tables):
     register_view(small_tables["orders"], "orders_view")
     assert spark.table("orders_view").count() == small_tables["orders"].count()
-    v = register_rfm_view(spark, small_tables)
-    assert set(v.columns) == {"customer_unique_id", "customer_segment"}
-    assert spark.sql("SELECT COUNT(*) FROM rfm_customer_segments").collect()[0][0] > 0
+
+
+def test_rfm_view_shows_appended_orders_after_refresh(spark):
+    from revlens.plans.sql_analyses import qry_11_rfm_customer_segments
+    from revlens.sources.adapters import load_tables
+    d = _folder()
+    for name in ("orders", "lineitem", "customer", "nation", "part", "supplier", "events"):
+        src = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        if name == "orders":
+            src = src.where("o_orderkey % 2 = 0")
+        src.write.parquet(f"{d}/{name}.parquet")
+    load = lambda: load_tables(spark, d)
+    view = refresh_rfm_view(load)
+    assert set(view.columns) == {"customer_unique_id", "customer_segment"}
+    before = spark.table("rfm_customer_segments").count()
+    (spark.read.parquet(f"{SF_SMALL}/orders.parquet").where("o_orderkey % 2 = 1")
+     .write.mode("append").parquet(f"{d}/orders.parquet"))
+    assert spark.table("rfm_customer_segments").count() == before  # a snapshot
+    refresh_rfm_view(load)
+    now = spark.table("rfm_customer_segments")
+    assert now.count() > before
+    assert sorted(now.collect()) == sorted(qry_11_rfm_customer_segments(load()).collect())
+
+
+def test_read_csv_takes_pandas_missing_tokens(spark):
+    d = _folder()
+    p = os.path.join(d, "t.csv")
+    tokens = ["NA", "NaN", "None", "n/a", "null", "", "none", "x", "-"]
+    pd.DataFrame({"k": range(len(tokens)), "v": tokens}).to_csv(p, index=False)
+    schema = "k int, v string"
+    got = [r.v for r in read_csv(spark, p, schema, na_values=["-"]).orderBy("k").collect()]
+    ref = pd.read_csv(p, na_values=["-"]).v
+    assert got == [None if pd.isna(x) else x for x in ref] == [None] * 6 + ["none", "x", None]
+    kept = [r.v for r in read_csv(spark, p, schema, na_values=["-"], keep_default_na=False).orderBy("k").collect()]
+    assert kept[:5] == tokens[:5] and kept[8] is None
 
 
 def test_streaming_monthly_revenue_equals_batch(spark, small_tables):
