@@ -118,26 +118,36 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.rint(p)
 
 
+def flight_holding(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, n: int) -> np.ndarray:
+    """A flight that leaves ``n`` fractional documents of all sizes alone."""
+    fractional = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    if not len(fractional) or not n:
+        return flight(size, p, rng)
+    kept = fractional[np.unique(np.linspace(0, len(fractional) - 1, n).round().astype(int))]
+    rest = p.copy()
+    rest[kept] = 0.0
+    out = flight(size, rest, rng)
+    out[kept] = p[kept]
+    return out
+
+
 def flight_and_landing(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """A flight that leaves ``LANDING`` documents of all sizes for the
     landing, as a large one that stays fractional has to be made up for."""
-    fractional = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-    kept = np.unique(np.linspace(0, len(fractional) - 1, LANDING).round().astype(int)) if len(fractional) else []
-    held = p.copy()
-    held[fractional[kept]] = 0.0
-    out = flight(size, held, rng)
-    out[fractional[kept]] = p[fractional[kept]]
-    return landing(size, out)
+    return landing(size, flight_holding(size, p, rng, LANDING))
 
 
 def _round(units: DataFrame, last: bool, level: int) -> DataFrame:
-    """One flight in every shard; the last one also lands."""
+    """One flight in every shard; the last one also lands. Until then the
+    first shard of a source holds documents back for the landing."""
 
     def move(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "order", "doc_id", "text_hash"], ascending=[False, True, True, True])
         size = pdf["size"].to_numpy(np.float64)
         rng = np.random.default_rng([level, int(key[0]), int(key[1])])
-        return pdf.assign(p=(flight_and_landing if last else flight)(size, pdf["p"].to_numpy(np.float64), rng))
+        p = pdf["p"].to_numpy(np.float64)
+        return pdf.assign(p=flight_and_landing(size, p, rng) if last else
+                          flight_holding(size, p, rng, 0 if key[1] else LANDING))
 
     return units.groupBy("source_no", "shard").applyInPandas(move, units.schema)
 
@@ -146,8 +156,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
              shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(doc_id, source, text_hash, size, source_size, target, copies)`` for
     every row."""
-    if shard_rows < 4:  # each shard leaves two documents: rounds must shrink
-        raise ValueError("shard_rows must be 4 or more")
+    if shard_rows < 3 * LANDING:  # what shards leave must shrink from round to round
+        raise ValueError(f"shard_rows must be {3 * LANDING} or more")
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce("text", F.lit(""))
@@ -180,8 +190,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     while most > 1:
         moved = written(_round(units, False, level))
         done.append(moved.where(decided))
-        # two documents at most are left of each shard
-        level, most = level + 1, -(-2 * most // shard_rows)
+        # two documents at most are left of each shard, and those held back
+        level, most = level + 1, -(-(2 * most + LANDING) // shard_rows)
         units = moved.where(~decided).withColumn("shard", F.pmod(F.col("order"), F.lit(most)).cast("int"))
     out = _round(units, True, level)
     for part in done:

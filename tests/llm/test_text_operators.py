@@ -206,13 +206,18 @@ def test_flight_keeps_both_totals():
     assert abs(mean.mean() - 0.3) < 0.02  # every document keeps a chance
 
 
-def test_mix_over_many_shards(docs):
-    whole = mixing.mix_plan(docs, shard_rows=5)
-    per = whole.groupBy("source").agg({"size": "sum", "target": "max"}).collect()
-    taken = {r["source"]: r["t"] for r in whole.selectExpr("source", "size * copies AS t").groupBy("source").agg(
-        {"t": "sum"}).withColumnRenamed("sum(t)", "t").collect()}
-    for r in per:
-        assert abs(taken[r["source"]] - r["max(target)"]) < 0.2 * r["max(target)"] + 50
+def test_mix_over_many_shards(make_docs):
+    rng = random.Random(6)
+    texts = ["w " * (5000 if k % 60 == 0 else rng.randrange(1, 300)) for k in range(900)]
+    docs = make_docs(texts, sources=["hot" if k % 3 else "a" if k % 2 else None for k in range(900)])
+    plan = mixing.mix_plan(docs, shard_rows=40).collect()  # a dozen shards and more of the hot source
+    for source in ("hot", "a", None):
+        own = [r for r in plan if r.source == source]
+        # the last decisions are off by less than the largest document
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) < 5000
+        rate = own[0].target / own[0].source_size
+        assert all(r.copies in (int(rate), int(rate) + 1) for r in own)
+        assert abs(sum(r.copies for r in own) / len(own) - rate) < 0.1
 
 
 # ----------------------------------------------------------------------- op6
