@@ -461,8 +461,8 @@ WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NU
 
 
 def _with_rfm(body: str) -> str:
-    from revlens.plans.oracles import _RFM
-    return oracle(body, _RFM)
+    from revlens.plans.oracles import _FACTS, _RFM
+    return oracle(body, _FACTS + "," + _RFM)
 
 
 SQL["clm_07_rfm_repeat_rate"] = _with_rfm("""
@@ -471,7 +471,7 @@ SELECT COUNT(*) AS customers,
          AS repeat_customers,
        round(AVG(CASE WHEN customer_segment <> 'Single Purchase' THEN 1.0 ELSE 0.0 END) * 100, 4)
          AS repeat_rate_pct
-FROM person_segments
+FROM labelled
 """)
 
 # --------------------------------------------------------------------------
