@@ -50,7 +50,8 @@ SWEEPS = 6
 #: Weight of the class model against the add-one unigram, and pseudo-counts of
 #: the class shares in a transition.
 CLASS_WEIGHT, TRANSITION_PRIOR = 0.8, 4.0
-#: Text bytes of a block, and dictionary entries of a part.
+#: Text bytes of a block (a longer text is a block of its own), and dictionary
+#: entries of a part.
 BLOCK_BYTES, PART_WORDS = 8 << 20, 1 << 20
 
 
@@ -130,12 +131,13 @@ def encoded_blocks(docs: DataFrame, held: F.Column) -> DataFrame:
                 [f.name for f in schema.fields])
 
         for batch in batches:
-            if batch.num_rows:
-                kept.append(batch)
-                size += batch.nbytes
-            if size >= BLOCK_BYTES:
-                yield block()
-                kept, size, number = [], 0, number + 1
+            _, offs = flat(batch.column("text"))
+            for i, j in chunks(offs, BLOCK_BYTES):
+                if kept and size + offs[j] - offs[i] > BLOCK_BYTES:
+                    yield block()
+                    kept, size, number = [], 0, number + 1
+                kept.append(batch.slice(i, j - i))
+                size += int(offs[j] - offs[i])
         if kept:
             yield block()
 
