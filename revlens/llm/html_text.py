@@ -15,8 +15,11 @@ that HTML implies, and a renderer emits all text that a reader would see:
   ``visibility:hidden`` (inner ``visibility:visible`` shows again), closed
   ``details`` but for their summary, and closed ``dialog``.
 
-Only inline styles are read. Elements nested deeper than ``DEPTH`` become
-siblings, as in browsers, so depth bounds the recursion.
+Only inline styles are read. Elements nest to any depth: the tree is rendered
+with a stack of its own, and the builder finds open elements by name. Only the
+layout has a bound: lists, quotes and tables inside ``DEPTH`` others add no
+further indent or columns (their text, marks and visibility stay), as lines
+would grow with the square of the depth.
 
 Defined results: a null or empty page has empty text; broken markup never
 fails (a ``<`` that opens no tag is text, an unknown end tag is ignored, open
@@ -28,7 +31,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,17 +93,23 @@ def build(page: str) -> Node:
     """Tree of a page; text is plain strings among the nodes."""
     root = Node("html")
     path = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # where in the path elements of a name are open
+
+    def last(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
+    def cut(at: int) -> None:
+        for node in path[at:]:
+            places[node.name].pop()
+        del path[at:]
 
     def end(names: set[str], stops: set[str]) -> None:
         """End the outermost open element of ``names`` inside of ``stops``."""
-        cut = None
-        for k in range(len(path) - 1, 0, -1):
-            if path[k].name in stops:
-                break
-            if path[k].name in names:
-                cut = k
-        if cut is not None:
-            del path[cut:]
+        stop, found = last(stops), []
+        for own in (places[n] for n in names):
+            found += own[(k := bisect_right(own, stop)):k + 1]
+        if found:
+            cut(min(found))
 
     def start(name: str, attrs: str) -> None:
         if name in ("html", "body"):  # one of each, which the tree need not show
@@ -116,7 +127,8 @@ def build(page: str) -> Node:
             start("tr", "")
         node = Node(name, attrs)
         path[-1].inner.append(node)
-        if name not in _VOID and len(path) < DEPTH:
+        if name not in _VOID:
+            places[name].append(len(path))
             path.append(node)
 
     def text(data: str) -> None:
@@ -139,28 +151,24 @@ def build(page: str) -> Node:
             name = name.lower()
             start(name, found["attrs"] or found["rest"] or "")
             raw = _RAW.get(name)
-            if raw and path[-1].name == name:
+            if raw:
                 stop = raw.search(page, at).start()
                 path[-1].inner.append(html.unescape(page[at:stop]) if name in ("title", "textarea") else page[at:stop])
-                path.pop()
+                cut(len(path) - 1)
                 close = page.find(">", stop)
                 at = len(page) if close < 0 else close + 1
         elif found["end"]:
             name = found["end"].lower()
             if name == "br":
                 start("br", "")
-            elif name == "p" and not any(n.name == "p" for n in path):
+            elif name == "p" and not places["p"]:
                 path[-1].inner.append(Node("p"))
             else:
                 # a cell or an item is not ended from within an inner table or list
                 stops = {"td", "th", "table"} - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else \
                     {"table"} - {name}
-                for k in range(len(path) - 1, 0, -1):
-                    if path[k].name == name:
-                        del path[k:]
-                        break
-                    if path[k].name in stops:
-                        break
+                if places[name] and places[name][-1] > last(stops):
+                    cut(places[name][-1])
 
 
 # ---------------------------------------------------------------- rendering
@@ -190,9 +198,12 @@ class Page:
         self.lines: list[str] = []
         self.open: list[str] = []  # pieces of the line that is being written
         self.gap = 0  # blank lines due before the next line
+        self.mark = ""  # of the list item whose first text comes next
 
     def write(self, data: str, pre: bool) -> None:
         if pre:
+            if self.mark and not data.isspace():
+                data, self.mark = self.mark + data, ""
             first, *rest = data.replace("\r\n", "\n").split("\n")
             if first:
                 self.open.append(first)
@@ -205,6 +216,8 @@ class Page:
         if data[0] == " " and (not self.open or self.open[-1].endswith(" ")):
             data = data[1:]
         if data:
+            if self.mark and data != " ":
+                data, self.mark = self.mark + data, ""
             self.open.append(data)
 
     def end_line(self, keep: bool = False, pre: bool = False) -> None:
@@ -234,7 +247,29 @@ class Page:
         return self.lines
 
 
-def _flow(nodes: list, page: Page, seen: bool, pre: bool) -> None:
+def run(task: Generator) -> object:
+    """Result of a generator that yields the generators it waits for."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def _shown(node: Node, seen: bool) -> bool:
+    """Whether text right in ``node`` is visible."""
+    if node.attrs and "visibility" in node.attrs.lower():
+        value = _style(node.attributes(), "visibility")
+        return value == "visible" if value in ("visible", "hidden", "collapse") else seen
+    return seen
+
+
+def _flow(nodes: list, page: Page, seen: bool, pre: bool, level: int = 0) -> Generator:
+    """``level`` counts the lists, quotes and tables around."""
     for node in nodes:
         if isinstance(node, str):
             if seen and node:
@@ -243,72 +278,76 @@ def _flow(nodes: list, page: Page, seen: bool, pre: bool) -> None:
         name = node.name
         if _unseen(node):
             continue
-        shown = seen
-        if node.attrs and "visibility" in node.attrs.lower():
-            value = _style(node.attributes(), "visibility")
-            shown = value == "visible" if value in ("visible", "hidden", "collapse") else seen
+        shown = _shown(node, seen)
         if name == "br":
             page.end_line(keep=True)
         elif name == "hr":
             page.block(True)
         elif name in ("ul", "ol", "menu", "dir"):
-            _list(node, page, shown, pre)
-        elif name == "table":
+            yield _list(node, page, shown, pre, level + 1)
+        elif name == "table" and level < DEPTH:
             page.block(True)
-            lines = _table(node, shown)
+            lines = yield _table(node, shown, level + 1)
             if lines:
                 page.put(lines)
                 page.gap = 1
         elif name == "details" and "open" not in node.attributes():
             page.block(False)
             first = [n for n in node.inner if not isinstance(n, str) and n.name == "summary"][:1]
-            _flow(first, page, shown, pre)
+            yield _flow(first, page, shown, pre, level)
             page.block(False)
         elif name in ("pre", "listing", "xmp", "textarea"):
             page.block(name != "textarea")
             inner = list(node.inner)
             if inner and isinstance(inner[0], str) and inner[0].startswith("\n"):
                 inner[0] = inner[0][1:]  # the line end after the tag is not text
-            _flow(inner, page, shown, True)
+            yield _flow(inner, page, shown, True, level)
             page.end_line(pre=True)
             page.block(name != "textarea")
-        elif name in ("dd", "blockquote"):
+        elif name in ("dd", "blockquote") and level < DEPTH:
             page.block(name == "blockquote")
             sub = Page()
-            _flow(node.inner, sub, shown, pre)
+            yield _flow(node.inner, sub, shown, pre, level + 1)
             lines = sub.result()
             if lines:
                 page.put(["  " + x if x else x for x in lines])
             page.block(name == "blockquote")
         elif name in _BLOCK:
             page.block(name in _MARGIN)
-            _flow(node.inner, page, shown, pre)
+            yield _flow(node.inner, page, shown, pre, level)
             page.block(name in _MARGIN)
-        else:
-            _flow(node.inner, page, shown, pre)
+        elif node.inner:
+            yield _flow(node.inner, page, shown, pre, level)
 
 
-def _list(node: Node, page: Page, seen: bool, pre: bool) -> None:
+def _list(node: Node, page: Page, seen: bool, pre: bool, level: int) -> Generator:
     page.block(True)
     start = node.attributes().get("start", "1") if node.name == "ol" else ""
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     out: list[str] = []
     for item in node.inner:
-        if isinstance(item, str) or item.name != "li":
-            sub = Page()
-            _flow([item], sub, seen, pre)
-            out += ["  " + x if x else x for x in sub.result()]
+        own = not isinstance(item, str) and item.name == "li"
+        if own and _unseen(item):
             continue
-        if _unseen(item):
+        sub = Page() if level <= DEPTH else page
+        mark = "" if not own else f"{number}. " if node.name == "ol" else "- "
+        if sub is page:
+            page.block(False)
+            page.mark += mark
+            due = page.mark
+        if not own:
+            yield _flow([item], sub, seen, pre, level)
+        else:
+            yield _flow(item.inner, sub, _shown(item, seen), pre, level)
+            number += 1
+        if sub is page:
+            page.end_line()
+            if page.mark == due:  # nothing visible came
+                page.mark = due[:len(due) - len(mark)]
+            continue
+        if not own:
+            out += ["  " + x if x else x for x in sub.result()]
             continue
-        sub = Page()
-        shown = seen
-        if item.attrs and "visibility" in item.attrs.lower():
-            value = _style(item.attributes(), "visibility")
-            shown = value == "visible" if value in ("visible", "hidden", "collapse") else seen
-        _flow(item.inner, sub, shown, pre)
-        mark = f"{number}. " if node.name == "ol" else "- "
-        number += 1
         lines = sub.result()
         if lines:
             # a nested list follows its item without a blank line
@@ -324,7 +363,7 @@ def _span(attrs: dict[str, str], name: str) -> int:
     return max(1, min(1000, int(value))) if value.isdigit() and len(value) < 9 else 1
 
 
-def _table(node: Node, seen: bool) -> list[str]:
+def _table(node: Node, seen: bool, level: int) -> Generator:
     captions, rows = [], []
     waiting = list(node.inner)[::-1]
     other = []
@@ -361,7 +400,8 @@ def _table(node: Node, seen: bool) -> list[str]:
             wide, tall = _span(attrs, "colspan"), _span(attrs, "rowspan")
             sub = Page()
             value = _style(attrs, "visibility")
-            _flow(cell.inner, sub, value == "visible" if value in ("visible", "hidden", "collapse") else seen, False)
+            yield _flow(cell.inner, sub, value == "visible" if value in ("visible", "hidden", "collapse") else seen, False,
+                        level)
             line[column] = (wide, sub.result())
             if tall > 1:
                 below.update({c: max(below.get(c, 0), tall - 1) for c in range(column, column + wide)})
@@ -387,11 +427,11 @@ def _table(node: Node, seen: bool) -> list[str]:
             at += width[c] + 2
     out: list[str] = []
     sub = Page()
-    _flow(other, sub, seen, False)  # text that the table misplaces stands before it
+    yield _flow(other, sub, seen, False, level)  # text that the table misplaces stands before it
     out += sub.result()
     for caption in captions:
         sub = Page()
-        _flow(caption.inner, sub, seen, False)
+        yield _flow(caption.inner, sub, seen, False, level)
         out += sub.result()
     if not used:
         return out
@@ -412,7 +452,7 @@ def render(page: str | None) -> str:
         return ""
     root, out = build(page), Page()
     if not _unseen(root):
-        _flow(root.inner, out, True, False)
+        run(_flow(root.inner, out, True, False))
     return "\n".join(out.result())
 
 

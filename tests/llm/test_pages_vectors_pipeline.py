@@ -112,3 +112,19 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
         want += [(d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
                   hashlib.sha256(sp.decode(ids).encode()).hexdigest())] * copies.get(d, 0)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == sorted(want)
+
+
+def test_rules_hold_at_any_depth():
+    for deep in ("<font>" * 300, "<div>" * 300, "<ul><li>" * 300):
+        def text(x):
+            return html_text.render(deep + x).lstrip("- ")
+        assert text("a<script>var x = '<b>no';</script><style>p{}</style>b") == "ab"
+        assert text("a<b hidden>no<i>no</i></b><template>no</template>b") == "ab"
+        assert text("<b style='display:none'><b>no</b>no</b>yes") == "yes"
+    assert html_text.render("<font>" * 300 + "<table><tr><td>a<td>b<tr><td>c<td>d</table>") == "a  b\nc  d"
+    out = html_text.render("<font>" * 300 + "<div hidden><span>no</span></div><div>yes</div>")
+    assert out == "yes"
+    lines = html_text.render("<ol><li>x" * 250).split("\n")
+    assert len(lines) == 250 and all(x.endswith("1. x") for x in lines)
+    assert html_text.render("<ul><li>" * 250 + "<li>b").count("b") == 1
+    assert html_text.render("<font>" * 60_000 + "<div>x</div>" * 20_000).count("x") == 20_000
