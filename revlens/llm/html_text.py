@@ -10,6 +10,9 @@ that HTML implies, and a renderer emits all text that a reader would see:
 * Table cells are padded to the width of their column (in code points), with
   two spaces between columns; ``colspan`` and ``rowspan`` keep cells aligned;
   a cell of several lines takes several lines of its row.
+* Formulas and the labels of drawings (``math``, ``svg``) are text, each label
+  on a line; their annotations, titles, descriptions, definitions and metadata
+  are not.
 * Not visible: ``head``, scripts, styles, templates, comments, embedded
   objects, elements with ``hidden``, ``display:none`` or
   ``visibility:hidden`` (inner ``visibility:visible`` shows again), closed
@@ -58,7 +61,7 @@ _FOLD = re.compile(r"[ \t\n\r\f]+")
 # fixed values of the HTML standard
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = set("head script style template noscript title iframe noembed noframes object svg math canvas audio video "
+_HIDDEN = set("head script style template noscript title iframe noembed noframes object canvas audio video "
               "datalist".split())
 _MARGIN = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset menu dir form".split())
 _BLOCK = _MARGIN | set(
@@ -76,14 +79,20 @@ _ENDS = {
     "tbody": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
 _ENDS["thead"] = _ENDS["tfoot"] = _ENDS["tbody"]
+#: within svg and math: not shown
+_FOREIGN_HIDDEN = set("annotation annotation-xml title desc defs metadata".split())
 _HEAD_ONLY = set("base link meta title style script template noscript noframes".split())
 
 
 class Node:
-    __slots__ = ("name", "attrs", "inner")
+    __slots__ = ("name", "attrs", "inner", "foreign")
 
-    def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.inner = name, attrs, []
+    def __init__(self, name: str, attrs: str = "", foreign: bool = False):
+        self.name, self.attrs, self.inner, self.foreign = name, attrs, [], foreign
+
+    def closed(self) -> bool:
+        """Whether the tag closes itself, as tags of svg and math may."""
+        return self.foreign and self.attrs.endswith("/") and not re.search(r"=\s*[^\s\"'>]+/$", self.attrs)
 
     def attributes(self) -> dict[str, str]:
         return {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(self.attrs)} if self.attrs else {}
@@ -125,9 +134,9 @@ def build(page: str) -> Node:
             end(*_ENDS[name])
         if name in ("td", "th") and path[-1].name in ("table", "tbody", "thead", "tfoot"):
             start("tr", "")
-        node = Node(name, attrs)
+        node = Node(name, attrs, last({"svg", "math"}) > last({"foreignobject"}) or name in ("svg", "math"))
         path[-1].inner.append(node)
-        if name not in _VOID:
+        if name not in _VOID and not node.closed():
             places[name].append(len(path))
             path.append(node)
 
@@ -151,7 +160,7 @@ def build(page: str) -> Node:
             name = name.lower()
             start(name, found["attrs"] or found["rest"] or "")
             raw = _RAW.get(name)
-            if raw:
+            if raw and path[-1].name == name and not path[-1].inner:
                 stop = raw.search(page, at).start()
                 path[-1].inner.append(html.unescape(page[at:stop]) if name in ("title", "textarea") else page[at:stop])
                 cut(len(path) - 1)
@@ -183,7 +192,7 @@ def _style(attrs: dict[str, str], name: str) -> str:
 
 
 def _unseen(node: Node) -> bool:
-    if node.name in _HIDDEN:
+    if node.name in _HIDDEN or node.foreign and node.name in _FOREIGN_HIDDEN:
         return True
     if not node.attrs:
         return node.name == "dialog"
@@ -312,7 +321,7 @@ def _flow(nodes: list, page: Page, seen: bool, pre: bool, level: int = 0) -> Gen
             if lines:
                 page.put(["  " + x if x else x for x in lines])
             page.block(name == "blockquote")
-        elif name in _BLOCK:
+        elif name in _BLOCK or name == "text" and node.foreign:
             page.block(name in _MARGIN)
             yield _flow(node.inner, page, shown, pre, level)
             page.block(name in _MARGIN)
@@ -358,50 +367,57 @@ def _list(node: Node, page: Page, seen: bool, pre: bool, level: int) -> Generato
         page.gap = 1
 
 
-def _span(attrs: dict[str, str], name: str) -> int:
-    value = attrs.get(name, "1").strip()
-    return max(1, min(1000, int(value))) if value.isdigit() and len(value) < 9 else 1
+#: More rows than a row group has.
+_REST = 1 << 62
+
+
+def _span(attrs: dict[str, str], name: str, least: int, most: int) -> int:
+    value = re.match(r"\s*\+?([0-9]{1,9})", attrs.get(name, ""))
+    return min(most, int(value[1])) if value and int(value[1]) >= least else 1
 
 
 def _table(node: Node, seen: bool, level: int) -> Generator:
     captions, rows = [], []
-    waiting = list(node.inner)[::-1]
-    other = []
+    waiting = [(part, seen, 0) for part in node.inner[::-1]]
+    other, groups = [], 0
     while waiting:
-        part = waiting.pop()
+        part, shown, group = waiting.pop()
         if isinstance(part, str):
             if part.strip():
-                other.append(part)
+                other.append((part, shown))
         elif _unseen(part):
             continue
         elif part.name in ("tbody", "thead", "tfoot"):
-            waiting += part.inner[::-1]
+            groups += 1
+            inside = _shown(part, shown)
+            waiting += [(p, inside, groups) for p in part.inner[::-1]]
         elif part.name == "tr":
-            rows.append(part)
+            rows.append((part, _shown(part, shown), group))
         elif part.name == "caption":
-            captions.append(part)
+            captions.append((part, _shown(part, shown)))
         else:
-            other.append(part)
+            other.append((part, shown))
     grid: list[dict[int, tuple[int, list[str]]]] = []
     taken: dict[int, int] = {}  # column: rows below that a cell still covers
-    for row in rows:
+    last_group = 0
+    for row, seen_row, group in rows:
+        if group != last_group:  # a cell covers rows of its own group only
+            taken, last_group = {}, group
         line: dict[int, tuple[int, list[str]]] = {}
         column, below = 0, {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.inner:
             if isinstance(cell, str) or cell.name not in ("td", "th"):
                 if not isinstance(cell, str) or cell.strip():
-                    other.append(cell)
+                    other.append((cell, seen_row))
                 continue
             if _unseen(cell):
                 continue
             while taken.get(column):
                 column += 1
             attrs = cell.attributes()
-            wide, tall = _span(attrs, "colspan"), _span(attrs, "rowspan")
+            wide, tall = _span(attrs, "colspan", 1, 1000), _span(attrs, "rowspan", 0, 65534) or _REST
             sub = Page()
-            value = _style(attrs, "visibility")
-            yield _flow(cell.inner, sub, value == "visible" if value in ("visible", "hidden", "collapse") else seen, False,
-                        level)
+            yield _flow(cell.inner, sub, _shown(cell, seen_row), False, level)
             line[column] = (wide, sub.result())
             if tall > 1:
                 below.update({c: max(below.get(c, 0), tall - 1) for c in range(column, column + wide)})
@@ -427,11 +443,12 @@ def _table(node: Node, seen: bool, level: int) -> Generator:
             at += width[c] + 2
     out: list[str] = []
     sub = Page()
-    yield _flow(other, sub, seen, False, level)  # text that the table misplaces stands before it
+    for part, shown in other:  # text that the table misplaces stands before it
+        yield _flow([part], sub, shown, False, level)
     out += sub.result()
-    for caption in captions:
+    for caption, shown in captions:
         sub = Page()
-        yield _flow(caption.inner, sub, seen, False, level)
+        yield _flow(caption.inner, sub, shown, False, level)
         out += sub.result()
     if not used:
         return out

@@ -128,3 +128,25 @@ def test_rules_hold_at_any_depth():
     assert len(lines) == 250 and all(x.endswith("1. x") for x in lines)
     assert html_text.render("<ul><li>" * 250 + "<li>b").count("b") == 1
     assert html_text.render("<font>" * 60_000 + "<div>x</div>" * 20_000).count("x") == 20_000
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math>.",
+     "so x=2."),
+    ("<svg><title/><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata>"
+     "<g><text x=1>one</text><path d='M0'/><text>two</text></g></svg>z<desc>w</desc>", "one\ntwo\nzw"),
+    ("<svg><defs/><title>no<b></title><text>a</text></svg>b", "a\nb"),
+    ("<svg><foreignObject><div/>in</foreignObject></svg>", "in"),
+    ("<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes<tr><td>a</table>", "   yes\na"),
+    ("<table><caption style='visibility:hidden'>no</caption><tbody style='visibility:collapse'><tr><td>no"
+     "<tbody><tr><td>yes</table>", "yes"),
+    ("<table><tr><td rowspan=0>r<td>1<tr><td>2<tr><td>3<tbody><tr><td>4</table>", "r  1\n   2\n   3\n4"),
+    ("<table><tr><td rowspan='²'>a<td>b</table>", "a  b"),
+])
+def test_visible_and_hidden_parts(page, text):
+    assert [x.rstrip() for x in html_text.render(page).split("\n") if x] == [x for x in text.split("\n") if x]
+
+
+def test_a_cell_may_cover_thousands_of_rows():
+    lines = html_text.render("<table><tr><td rowspan=3000>r<td>0" + "<tr><td>x" * 2999 + "<tr><td>end</table>").split("\n")
+    assert lines[0] == "r    0" and set(lines[1:3000]) == {"     x"} and lines[3000] == "end"
