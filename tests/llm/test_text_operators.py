@@ -355,3 +355,33 @@ def test_line_dedup_against_plain_python(make_docs, min_docs):
     got = {r.doc_id: (r._n_lines, r._n_dropped, r.text)
            for r in line_dedup.dedup_lines(make_docs(texts), min_docs=min_docs).collect()}
     assert got == _dedup(list(enumerate(texts)), min_docs)
+
+
+def test_every_word_is_clustered_by_its_contexts(make_docs, monkeypatch):
+    # two kinds of rare words, alike in spelling, told apart by their contexts only; more words than seeds
+    monkeypatch.setattr(brown, "SEEDS", 8)
+    monkeypatch.setattr(brown, "PART_WORDS", 50)
+    rng = random.Random(1)
+    texts = []
+    for k in range(600):
+        a, b = f"w{rng.randrange(60):03d}xyz", f"v{rng.randrange(60):03d}xyz"
+        texts.append(f"the {a} runs and the {a} sleeps" if k % 2 else f"we {b} them so you {b} it")
+    docs = make_docs(texts)
+    blocks = common.written(brown.encoded_blocks(docs, common.held_out("doc_id", 7, 2)))
+    parts = common.written(brown.counted_parts(blocks, 3))
+    assigned, table, course = brown.clustered(blocks, parts)
+    assert len(course) > 1 and course == sorted(course) and course[-1] == pytest.approx(brown.likelihood(table))
+    cls = {}
+    classes = {r.part: np.frombuffer(zlib.decompress(r.classes), np.uint8) for r in assigned.where("block = -1").collect()}
+    for r in parts.where("block = -1").collect():
+        for h, k in zip(np.frombuffer(r.hashes, "<u8").tolist(), brown._unplanes(r.codes).tolist()):
+            cls[h] = classes[r.part][k]
+
+    def of(kind):
+        names = [f"{kind}{k:03d}xyz".encode() for k in range(60)]
+        hashes = [int(common.span_hashes(np.frombuffer(w, np.uint8), np.array([len(w)]))[0]) for w in names]
+        return Counter(int(cls[h]) for h in hashes if h in cls)
+    w, v = of("w"), of("v")
+    assert sum(w.values()) > 50 and sum(v.values()) > 50 and max([*w, *v]) < brown.CLASSES
+    # nearly all classes hold words of one kind, though all are spelled alike
+    assert sum(max(w[c], v[c]) for c in range(brown.CLASSES)) > 0.9 * sum((w + v).values()), (w, v, course)
