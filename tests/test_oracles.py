@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from revlens.catalog import REGISTRY
 from revlens.verify import compare, duck_connect
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 QUERIES = entry.queries()
 _DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",

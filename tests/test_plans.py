@@ -9,7 +9,7 @@ import pytest
 from revlens.catalog import REGISTRY
 from revlens.plans import sql_analyses as q
 
-from conftest import SF_CHECK
+from paths import SF_CHECK
 
 
 def _plan(df) -> str:

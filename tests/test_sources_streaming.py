@@ -14,7 +14,7 @@ from revlens.sources.sinks import ingest_to_folder, refresh_rfm_view, register_v
 from revlens.streaming.revenue import (monthly_revenue_stream, read_file_stream,
                                        start_monthly_revenue)
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _folder():
