@@ -17,6 +17,7 @@ from revlens.llm.mixing import op5_mixing
 from revlens.llm.pieces import default_model, op3_sentencepiece
 from revlens.llm.quality import op1_quality
 from revlens.llm.simhash import op6_simhash_near_dedup
+from revlens.llm.spelling import op11_spelling
 from revlens.llm.topk import TOP_K_SQL, op8_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": lambda spark, d: op8_top_k(read(spark, d, "embeddings")),
     "op9_lm_scoring": lambda spark, d: op9_lm_scoring(read(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: op10_line_dedup(read(spark, d, "documents")),
+    "op11_spelling_variants": lambda spark, d: op11_spelling(read(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
