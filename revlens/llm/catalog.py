@@ -13,12 +13,14 @@ from revlens.llm.html_text import op7_html_text
 from revlens.llm.imatch import op2_imatch
 from revlens.llm.langid import op4_language_id
 from revlens.llm.line_dedup import LINE_DEDUP_SQL, op10_line_dedup
+from revlens.llm.minhash import op13_minhash_near_dedup
 from revlens.llm.mixing import op5_mixing
 from revlens.llm.pieces import default_model, op3_sentencepiece
 from revlens.llm.quality import op1_quality
 from revlens.llm.simhash import op6_simhash_near_dedup
 from revlens.llm.spelling import op11_spelling
 from revlens.llm.topk import TOP_K_SQL, op8_top_k
+from revlens.llm.whitening import op12_whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +36,8 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": lambda spark, d: op9_lm_scoring(read(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: op10_line_dedup(read(spark, d, "documents")),
     "op11_spelling_variants": lambda spark, d: op11_spelling(read(spark, d, "documents")),
+    "op13_minhash_near_dedup": lambda spark, d: op13_minhash_near_dedup(read(spark, d, "documents")),
+    "op12_embedding_whitening": lambda spark, d: op12_whitening(read(spark, d, "embeddings")),
 }
 
 ORACLE_SQL: dict[str, str] = {
