@@ -62,7 +62,7 @@ LEAST_AGREE = 88
 #: and rows of one block of the second pass.
 LOOSE = 512
 #: Pairs of a class above which the class is salted.
-FREQUENT = 64
+FREQUENT = 256
 _SHINGLES_AT_ONCE = 1 << 15
 
 _ODD = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
