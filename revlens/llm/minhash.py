@@ -10,8 +10,9 @@ Forest: a class has a signature of ``TREES`` x ``DEPTH`` MinHash values, a byte
 each. Tree ``t`` sorts the classes by its ``DEPTH`` values. Classes that agree in
 the first ``LEAST_DEPTH`` form a region. In the first pass every class proposes two
 candidates: of its neighbours in the sorted orders the one with the longest
-common prefix, and of its regions' first classes the smallest. They are
-confirmed on the full sets, and confirmed links give the components so far.
+common prefix, and the smallest of its neighbours and its regions' first
+classes. They are confirmed as below, and confirmed links give the components
+so far.
 
 The second pass loses no pair that a region holds: wherever a region still
 holds classes of different components, each class outside the region's largest
@@ -140,17 +141,20 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 # --------------------------------------------------------------- first pass
 
-def forest(classes: DataFrame) -> DataFrame:
-    """``(tree, prefix, node)``: the place of each class in each tree."""
+def forest(classes: DataFrame, *columns: str) -> DataFrame:
+    """``(tree, prefix, node)`` and more columns: the place of each class in
+    each tree."""
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * DEPTH + 1, DEPTH).alias("prefix"))
                       for t in range(TREES)])
-    return classes.where("n > 0").select("node", F.explode(trees).alias("at")).select("at.tree", "at.prefix", "node")
+    return classes.select("node", *columns, F.explode(trees).alias("at")).select(
+        "at.tree", "at.prefix", "node", *columns)
 
 
 def proposals(places: DataFrame) -> DataFrame:
     """``(node, other, shared)`` from the sorted orders: each class with the
     one before it and with the first of its region (of the piece of it that
-    lies in a partition), and the length of the prefix they share."""
+    lies in a partition), in both directions, and the length of the prefix
+    they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, None  # (tree, prefix, node) of the row before, and of the region's first
@@ -176,9 +180,11 @@ def proposals(places: DataFrame) -> DataFrame:
             with_first = np.where(far.any(axis=1), far.argmax(axis=1), DEPTH)
             new = np.arange(len(node)) > 0 if last is not None else np.ones(len(node), bool)
             a = np.flatnonzero(new & ~begins)
+            here, there = np.concatenate([node[a], node[a]]), np.concatenate([node[a - 1], first_node[a]])
+            shares = np.concatenate([shared[a - 1], with_first[a]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([node[a], node[a]])), pa.array(np.concatenate([node[a - 1], first_node[a]])),
-                 pa.array(np.concatenate([shared[a - 1], with_first[a]]).astype(np.int32))], ["node", "other", "shared"])
+                [pa.array(np.concatenate([here, there])), pa.array(np.concatenate([there, here])),
+                 pa.array(np.concatenate([shares, shares]))], ["node", "other", "shared"])
             last = (tree[-1], prefix[-1], node[-1])
             pivot = (tree[-1], first_prefix[-1], first_node[-1])
 
@@ -188,50 +194,63 @@ def proposals(places: DataFrame) -> DataFrame:
             .mapInArrow(run, "node long, other long, shared int"))
 
 
-def first_candidates(places: DataFrame) -> DataFrame:
+def first_candidates(classes: DataFrame) -> DataFrame:
     """Distinct ``(a, b)``, a > b: for each class its neighbour with the
-    longest common prefix and its smallest one."""
-    met = proposals(places).where("node <> other")
-    both = met.union(met.select("other", "node", "shared")).toDF("node", "other", "shared")
-    best = both.groupBy("node").agg(
-        F.min(F.struct((-F.col("shared")).alias("s"), "other"))["other"].alias("closest"), F.min("other").alias("least"))
-    return (best.select("node", F.explode(F.array("closest", "least")).alias("other"))
-            .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+    longest common prefix (the smallest, if several) and its smallest one."""
+    met = proposals(forest(classes)).where("node <> other").groupBy("node", "shared").agg(F.min("other").alias("other"))
+    best = met.groupBy("node").agg(F.max_by("other", "shared").alias("closest"), F.min("other").alias("least"))
+    pairs = (best.select("node", F.explode(F.array("closest", "least")).alias("other"))
+             .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+    sig = classes.select("node", "sig")
+    met = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (_bytes(batch.column(c)) for c in ("sig_a", "sig_b"))
+            at = pa.array(np.flatnonzero((left == right).sum(axis=1) >= LEAST_AGREE))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _bytes(sig: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
 
 
 # ------------------------------------------------------------- second pass
 
-def _region(depth: Column | int) -> Column:
-    return F.substring(F.col("prefix"), F.lit(1), F.lit(depth) if isinstance(depth, int) else depth)
+def _region(depth: int) -> Column:
+    return F.substring("prefix", 1, depth)
 
 
 def loose_regions(placed: DataFrame) -> DataFrame:
-    """``(tree, region, depth, main, n, loose)`` of the regions that hold
-    several components: ``main`` is the largest, ``loose`` classes lie outside.
-    Each is as deep as it must be."""
-    out, depth, rest = None, LEAST_DEPTH, placed
-    while True:
-        found = written(rest.groupBy("tree", _region(depth).alias("region"), "label").agg(F.count("*").alias("k"))
+    """The rows of ``placed`` (tree, prefix, node, label) that lie in regions
+    of several components, each with its ``region``, whether it is ``loose``
+    (outside the largest component), and the region's numbers ``n`` of rows
+    and ``k`` of loose ones. Each region is as deep as it must be."""
+    out, rest = None, placed
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        rest = rest.withColumn("region", _region(depth))
+        found = written(rest.groupBy("tree", "region", "label").agg(F.count("*").alias("m"))
                         .groupBy("tree", "region")
-                        .agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"),
-                             F.sum("k").alias("n"))
-                        .where("n > most").select("tree", "region", F.lit(depth).alias("depth"), "main", "n",
-                                                  (F.col("n") - F.col("most")).alias("loose")))
-        crowded = F.col("loose") > LOOSE if depth < DEPTH else F.lit(False)
-        done = found.where(~crowded)
+                        .agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"),
+                             F.sum("m").alias("n")).where("n > most")
+                        .select("tree", "region", "main", "n", (F.col("n") - F.col("most")).alias("k")))
+        crowded = F.col("k") > LOOSE if depth < DEPTH else F.lit(False)
+        done = rest.join(found.where(~crowded), ["tree", "region"]).select(
+            "tree", "region", "node", "label", (F.col("label") != F.col("main")).alias("loose"), "n", "k")
         out = done if out is None else out.union(done)
-        deeper = found.where(crowded).select("tree", "region")
-        if depth == DEPTH or deeper.isEmpty():
-            return out
-        rest = rest.withColumn("region", _region(depth)).join(deeper, ["tree", "region"], "left_semi").drop("region")
-        depth += 1
+        rest = rest.join(found.where(crowded), ["tree", "region"], "left_semi").drop("region")
+        if found.where(crowded).isEmpty():
+            break
+    return out
 
 
 def _pairs_in_block(table: pa.Table) -> pa.Table:
     """Candidates of one block: loose classes against all of the block, if
     their signatures agree enough and no earlier tree holds the pair."""
     node, label, tree, loose, seeks = (table.column(c).to_numpy() for c in ("node", "label", "tree", "loose", "seeks"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+    sig = _bytes(table.column("sig"))
     here = int(tree[0])
     q, r = np.flatnonzero(seeks), np.flatnonzero(~seeks)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -239,7 +258,8 @@ def _pairs_in_block(table: pa.Table) -> pa.Table:
         # two loose classes meet from both sides
         at = r[(label[r] != label[i]) & (~loose[r] | (node[r] < node[i]))]
         same = sig[at] == sig[i]
-        at, same = at[near := same.sum(axis=1) >= LEAST_AGREE], same[near]
+        near = same.sum(axis=1) >= LEAST_AGREE
+        at, same = at[near], same[near]
         earlier = same[:, :here * DEPTH].reshape(len(at), here, DEPTH)[:, :, :LEAST_DEPTH].all(axis=2).any(axis=1)
         at = at[~earlier]
         a.append(np.maximum(node[at], node[i]))
@@ -247,27 +267,30 @@ def _pairs_in_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def second_candidates(places: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(a, b)``, a > b: pairs of one region and different components whose
-    signatures agree enough."""
-    placed = written(places.join(labels, "node", "left").select(
-        "tree", "prefix", "node", F.coalesce("label", "node").alias("label")))
-    regions = written(loose_regions(placed))
-    met = (placed.withColumn("region", F.explode(F.array(*[_region(d) for d in range(LEAST_DEPTH, DEPTH + 1)])))
-           .withColumn("depth", F.length("region"))
-           .join(regions, ["tree", "region", "depth"])
-           .select("tree", "region", "node", "label", (F.col("label") != F.col("main")).alias("loose"),
-                   F.ceil(F.col("n") / LOOSE).cast("int").alias("blocks"),
-                   F.ceil(F.col("loose") / LOOSE).cast("int").alias("parts"))
-           .join(classes.select("node", "sig"), "node"))
-    deal = lambda c, n: F.pmod(F.xxhash64("node", F.lit(c)), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    columns = ["tree", "region", "node", "label", "loose", "sig"]
-    stand = met.withColumn("block", deal(1, "blocks")).withColumn("part", F.explode(every("parts"))).select(
-        *columns, "block", "part", F.lit(False).alias("seeks"))
-    seek = met.where("loose").withColumn("part", deal(2, "parts")).withColumn("block", F.explode(every("blocks"))).select(
-        *columns, "block", "part", F.lit(True).alias("seeks"))
-    return stand.union(seek).groupBy("tree", "region", "block", "part").applyInArrow(_pairs_in_block, "a long, b long")
+def second_candidates(classes: DataFrame) -> DataFrame:
+    """``(a, b)``, a > b: pairs of one region and different components
+    (``label``) whose signatures agree enough."""
+    places = forest(classes, "label")
+    # most regions hold one component: two numbers for each tell which
+    mixed = (places.groupBy("tree", _region(LEAST_DEPTH).alias("region"))
+             .agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tree", "region"))
+    placed = written(places.withColumn("region", _region(LEAST_DEPTH)).join(mixed, ["tree", "region"], "left_semi")
+                     .drop("region"))
+    met = written(loose_regions(placed).join(classes.select("node", "sig"), "node").select(
+        "tree", "region", "node", "label", "loose", "sig", F.ceil(F.col("n") / LOOSE).cast("int").alias("blocks"),
+        F.ceil(F.col("k") / LOOSE).cast("int").alias("parts")))
+
+    def dealt(salt: int, n: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n).cast("long")).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    columns = ["tree", "region", "node", "label", "loose", "sig", "block", "part"]
+    stand = met.withColumn("block", dealt(1, "blocks")).withColumn("part", every("parts"))
+    seek = met.where("loose").withColumn("part", dealt(2, "parts")).withColumn("block", every("blocks"))
+    return (stand.select(*columns, F.lit(False).alias("seeks")).union(seek.select(*columns, F.lit(True).alias("seeks")))
+            .groupBy("tree", "region", "block", "part").applyInArrow(_pairs_in_block, "a long, b long"))
 
 
 # -------------------------------------------------------------- confirmation
@@ -328,7 +351,6 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     classes = written(prints.where("n > 0").groupBy(*key).agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"),
         F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()))
-    places = written(forest(classes))
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs)
@@ -340,12 +362,16 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         discard(sets, pairs)
         return out
 
-    found = links(first_candidates(places))
-    labels = components(found)
-    more = links(second_candidates(places, classes, labels))
-    labels = components(found.union(more))
-    labelled = classes.join(labels, "node", "left").select(
-        *key, "node", "least_id", F.coalesce("label", "node").alias("label"))
+    first = components(links(first_candidates(classes)))
+    joined = written(classes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    # what the second pass links are components of the first
+    more = links(second_candidates(joined))
+    label = joined.select("node", "label")
+    between = more.join(label.toDF("u", "x"), "u").join(label.toDF("v", "y"), "v").select(
+        F.col("x").alias("u"), F.col("y").alias("v"))
+    second = components(between).toDF("label", "over")
+    labelled = joined.join(second, "label", "left").select(
+        *key, "node", "least_id", F.coalesce("over", "label").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     member = labelled.join(ids, "label").select(*key, "node", "label", "component_id")
     return prints.join(member, key, "left").select(
