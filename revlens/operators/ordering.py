@@ -1,8 +1,9 @@
 """Order-dependent operators that stay distributed.
 
-``Window.orderBy`` without ``partitionBy`` (NTILE over all customers, a
-global running total, rank over a whole column) sends every row to one task.
-The operators here compute the same values in one way at every size:
+``Window.orderBy`` without ``partitionBy`` (a global running total, rank over a
+whole column) sends every row to one task. The operators here compute the same
+values in one way at every size (tiles and quantiles, which need less, are
+lazy plans of ``selection`` and ``quantiles``):
 
 1. The order is made total by appending unique key columns; Spark's
    ``repartitionByRange`` deals the rows out by it and sorts each partition.
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions._col import as_col
+from revlens.operators.quantiles import exact_quantiles
 from revlens.operators.relational import join_null_safe
+from revlens.operators.selection import Sort, Tiles, as_sorts, ntile_ends, with_tiles
 from revlens.session import cut_lineage, discard
 
 PARTITIONS_CONF = "revlens.order.partitions"
@@ -41,25 +44,6 @@ PARTITIONS_CONF = "revlens.order.partitions"
 _PLACE_BITS = 33
 
 
-@dataclass(frozen=True)
-class Sort:
-    """One sort term."""
-    col: str | Column
-    desc: bool = False
-    nulls_first: bool | None = None  # default: ASC nulls first, DESC nulls last (Spark)
-
-    def spark_order(self) -> Column:
-        c = as_col(self.col)
-        nulls_first = (not self.desc) if self.nulls_first is None else self.nulls_first
-        if self.desc:
-            return c.desc_nulls_first() if nulls_first else c.desc_nulls_last()
-        return c.asc_nulls_first() if nulls_first else c.asc_nulls_last()
-
-
-def _as_sorts(order: Sequence[Sort | str]) -> list[Sort]:
-    return [s if isinstance(s, Sort) else Sort(s) for s in order]
-
-
 @dataclass(frozen=True)
 class Rank:
     """One ordering to number (``weight`` None) or to sum ``weight`` over.
@@ -81,7 +65,7 @@ def _partitions(spark) -> int:
 def _placed(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[str]) -> DataFrame:
     """The rows of ``df``, stored in range partitions of the total order, with
     partition ``_p`` and place ``_i`` (from 0) in it."""
-    terms = [*[s.spark_order() for s in _as_sorts(order)], *[F.col(k).asc() for k in keys]]
+    terms = [*[s.spark_order() for s in as_sorts(order)], *[F.col(k).asc() for k in keys]]
     stored = cut_lineage(df.repartitionByRange(_partitions(df.sparkSession), *terms)
                          .sortWithinPartitions(*terms).withColumn("_at", F.monotonically_increasing_id()))
     return (stored.withColumn("_p", F.shiftright("_at", _PLACE_BITS).cast("int"))
@@ -111,7 +95,7 @@ def running_totals(df: DataFrame, ranks: Sequence[Rank]) -> DataFrame:
     """
     out, placed, last = df, None, None
     for r in ranks:
-        order = (tuple(_as_sorts(r.order)), tuple(r.keys))
+        order = (tuple(as_sorts(r.order)), tuple(r.keys))
         if placed is None or repr(order) != last:
             before, placed = placed, _placed(out.drop("_p", "_i"), r.order, r.keys)
             if before is not None:
@@ -142,42 +126,16 @@ def global_position(df: DataFrame, order: Sequence[Sort | str], keys: Sequence[s
     return running_total(df, order, keys, weight=None, out=out, total=total)
 
 
-def ntile_from_position(pos, n, k: int) -> Column:
-    """NTILE(k) of the row at 1-based position ``pos`` among ``n`` rows."""
-    r, n = as_col(pos).cast("bigint"), as_col(n).cast("bigint")
-    q = F.floor(n / k).cast("bigint")
-    m = n - q * k
-    big = m * (q + 1)
-    return (F.when(r <= big, F.floor((r - 1) / (q + 1)) + 1)
-            .otherwise(m + F.floor((r - 1 - big) / F.greatest(q, F.lit(1))) + 1)).cast("int")
-
-
 def ntile(df: DataFrame, k: int, order: Sequence[Sort | str], keys: Sequence[str], out: str) -> DataFrame:
     """Distributed ``NTILE(k) OVER (ORDER BY order..., keys...)``."""
     return ntiles(df, k, [(order, keys, out)])
 
 
 def ntiles(df: DataFrame, k: int, specs: Sequence[tuple]) -> DataFrame:
-    """Several ``NTILE(k)`` columns at once; ``specs`` = [(order, keys, out)]."""
-    ranks = [Rank(order, keys, f"_p{i}", None, "_n" if i == 0 else None)
-             for i, (order, keys, _) in enumerate(specs)]
-    pos = running_totals(df, ranks)
-    for i, (_, _, out) in enumerate(specs):
-        pos = pos.withColumn(out, ntile_from_position(f"_p{i}", "_n", k))
-    return pos.drop("_n", *[f"_p{i}" for i in range(len(specs))])
-
-
-def qcut_rank_tile(pos, n, q: int = 4) -> Column:
-    """pandas ``qcut(rank, q)`` bin (1..q) of rank ``pos`` among ``n`` distinct
-    ranks 1..n: edges sit at ``1 + (n-1)*j/q`` (linear interpolation), the
-    first bin includes its lower edge. Integer form of
-    ``max(1, ceil(q*(pos-1)/(n-1)))``; n == 1 gives bin 1.
-    """
-    r, n = as_col(pos).cast("bigint"), as_col(n).cast("bigint")
-    return (F.when(n <= 1, F.lit(1))
-            .otherwise(F.greatest(F.lit(1),
-                                  F.floor((q * (r - 1) + n - 2) / F.greatest(n - 1, F.lit(1)))))
-            ).cast("int")
+    """Several ``NTILE(k)`` columns at once; ``specs`` = [(order, keys, out)].
+    Tiles need no positions: :mod:`revlens.operators.selection` finds the rows
+    that end them."""
+    return with_tiles(df, [Tiles(order, keys, out, ntile_ends(k)) for order, keys, out in specs])
 
 
 def _carried(placed: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:
@@ -208,7 +166,7 @@ def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Sort
     without sending a whole group to one task: rows are dealt out by (groups,
     order, keys), numbered within (partition, group), and a group that began
     in an earlier partition adds what those hold of it."""
-    placed = _placed(df, [*[Sort(g) for g in groups], *_as_sorts(order)], keys)
+    placed = _placed(df, [*[Sort(g) for g in groups], *as_sorts(order)], keys)
     start = F.min("_i").over(Window.partitionBy("_p", *groups))
     met = join_null_safe(placed.withColumn("_start", start),
                          _carried(placed, groups, F.lit(1).cast("bigint")), ["_p", *groups], "left")
@@ -218,45 +176,20 @@ def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Sort
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: Sequence[float], *,
                     names: Sequence[str] | None = None) -> DataFrame:
-    """Per-group linear-interpolated quantiles of ``col`` (NULLs skipped),
-    exact and distributed: (group, value) pairs are counted with a partial
-    aggregate and dealt out by (group, value); a running count within each
-    group locates its order statistics, and one more partial aggregate per
-    group picks them. No task ever holds all values of a group."""
+    """Per-group linear-interpolated quantiles of ``col`` (NULLs skipped, groups
+    without values left out), exact and distributed
+    (:mod:`revlens.operators.quantiles`)."""
     names = list(names or [f"{col}_q{i}" for i in range(len(qs))])
-    vc = (df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).alias("_v"))
-          .agg(F.count(F.lit(1)).alias("_c")))
-    placed = _placed(vc, [Sort(g) for g in groups] + [Sort("_v")], [])
-    local = F.sum("_c").over(Window.partitionBy("_p", *groups).orderBy("_i")
-                             .rowsBetween(Window.unboundedPreceding, 0))
-    cum = join_null_safe(placed.withColumn("_local", local), _carried(placed, groups, F.col("_c")),
-                         ["_p", *groups], "left").withColumn(
-        "_cum", F.col("_local") + F.coalesce("_carry", F.lit(0)))
-    totals = placed.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    j = join_null_safe(cum, totals, groups)
-    first, last = F.col("_cum") - F.col("_c"), F.col("_cum")  # 0-based index of the first copy
-    aggs = []
-    for i, q in enumerate(qs):
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.max(F.when((first <= lo) & (lo < last), F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when((first <= hi) & (hi < last), F.col("_v"))).alias(f"_hi{i}"),
-                 F.max(h - lo).alias(f"_fr{i}")]
-    picked = j.groupBy(*groups).agg(*aggs)
-    return picked.select(*groups, *[
-        (F.col(f"_lo{i}").cast("double")
-         + (F.col(f"_hi{i}").cast("double") - F.col(f"_lo{i}").cast("double")) * F.col(f"_fr{i}"))
-        .alias(names[i]) for i in range(len(qs))])
+    wide = exact_quantiles(df, [col], qs, groups=groups).where(F.col(f"{col}_n") > 0)
+    return wide.select(*groups, *[F.col(f"{col}_q{i}").alias(name) for i, name in enumerate(names)])
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], *,
                      groups: Sequence[str] = ()) -> DataFrame:
-    """Quantiles of several columns in one distributed pass: the columns are
-    stacked as (groups..., _col, value) and quantiled per (groups, _col).
-    Returns rows (groups..., column, q0, q1, ...)."""
-    stacked = df.select(*groups, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols]))
-        .alias("_s")).select(*groups, "_s._col", "_s._x")
-    names = [f"q{i}" for i in range(len(qs))]
-    out = group_quantiles(stacked, [*groups, "_col"], "_x", qs, names=names)
-    return out.withColumnRenamed("_col", "column")
+    """Quantiles of several columns in one distributed pass, as rows (groups...,
+    column, q0, q1, ...) of the columns that have values."""
+    wide = exact_quantiles(df, cols, qs, groups=groups)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_n").alias("n"),
+                              *[F.col(f"{c}_q{i}").alias(f"q{i}") for i in range(len(qs))]) for c in cols])
+    return (wide.select(*groups, F.explode(rows).alias("r")).where("r.n > 0")
+            .select(*groups, "r.column", *[f"r.q{i}" for i in range(len(qs))]))

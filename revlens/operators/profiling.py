@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.operators.ordering import column_quantiles
+from revlens.operators.quantiles import exact_quantiles
 from revlens.operators.relational import with_scalars
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -70,23 +70,16 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``df.describe()`` for numeric columns in long form (column, statistic,
     value): count, mean, std (sample), min, 25%, 50%, 75%, max. Quartiles are
-    exact linear-interpolated, computed distributed per column."""
+    exact linear-interpolated; the moments come with their first pass."""
     cols = list(cols or numeric_columns(df))
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).cast("double").alias(f"count|{c}"),
-                 F.avg(c).cast("double").alias(f"mean|{c}"),
-                 F.stddev_samp(c).cast("double").alias(f"std|{c}"),
-                 F.min(c).cast("double").alias(f"min|{c}"),
-                 F.max(c).cast("double").alias(f"max|{c}")]
-    moments = (_long(df.agg(*aggs), [a for a in df.agg(*aggs).columns], "key", "value")
-               .select(F.split("key", r"\|")[1].alias("column"),
-                       F.split("key", r"\|")[0].alias("statistic"), "value"))
-    quart = (column_quantiles(df, cols, [0.25, 0.5, 0.75])
-             .select("column", F.col("q0").alias("25%"), F.col("q1").alias("50%"),
-                     F.col("q2").alias("75%"))
-             .unpivot(["column"], ["25%", "50%", "75%"], "statistic", "value"))
-    return moments.unionByName(quart).select("column", "statistic", "value")
+    moments = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = exact_quantiles(df, cols, [0.25, 0.5, 0.75], also=[
+        f(c).cast("double").alias(f"{c}_{name}") for c in cols for name, f in moments.items()])
+    statistics = {"count": "n", **{name: name for name in moments}, "25%": "q0", "50%": "q1", "75%": "q2"}
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(name).alias("statistic"),
+                              F.col(f"{c}_{held}").cast("double").alias("value"))
+                     for c in cols for name, held in statistics.items()])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -146,20 +139,16 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Rows with any column outside [Q1 - k*IQR, Q3 + k*IQR]: one row with
     rows, outliers, outlier_pct and the bounds per column."""
-    q = column_quantiles(df, cols, [0.25, 0.75])  # one row per column
-    bounds = q.agg(*[
-        F.max(F.when(F.col("column") == c, F.col("q0") - k * (F.col("q1") - F.col("q0"))))
-        .alias(f"{c}_lower") for c in cols], *[
-        F.max(F.when(F.col("column") == c, F.col("q1") + k * (F.col("q1") - F.col("q0"))))
-        .alias(f"{c}_upper") for c in cols])
-    bounds = bounds.select(*[x for c in cols for x in (f"{c}_lower", f"{c}_upper")])
-    flagged = with_scalars(df.select(*cols), bounds)
-    out_pred = None
+    q = exact_quantiles(df, cols, [0.25, 0.75])
+    iqr = {c: F.col(f"{c}_q1") - F.col(f"{c}_q0") for c in cols}
+    bounds = q.select(*[x for c in cols for x in ((F.col(f"{c}_q0") - k * iqr[c]).alias(f"{c}_lower"),
+                                                  (F.col(f"{c}_q1") + k * iqr[c]).alias(f"{c}_upper"))])
+    outside = F.lit(False)
     for c in cols:
-        p = F.coalesce((F.col(c) < F.col(f"{c}_lower")) | (F.col(c) > F.col(f"{c}_upper")),
-                       F.lit(False))
-        out_pred = p if out_pred is None else (out_pred | p)
-    agg = flagged.agg(F.count(F.lit(1)).alias("rows"),
-                      F.sum(out_pred.cast("bigint")).alias("outliers"))
-    return (with_scalars(agg, bounds)
+        outside = outside | F.coalesce((F.col(c) < F.col(f"{c}_lower")) | (F.col(c) > F.col(f"{c}_upper")),
+                                       F.lit(False))
+    # the bounds leave by the aggregate that uses them
+    return (with_scalars(df.select(*cols), bounds)
+            .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(outside.cast("bigint")), F.lit(0)).alias("outliers"),
+                 *[F.max(b).alias(b) for b in bounds.columns])
             .withColumn("outlier_pct", F.col("outliers") * 100.0 / F.col("rows")))

@@ -65,16 +65,15 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def group_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Per-group linear-interpolated median of each column (NULLs skipped).
+    """Per-group linear-interpolated median of each column (NULLs skipped; a
+    group without values keeps its row).
 
-    Exact and distributed (``ordering.group_quantiles``): Spark's ``median``
-    would merge every distinct value of a group in one task.
+    Exact and distributed: Spark's ``median`` would merge every distinct value
+    of a group in one task.
     """
-    from revlens.operators.ordering import column_quantiles
-    med = (column_quantiles(df, cols, [0.5], groups=keys)
-           .groupBy(*keys).pivot("column", list(cols)).agg(F.first("q0")))
-    out = df.select(*keys).distinct()  # every group, also those with only NULLs
-    return join_null_safe(out, med, keys, "left").select(*keys, *[F.col(c) for c in cols])
+    from revlens.operators.quantiles import exact_quantiles
+    med = exact_quantiles(df, cols, [0.5], groups=keys)
+    return med.select(*keys, *[F.col(f"{c}_q0").alias(c) for c in cols])
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],

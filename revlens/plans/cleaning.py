@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from revlens.functions import strings as S
 from revlens.functions.dates import elapsed_hours, floored_days, parse_coerce, parse_strict
-from revlens.operators.ordering import column_quantiles
+from revlens.operators.quantiles import exact_quantiles
 from revlens.operators.relational import first_row_per_key, with_scalars
 
 # ---- fixed values ----------------------------------------------------------
@@ -161,13 +161,10 @@ def product_categories(df: DataFrame) -> DataFrame:
 def clean_products(df: DataFrame, drop_unknown: bool = True) -> DataFrame:
     """Null tokens, 'unknown' category, drop non-positive dimensions, median
     fill (medians taken after the drop), volume, drop 'unknown' (the quality
-    table is taken just before that last step: ``drop_unknown=False``). Runs
-    the jobs of the median when it is called."""
+    table is taken just before that last step: ``drop_unknown=False``)."""
     kept = _kept_products(df)
-    # exact global medians; the quantile operator bounds its memory (see ordering)
-    med = column_quantiles(kept, PRODUCT_MEDIAN_FILL, [0.5])
-    medians = med.agg(*[F.max(F.when(F.col("column") == c, F.col("q0"))).alias(f"_med_{c}")
-                        for c in PRODUCT_MEDIAN_FILL])
+    medians = exact_quantiles(kept, PRODUCT_MEDIAN_FILL, [0.5]).select(
+        *[F.col(f"{c}_q0").alias(f"_med_{c}") for c in PRODUCT_MEDIAN_FILL])
     filled = with_scalars(kept, medians)
     for c in PRODUCT_MEDIAN_FILL:
         filled = filled.withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}")))
@@ -253,8 +250,7 @@ def clean_payments(df: DataFrame) -> DataFrame:
 
 
 class _LazyTables(dict):
-    """Mapping that builds each table on first access (some cleaning steps
-    run a small bounded job while planning, e.g. the product medians)."""
+    """Mapping that builds the plan of each table on first access."""
 
     def __init__(self, builders):
         super().__init__()

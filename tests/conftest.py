@@ -28,5 +28,7 @@ def small_tables(spark):
 def multi_bucket(spark):
     """Deal the rows of ordering operators out to many small partitions."""
     spark.conf.set("revlens.order.partitions", "23")
+    spark.conf.set("revlens.select.every", "7")
     yield
     spark.conf.unset("revlens.order.partitions")
+    spark.conf.unset("revlens.select.every")

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from revlens.operators.ordering import (Rank, Sort, column_quantiles, ntile, ntiles,
-                                        qcut_rank_tile, running_totals)
+from revlens.operators.ordering import Rank, Sort, column_quantiles, ntile, ntiles, running_totals
+from revlens.operators.selection import Tiles, qcut_rank_ends, with_tiles
 
 
 def _ties_frame(spark, n, seed=0):
@@ -68,7 +68,7 @@ def test_running_total_and_position(spark, multi_bucket):
 
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 7, 9, 10, 17, 40])
 def test_qcut_rank_tile_matches_pandas(spark, n):
-    df = spark.range(1, n + 1).withColumn("t", qcut_rank_tile(F.col("id"), F.lit(n), 4))
+    df = with_tiles(spark.range(1, n + 1), [Tiles(["id"], [], "t", qcut_rank_ends(4))])
     got = [r.t for r in df.orderBy("id").collect()]
     ref = pd.qcut(pd.Series(range(1, n + 1)).rank(method="first"), q=4,
                   labels=[1, 2, 3, 4]).astype(int).tolist()

@@ -1,6 +1,6 @@
 """Physical-plan checks for scale: pruning reaches the scan, no row-at-a-time
-Python, and the global NTILE is partitioned by range bucket rather than
-gathered into a single partition."""
+Python, and the global NTILE needs neither a window nor one partition for its
+rows."""
 
 import re
 
@@ -35,10 +35,16 @@ def test_no_row_at_a_time_python(small_tables, name):
 def test_global_ntile_needs_no_window_over_all_rows(spark, small_tables, multi_bucket):
     df = q.rfm_scores(small_tables)
     plan = _plan(df)
-    assert "SinglePartition" not in plan and "windowspecdefinition(recency_days" not in plan
+    assert "Window" not in plan and "rangepartitioning" not in plan
+    assert all(_PARTIAL.match(node) for node in _single_partition_inputs(plan))
     assert df.count() > 0
 
 
+#: A row, or k rows, for each task.
+_PARTIAL = re.compile(r"(HashAggregate|ObjectHashAggregate|SortAggregate)\(keys=\[\], functions=\[(\]|.*partial_)"
+                      r"|LocalLimit|TakeOrderedAndProject")
+
+
 def _single_partition_inputs(plan: str) -> list[str]:
     """The node under each ``Exchange SinglePartition``."""
     lines = plan.splitlines()
@@ -53,8 +59,7 @@ def test_no_single_partition_over_data(spark, name):
     from revlens.sources.adapters import load_tables
     plan = _plan(REGISTRY[name](load_tables(spark, SF_CHECK)))
     for node in _single_partition_inputs(plan):
-        assert re.match(r"(HashAggregate|ObjectHashAggregate|SortAggregate)\(keys=\[\], functions=\[(\]|.*partial_)"
-                        r"|LocalLimit|TakeOrderedAndProject", node), node
+        assert _PARTIAL.match(node), node
 
 
 def test_python_only_where_city_text_is_output(small_tables):
