@@ -10,7 +10,7 @@
 
 The order statistics, and from them the quantiles of all columns, come out of
 that aggregate, so no task holds a group's values. Without groups the brackets
-are one broadcast row. With groups they are joined to the rows by group; adaptive
+are one broadcast row, and counts and lists are two aggregates of one row. With groups they are joined to the rows by group; adaptive
 execution broadcasts them if they are small and splits a hot group if not.
 
 Nulls and NaN are skipped, as pandas does; a group without values has null
@@ -50,19 +50,30 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], *,
           for c in cols],
         *also)
     more = [c for c in sketched.columns[len(groups) + 2 * len(cols):]]
-    met = join_null_safe(rows, sketched, list(groups)) if groups else with_scalars(rows, sketched)
-    aggs = [F.max(F.col(f"`{c}`")).alias(c) for c in more] + [F.coalesce(F.max(f"_n_{c}"), F.lit(0)).alias(f"{c}_n") for c in cols]
+    ends = sketched.select(*groups, *[F.col(f"`{c}`") for c in more], *[F.col(f"_n_{c}") for c in cols], *[
+        F.col(f"_s_{c}")[2 * i + j].alias(f"_{side}_{c}_{i}")
+        for c in cols for i in range(len(qs)) for j, side in enumerate(("low", "high"))])
+    met = join_null_safe(rows, ends, list(groups)) if groups else with_scalars(rows, ends)
+    counts = [F.max(F.col(f"`{c}`")).alias(c) for c in more]
+    counts += [F.coalesce(F.max(f"_n_{c}"), F.lit(0)).alias(f"{c}_n") for c in cols]
+    gathered, near = [], F.lit(False)
     for c in cols:
         x = F.col(c)
         for i in range(len(qs)):
-            low, high = F.col(f"_s_{c}")[2 * i], F.col(f"_s_{c}")[2 * i + 1]
             at = f"{c}_{i}"
-            aggs += [F.max(low).alias(f"_low_{at}"), F.max(high).alias(f"_high_{at}"),
-                     F.max(F.when(x < low, x)).alias(f"_before_{at}"), F.min(F.when(x > high, x)).alias(f"_after_{at}"),
-                     F.count_if(x < low).alias(f"_below_{at}"), F.count_if(x == low).alias(f"_at_low_{at}"),
-                     F.count_if((x == high) & (low < high)).alias(f"_at_high_{at}"),
-                     F.sort_array(F.collect_list(F.when((x > low) & (x < high), x))).alias(f"_inside_{at}")]
-    found = met.groupBy(*groups).agg(*aggs)
+            low, high = F.col(f"_low_{at}"), F.col(f"_high_{at}")
+            inside = (x > low) & (x < high)
+            near = near | inside
+            counts += [F.max(low).alias(f"_low_{at}"), F.max(high).alias(f"_high_{at}"),
+                       F.max(F.when(x < low, x)).alias(f"_before_{at}"), F.min(F.when(x > high, x)).alias(f"_after_{at}"),
+                       F.count_if(x < low).alias(f"_below_{at}"), F.count_if(x == low).alias(f"_at_low_{at}"),
+                       F.count_if((x == high) & (low < high)).alias(f"_at_high_{at}")]
+            gathered.append(F.sort_array(F.collect_list(F.when(inside, x))).alias(f"_inside_{at}"))
+    if groups:
+        found = met.groupBy(*groups).agg(*counts, *gathered)
+    else:
+        # counting stays in generated code; few rows reach the lists
+        found = with_scalars(met.agg(*counts), met.where(near).agg(*gathered))
     return found.select(*groups, *[F.col(f"`{c}`") for c in more], *[F.col(f"{c}_n") for c in cols],
                         *[_interpolated(c, i, q).alias(f"{c}_q{i}") for c in cols for i, q in enumerate(qs)])
 
