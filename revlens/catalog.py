@@ -17,6 +17,7 @@ from revlens.plans import notebook_analyses as ana
 from revlens.plans import primitives as prim
 from revlens.plans import quality as prf
 from revlens.plans import sql_analyses as q
+from revlens.plans import storage as sto
 from revlens.sources.adapters import load_tables
 
 TableQuery = Callable[[dict[str, DataFrame]], DataFrame]
@@ -86,6 +87,10 @@ REGISTRY: dict[str, TableQuery] = {
     "dup_06_seller_cities": prim.dup_06_seller_cities,
     "agg_14_zip_median_point": prim.agg_14_zip_median_point,
     "agg_18_first_delivery_date": prim.agg_18_first_delivery_date,
+    # sources and sinks, through files
+    "src_01_inferred_types": sto.src_01_inferred_types,
+    "src_05_folder_ingest": sto.src_05_folder_ingest,
+    "snk_01_replace_roundtrip": sto.snk_01_replace_roundtrip,
 }
 
 

@@ -76,12 +76,17 @@ def cut_lineage(df):
     file statistics for adaptive planning. Never a local checkpoint.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/{_MATERIALIZED_PREFIX}{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, for files that
+    :func:`clear_materialized` removes."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_MATERIALIZED_PREFIX}{uuid.uuid4().hex}"
+
+
 def discard(*frames) -> None:
     """Delete tables that ``cut_lineage`` made and no later plan reads."""
     for df in frames:

@@ -5,12 +5,14 @@ import tempfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from revlens.plans.sql_analyses import qry_10_monthly_revenue
 from revlens.sources import adapters
 from revlens.sources.csv import ingest_folder, read_csv, table_name
 from revlens.sources.schemas import RAW_SCHEMAS
-from revlens.sources.sinks import ingest_to_folder, refresh_rfm_view, register_view
+from revlens.sources.folder import scan_folder
+from revlens.sources.sinks import ingest_to_folder, refresh_rfm_view, register_rfm_view, register_view, replace_files
 from revlens.streaming.revenue import (monthly_revenue_stream, read_file_stream,
                                        start_monthly_revenue)
 
@@ -83,6 +85,73 @@ def test_rfm_view_shows_appended_orders_after_refresh(spark):
     assert sorted(now.collect()) == sorted(qry_11_rfm_customer_segments(load()).collect())
 
 
+def test_rfm_view_follows_catalog_tables(spark, small_tables):
+    from revlens.plans.sql_analyses import qry_11_rfm_customer_segments
+    d = _folder()
+    names = ("customers", "orders", "payments")
+    try:
+        for name in names:
+            df = small_tables[name].where("order_id % 2 = 0") if name == "orders" else small_tables[name]
+            df.write.saveAsTable(f"live_{name}", path=f"{d}/{name}")
+        register_rfm_view({name: spark.table(f"live_{name}") for name in names}, "live_rfm")
+        before = spark.table("live_rfm").count()
+        small_tables["orders"].where("order_id % 2 = 1").write.insertInto("live_orders")
+        now = spark.table("live_rfm").collect()
+        assert len(now) > before
+        assert sorted(now) == sorted(qry_11_rfm_customer_segments(small_tables).collect())
+        assert sorted(spark.sql("SELECT * FROM live_rfm").collect()) == sorted(now)
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS live_{name}")
+
+
+def test_scan_folder_verdicts(spark):
+    d = _folder()
+    os.mkdir(os.path.join(d, "Order Items.csv"))
+    good = "a,b\n1,x\n2,NA\n"
+    for name, text in (("Order Items.csv/part 1.csv", good), ("Order Items.csv/part-2.csv", "a,b\n3,y\nnot a number,z\n4,w,5\n"),
+                       ("Order Items.csv/part-3.csv", "a,b\n"), ("other.csv", good), ("notes.txt", "ignored")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    scan = scan_folder(spark, d, {"order_items": StructType.fromDDL("a int, b string")})
+    assert sorted((r.a, r.b) for r in scan.tables["order_items"].collect() if r.b) == [(1, "x"), (3, "y")]
+    assert scan.tables["order_items"].where("b is null").select("a").collect() == [(2,)]
+    got = {r.file: (r.table, r.rows, r.corrupt_rows, r.ok, r.error) for r in scan.verdicts.collect()}
+    assert got == {"part 1.csv": ("order_items", 2, 0, True, None),
+                   "part-2.csv": ("order_items", 3, 2, False, "2 corrupt rows"),
+                   "part-3.csv": ("order_items", 0, 0, True, None),
+                   "other.csv": ("other", 0, 0, False, "no schema")}
+    assert scan_folder(spark, _folder(), {}).verdicts.collect() == []
+
+
+def test_types_are_inferred_after_missing_tokens(spark):
+    d = _folder()
+    p = os.path.join(d, "t.csv")
+    with open(p, "w") as f:
+        f.write("i,d,b,s,z,n,big\n1,1.5,True,x,01409,NA,99999999999999999999\nNA,NA,NA,NA,NA,NA,NA\n3,-2e3,false,4,7,NA,1\n")
+    df = read_csv(spark, p)
+    assert dict(df.dtypes) == {"i": "bigint", "d": "double", "b": "boolean", "s": "string", "z": "bigint",
+                               "n": "string", "big": "double"}
+    assert [tuple(r) for r in df.select("i", "d", "b", "s", "z").collect()] == [
+        (1, 1.5, True, "x", 1409), (None,) * 5, (3, -2000.0, False, "4", 7)]
+
+
+def test_replace_files_keeps_the_table_if_a_write_fails(spark):
+    path = os.path.join(_folder(), "t")
+    replace_files(spark.range(3), path)
+    broken = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("refused"))).otherwise(F.col("id")).alias("id"))
+    for _ in range(2):
+        try:
+            replace_files(broken, path)
+            raise AssertionError("the write did not fail")
+        except Exception as ex:  # noqa: BLE001
+            assert "refused" in str(ex)
+    assert os.listdir(os.path.dirname(path)) == ["t"]
+    assert spark.read.parquet(path).count() == 3
+    replace_files(spark.read.parquet(path).union(spark.range(2)), path)  # reads what it replaces
+    assert spark.read.parquet(path).count() == 5
+
+
 def test_read_csv_takes_pandas_missing_tokens(spark):
     d = _folder()
     p = os.path.join(d, "t.csv")
