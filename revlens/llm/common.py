@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.session import cut_lineage, ensure_checkpoint_dir
+from revlens.session import cut_lineage, discard, ensure_checkpoint_dir  # noqa: F401
 
 #: Rows and bytes of one Arrow batch sent to a Python worker. Documents may
 #: hold 100 kB and more, so Spark's default of 10,000 rows would not bound a
@@ -65,13 +65,18 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`written` that no later plan reads."""
-    for df in frames:
-        sc = df.sparkSession.sparkContext
-        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = sc._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as one column ``record``, so that no column of it
+    can clash with those that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
 
 
 def held_out(doc_id: Column | str, buckets: int, remainder: int) -> Column:

@@ -69,6 +69,10 @@ _BLOCK = _MARGIN | set(
     "hgroup li dt dd legend option optgroup select textarea caption tr td th thead tbody tfoot xmp listing".split())
 _CLOSES_P = _BLOCK - set("li dt dd tr td th thead tbody tfoot caption option optgroup select textarea html body "
                          "legend".split()) | {"hr", "li", "dd", "dt"}
+#: elements whose end tag leaves blocks within them open
+_FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split())
+#: elements that are no blocks here, whose end tag ends all within them
+_SCOPES = set("button object applet marquee template svg math foreignobject".split())
 #: start tag: the open elements it ends, and the elements that stop the search
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -134,12 +138,39 @@ def build(page: str) -> Node:
             end(*_ENDS[name])
         if name in ("td", "th") and path[-1].name in ("table", "tbody", "thead", "tfoot"):
             start("tr", "")
+        if name == "form" and path[-1].name in ("table", "tbody", "thead", "tfoot", "tr"):
+            return  # an empty element there: rows and cells are not inside of it
         node = Node(name, attrs, last({"svg", "math"}) > last({"foreignobject"}) or name in ("svg", "math"))
         path[-1].inner.append(node)
         if name not in _VOID and not node.closed():
             places[name].append(len(path))
             path.append(node)
 
+    def end_tag(name: str) -> None:
+        """An end tag. It reaches out of no inner cell or table. That of a
+        formatting element or link ends it alone: blocks within stay open. That
+        of another element which is no block reaches out of no block."""
+        if name in ("table", "tr", "tbody", "thead", "tfoot"):
+            stop = last({"table"} - {name})
+        else:
+            stop = last({"td", "th", "table"} - {name})
+        if not places[name] or places[name][-1] <= stop:
+            return
+        at = places[name][-1]
+        block = next((k for k in range(at + 1, len(path)) if path[k].name in _BLOCK), None)
+        if block is None or name in _BLOCK or name in _SCOPES:
+            cut(at)
+        elif name in _FORMATTING:
+            # the blocks go on; those of a hidden element go on beside it
+            kept, apart = path[block:], _unseen(path[at])
+            cut(at)
+            for node in kept:
+                if apart:
+                    node = Node(node.name, node.attrs, node.foreign)
+                    path[-1].inner.append(node)
+                places[node.name].append(len(path))
+                path.append(node)
+
     def text(data: str) -> None:
         if path[-1].name == "head" and not data.isspace():
             end({"head"}, set())
@@ -173,11 +204,7 @@ def build(page: str) -> Node:
             elif name == "p" and not places["p"]:
                 path[-1].inner.append(Node("p"))
             else:
-                # a cell or an item is not ended from within an inner table or list
-                stops = {"td", "th", "table"} - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else \
-                    {"table"} - {name}
-                if places[name] and places[name][-1] > last(stops):
-                    cut(places[name][-1])
+                end_tag(name)
 
 
 # ---------------------------------------------------------------- rendering

@@ -13,7 +13,9 @@ and positions move per line; a text moves once, to meet its positions.
 Defined results: a null text and an empty text are one empty line. Rows that
 share a ``doc_id`` count as one document (a null id is one document, after
 all others), but every row is rebuilt on its own; exact repeats of a row give
-exact repeats of the result. Keys are told apart by 96 bits of two hashes.
+exact repeats of the result. Keys are told apart by 96 bits of two hashes. A
+very long text is split and joined whole in its row. An empty table gives no
+rows. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import written
+from revlens.llm.common import records, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WHITE = " \t\n\x0b\x0c\r"
@@ -64,37 +66,39 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
             .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped")))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """Every row of ``docs`` with its columns, ``text`` rebuilt, and
-    ``_n_lines`` (before dropping) and ``_n_dropped``."""
+def _rebuilt(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``(record, text, n_lines, n_dropped)`` for every row; ``text`` is null
+    where no line went."""
     gone = dropped_lines(docs, min_chars, min_docs).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    met = docs.withColumn("_text_hash", F.xxhash64(text)).join(
-        gone, F.col("_text_hash").eqNullSafe(F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "dropped")
+    text = F.coalesce("record.text", F.lit(""))
+    rows = records(docs).withColumn("text_hash", F.xxhash64(text))
+    met = rows.join(gone, F.col("text_hash").eqNullSafe(F.col("hash")) & F.col("record.doc_id").eqNullSafe(F.col("id")), "left")
 
     def rebuild(lines: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(lines) - 1)
-        kept = F.transform(F.array_except(places, F.col("_dropped")), lambda p: F.get(lines, p))
+        kept = F.transform(F.array_except(places, F.col("dropped")), lambda p: F.get(lines, p))
         return F.struct(F.size(lines).cast("long").alias("n"), F.when(
-            F.col("_dropped").isNotNull(), F.array_join(kept, "\n")).alias("text"))
+            F.col("dropped").isNotNull(), F.array_join(kept, "\n")).alias("text"))
 
     # the lambda binds the split lines once; named in the lambda over the
     # positions, split() would run again for each of them
-    met = met.withColumn("_built", F.transform(F.array(_lines(text)), rebuild)[0])
-    return met.select(
-        *[(F.when(F.col("_dropped").isNull(), docs["text"]).otherwise(F.col("_built.text")).alias("text")
-           if c == "text" else docs[c]) for c in docs.columns],
-        F.col("_built.n").alias("_n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("_n_dropped"))
+    met = met.withColumn("built", F.transform(F.array(_lines(text)), rebuild)[0])
+    return met.select("record", "built.text", F.col("built.n").alias("n_lines"),
+                      F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """Every row of ``docs`` with its columns, ``text`` rebuilt."""
+    return _rebuilt(docs, min_chars, min_docs).select(*[
+        (F.coalesce("text", "record.text") if c == "text" else F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(docs: DataFrame) -> DataFrame:
     """Contract columns: doc_id, n_lines, n_dropped, kept_sha256."""
-    out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return _rebuilt(docs.select("doc_id", "text"), 10, 2).select(
+        "record.doc_id", "n_lines", "n_dropped",
+        F.sha2(F.coalesce("text", "record.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 #: DuckDB: the same rule as relational SQL over whole texts.

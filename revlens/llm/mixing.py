@@ -19,11 +19,18 @@ documents of all sizes that the flight left alone and its last two are decided
 together, so that the words of the source come nearest to the target.
 
 Sharding, order and random directions depend on ids, texts and sizes alone,
-so reruns agree. The driver holds one row per source.
+so reruns agree. The driver holds one row per source (some 100 bytes each), which
+must be labels, not free text: a million sources are 100 MB there.
+
+Rows that are equal in id, source and text are one unit with a multiplicity, so
+a row that repeats a million times is one row of its shard. Of its fractional
+copies the whole ones are taken and the rest of one is drawn.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a source
-without words has target 0. Rows that share a doc_id are rows of their own.
-Other columns are never read.
+without words has target 0. Rows that share a doc_id are rows of their own;
+equal rows take copies that differ by one at most. Ties in size are moved in
+the order of a hash. A very long text is only counted. An empty table gives no
+rows. Other columns are kept by the mix, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -32,11 +39,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import ship, written
+from revlens.llm.common import records, ship, written
+from revlens.operators.ordering import Sort, group_row_number
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -152,19 +160,21 @@ def _round(units: DataFrame, last: bool, level: int) -> DataFrame:
     return units.groupBy("source_no", "shard").applyInPandas(move, units.schema)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP,
-             shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(doc_id, source, text_hash, size, source_size, target, copies)`` for
-    every row."""
+def mix_units(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP,
+              shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(doc_id, source, text_hash, size, rows, source_size, target, copies)``
+    for every set of equal rows: how many there are, and all their copies."""
     if shard_rows < 3 * LANDING:  # what shards leave must shrink from round to round
         raise ValueError(f"shard_rows must be {3 * LANDING} or more")
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce("text", F.lit(""))
+    # equal rows are one unit, however many they are
     sized = written(docs.select(
         "doc_id", "source", F.xxhash64(text).alias("text_hash"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+        .groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("rows")))
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("s"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["s"]) for r in sources]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], cap)
@@ -181,8 +191,13 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     if len(sources) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     order = F.xxhash64("doc_id", "text_hash")
+    # of the fractional copies of a unit's rows only what is left of one is drawn
+    drawn = F.col("rows") * F.col("p")
+    surely = F.floor(drawn + _EPS)
+    rest = F.when(drawn - surely > _EPS, drawn - surely).otherwise(0.0)
     units = sized.join(table, F.col("source").eqNullSafe(F.col("s_source"))).select(
-        "doc_id", "source", "text_hash", "size", "source_no", "source_size", "target", "whole", "p",
+        "doc_id", "source", "text_hash", "size", "rows", "source_no", "source_size", "target",
+        (F.col("whole") * F.col("rows") + surely).alias("whole"), rest.alias("p"),
         F.pmod(order, F.col("shards").cast("long")).cast("int").alias("shard"),
         F.xxhash64(F.lit(1), "doc_id", "text_hash").alias("order"))
     decided = F.col("p").isin(0.0, 1.0)
@@ -196,10 +211,25 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     out = _round(units, True, level)
     for part in done:
         out = out.union(part)
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target",
+    return out.select("doc_id", "source", "text_hash", "size", "rows", "source_size", "target",
                       (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
+def _share(row: Column) -> Column:
+    """Copies of row number ``row`` (from 1) of a unit's equal rows."""
+    return F.floor(F.col("copies") / F.col("rows")) + (row <= F.col("copies") % F.col("rows")).cast("long")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP,
+             shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(doc_id, source, text_hash, size, source_size, target, copies)`` for
+    every row; a unit's copies are dealt evenly over its equal rows."""
+    each = mix_units(docs, weights, cap, shard_rows).withColumn(
+        "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select("doc_id", "source", "text_hash", "size", "source_size", "target",
+                       _share(F.col("row")).cast("int").alias("copies"))
+
+
 def op5_mixing(docs: DataFrame) -> DataFrame:
     """Contract columns: doc_id, size, source_size, target, taken."""
     return mix_plan(docs).select("doc_id", "size", "source_size", "target",
@@ -208,15 +238,18 @@ def op5_mixing(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the plan takes it.
-    Documents without words, of which a mix of words takes nothing, go."""
-    plan = (mix_plan(docs).where("size > 0")
-            .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
-            .agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    met = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_id"]) & (rows["_text_hash"] == plan["_hash"])
-                    & rows["source"].eqNullSafe(plan["_source"]))
-    # rows that repeat share the copies of all of them
-    order = Window.partitionBy("_id", "_source", "_hash").orderBy(F.lit(0))
-    return (met.withColumn("_row", F.row_number().over(order)).where("_row = 1")
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+    Documents without words, of which a mix of words takes nothing, go. Rows
+    of one id, source and text that differ in other columns share their copies
+    evenly, what is left over in the order of a hash of all columns."""
+    units = mix_units(docs).where("size > 0 and copies > 0").select(
+        F.col("doc_id").alias("id"), "source", F.col("text_hash").alias("hash"), "rows", "copies")
+    rows = records(docs).withColumn("text_hash", F.xxhash64(F.coalesce("record.text", F.lit(""))))
+    met = rows.join(units, F.col("record.doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+                    & F.col("record.source").eqNullSafe(F.col("source"))).drop("text_hash")
+    even = F.col("copies") % F.col("rows") == 0
+    # only these need a place among their equals
+    uneven = group_row_number(met.where(~even).withColumn("mark", F.xxhash64("record")),
+                              ["id", "source", "hash"], [Sort("mark")], [], "row").drop("mark")
+    dealt = met.where(even).withColumn("row", F.lit(1).cast("long")).unionByName(uneven)
+    return (dealt.withColumn("copy", F.explode(F.array_repeat(F.lit(0), _share(F.col("row")).cast("int"))))
+            .select(*[F.col(f"record.`{c}`").alias(c) for c in docs.columns]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import WHITE, bound_batches, chunks, flat, held_out, mix, span_hashes, spans
+from revlens.llm.common import WHITE, bound_batches, chunks, flat, free_name, held_out, mix, span_hashes, spans
 
 REFERENCE, RANK, NEIGHBOURS, POWER = 2048, 48, 25, 12
 #: Fixed value of the contract: the least score of a good document.
@@ -185,4 +185,5 @@ def op1_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
-    return scored(docs, labels, "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = free_name(docs, "score")
+    return scored(docs, labels, score).where(F.col(score) >= THRESHOLD).drop(score)

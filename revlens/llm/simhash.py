@@ -31,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import LOWER, WHITE, bound_batches, chunks, flat, spans, written
+from revlens.llm.common import LOWER, WHITE, bound_batches, chunks, flat, records, spans, written
 from revlens.llm.components import components
 
 #: Fixed value of the contract.
@@ -251,10 +251,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
     row with the smallest doc_id stays (of repeated rows, one)."""
     groups = near_groups(docs, shingle, max_bits)
     stays = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("label").agg(F.min("text_hash").alias("_hash"),
-                                   F.first("component_id").alias("_id"))
-             .groupBy("_id", "_hash").agg(F.lit(1).alias("_one")).drop("_one"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    met = rows.join(stays, rows["doc_id"].eqNullSafe(stays["_id"]) & (rows["_text_hash"] == stays["_hash"]))
-    order = Window.partitionBy("_id", "_hash").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    return met.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*[docs[c] for c in docs.columns])
+             .groupBy("label").agg(F.min("text_hash").alias("hash"), F.first("component_id").alias("id"))
+             .groupBy("id", "hash").agg(F.lit(1).alias("one")).drop("one"))
+    rows = records(docs).withColumn("text_hash", F.xxhash64(F.coalesce("record.text", F.lit(""))))
+    met = rows.join(stays, F.col("record.doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    # one of rows that repeat; they differ in other columns at most
+    first = F.min(F.struct(*[F.col(f"record.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]))
+    return met.groupBy("id", "hash").agg(first.alias("first")).select(*[
+        F.col(f"first.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: a KD-tree for each shard.
 
 Vectors become integers, ``floor(scale * x)`` of each component as a double.
-The candidates are dealt by the hash of their id into shards of about
-``SHARD_ROWS`` vectors. A shard's tree splits at the median of the widest
+The candidates are dealt by the hash of their stored row number into shards of
+about ``SHARD_ROWS`` vectors. A shard's tree splits at the median of the widest
 dimension; each node has the tight bounding box of its vectors. For a query
 ``q`` no vector of a box has a larger inner product than
 ``sum(max(q * low, q * high))``, so a search visits the nodes of a tree best
@@ -19,7 +19,8 @@ with a join on the shard number.
 Defined results: a vector that is null or empty or has a null or non-finite
 component takes no part; vectors of another length than the query's are not
 compared with it. A row never finds rows of its own id. Ties go to the
-smaller id; repeated rows of an id stay results of their own. Scores are exact
+smaller id; repeated rows of an id stay results of their own, and each query
+row, repeated or not, gets k results of its own. An empty table gives no rows. Scores are exact
 while they stay below 2**53. Other columns are never read.
 """
 
@@ -107,18 +108,20 @@ class Tree:
 # ------------------------------------------------------------------ packing
 
 def _pack(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each key and vector length: ids and numbers as bytes."""
+    """One row for each key and vector length: row numbers, ids and
+    components as bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, vectors = None, [], []
+        held, numbers, ids, vectors = None, [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int32()),
+                     pa.array([np.concatenate(numbers).astype("<i8").tobytes()], pa.binary()),
                      pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()),
                      pa.array([zlib.compress(np.concatenate(vectors).astype("<f8").tobytes(), 1)], pa.binary())],
-                    [key, "dim", "ids", "vectors"])
+                    [key, "dim", "numbers", "ids", "vectors"])
 
         for batch in batches:
             number, dim = (batch.column(c).to_numpy() for c in (key, "dim"))
@@ -128,13 +131,14 @@ def _pack(rows: DataFrame, key: str) -> DataFrame:
                     continue
                 if held != (number[a], dim[a]):
                     yield from flush()
-                    held, ids, vectors = (int(number[a]), int(dim[a])), [], []
+                    held, numbers, ids, vectors = (int(number[a]), int(dim[a])), [], [], []
+                numbers.append(batch.column("row").slice(a, b - a).to_numpy())
                 ids.append(batch.column("vec_id").slice(a, b - a).to_numpy())
                 vectors.append(batch.column("v").slice(a, b - a).flatten().to_numpy())
         yield from flush()
 
     return (rows.repartition(key).sortWithinPartitions(key, "dim", "vec_id")
-            .mapInArrow(pack, f"{key} int, dim int, ids binary, vectors binary"))
+            .mapInArrow(pack, f"{key} int, dim int, numbers binary, ids binary, vectors binary"))
 
 
 def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,16 +161,17 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0)
     which ``is_query`` holds."""
     bound_batches(table.sparkSession)
     spark = table.sparkSession
-    rows = written(vectors(table, scale))
+    # numbers of stored rows: a task that runs again finds the same
+    rows = written(vectors(table, scale).withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    index = _pack(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "shard")
+    index = _pack(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), "shard")
     asked = rows.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     queries = written(_pack(asked.withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(1), F.col("vec_id")), F.lit(blocks)).cast("int")), "block"))
+        "block", F.pmod(F.xxhash64(F.lit(1), F.col("row")), F.lit(blocks)).cast("int")), "block"))
     # one bounded sample, by hash of the id, for the first k-th scores
-    sample = rows.orderBy(F.xxhash64(F.lit(2), F.col("vec_id")), "vec_id").limit(SAMPLE).toArrow()
+    sample = rows.orderBy(F.xxhash64(F.lit(2), F.col("row")), "row").limit(SAMPLE).toArrow()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in set(sample.column("dim").to_pylist()):
         part = sample.filter(pa.compute.equal(sample.column("dim"), dim))
@@ -188,10 +193,10 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0)
                 floors.append(floor.astype("<f8").tobytes())
             yield pdf.assign(floors=floors)
 
-    asked_all = (queries.mapInPandas(first_bounds, "block int, dim int, ids binary, vectors binary, floors binary")
-                 .withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    asked_all = (queries.mapInPandas(first_bounds, "block int, dim int, numbers binary, ids binary, vectors binary, floors binary")
+                 .withColumnsRenamed({"numbers": "q_numbers", "ids": "q_ids", "vectors": "q_vectors"})
                  .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    met = index.repartition(shards, "shard").join(asked_all.repartition(shards, "shard").hint("merge"), ["shard", "dim"])
+    met = index.drop("numbers").repartition(shards, "shard").join(asked_all.repartition(shards, "shard").hint("merge"), ["shard", "dim"])
 
     def search(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, of = None, None
@@ -203,13 +208,14 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0)
                     tree = Tree(*_unpack(pdf["ids"].iloc[row], pdf["vectors"].iloc[row], dim))
                 ids, q = _unpack(pdf["q_ids"].iloc[row], pdf["q_vectors"].iloc[row], dim)
                 bounds, floors = tree.bounds(q), np.frombuffer(pdf["floors"].iloc[row], "<f8")
-                found = [(i, -v, s) for i, x, b, f in zip(ids.tolist(), q, bounds, floors.tolist())
+                numbers = np.frombuffer(pdf["q_numbers"].iloc[row], "<i8")
+                found = [(n, i, -v, s) for n, i, x, b, f in zip(numbers.tolist(), ids.tolist(), q, bounds, floors.tolist())
                          for s, v in tree.search(i, x, b, k, f)]
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(
-                    {"query_id": "int64", "vec_id": "int64", "score": "int64"})
+                columns = ["query_row", "query_id", "vec_id", "score"]
+                yield pd.DataFrame(found, columns=columns).astype({c: "int64" for c in columns})
 
-    found = met.mapInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInPandas(search, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
@@ -222,16 +228,16 @@ def op8_top_k(table: DataFrame) -> DataFrame:
 #: DuckDB: every query against every row.
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS e
+  SELECT vec_id, row_number() OVER () AS number, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, q.number, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
   WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+  SELECT *, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

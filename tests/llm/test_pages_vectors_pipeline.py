@@ -87,6 +87,24 @@ def test_top_k_over_shards(spark, monkeypatch):
         assert [found[i + 1] for i in range(20)] == [(k, -s) for s, k in want]
 
 
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    """Every query row has its own k results, whatever rows share its id."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(100)] + [(7, [1.0, 0.0, 0.0])] * 200
+    rows += [rows[20]] * 3 + [(40, [0.0, 1.0, 0.0])]
+    got = {}
+    for r in topk.op8_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = {}
+    for i, q in whole:
+        if i % 20 == 0:
+            found = sorted((-int(q @ v), j) for j, v in whole if j != i)[:20]
+            want.setdefault(i, []).extend((n + 1, j, -s) for n, (s, j) in enumerate(found))
+    assert len(want[20]) == 80 and {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_pipeline_equals_its_stages_in_plain_python(spark):
     import hashlib
 
@@ -147,6 +165,20 @@ def test_visible_and_hidden_parts(page, text):
     assert [x.rstrip() for x in html_text.render(page).split("\n") if x] == [x for x in text.split("\n") if x]
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<span><div hidden></span>secret</div>after", "after"),
+    ("<a><div style='display:none'></a>secret</div>after", "after"),
+    ("<a hidden>no<div>no</a>yes</div>", "yes"),
+    ("<a>1<div>2</a>3</div>4", "1\n23\n4"),
+    ("<b><p>q</b>r</p>s<script>x</script></b>t", "qr\nst"),
+    ("<button hidden><div>no</button>yes", "yes"),
+    ("<table><form><tr><td>aa<td>b<tr><td>c<td>d</form></table>", "aa  b\nc   d"),
+    ("<table><tr><form><td>aa<td>b</form><tr><td>c<td>d</table>", "aa  b\nc   d"),
+])
+def test_end_tags_across_blocks_and_forms_in_tables(page, text):
+    assert [x.rstrip() for x in html_text.render(page).split("\n") if x] == text.split("\n")
+
+
 def test_a_cell_may_cover_thousands_of_rows():
     lines = html_text.render("<table><tr><td rowspan=3000>r<td>0" + "<tr><td>x" * 2999 + "<tr><td>end</table>").split("\n")
     assert lines[0] == "r    0" and set(lines[1:3000]) == {"     x"} and lines[3000] == "end"
