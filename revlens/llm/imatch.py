@@ -2,24 +2,30 @@
 
 Terms are the lower-cased runs of letters and digits. A term is kept if its
 inverse document frequency, as a share of the largest possible one, lies in
-``BAND``: terms of most documents and terms of a single document go. The kept
-terms of a text, sorted and distinct, are hashed once for each of ``LEXICONS``
-randomised lexicons.
-
-A fixed lexicon suits texts of one length only: of a long text it keeps many
-terms, so every edit changes the hash; of a short one it may keep none. So
-each lexicon is a family of nested subsets, each with half of the terms of the
-one before, and a text uses the smallest subset that holds any of its terms.
-Two texts then agree on about as many of the hashes as they share terms, and
-``likeness`` is that share: 1 for equal texts, near 0 for unrelated ones.
-
-Document frequencies cover all documents. They are kept for ``SLOTS`` slots of
-the terms' hashes, so that table has one size for every corpus (8 MB, which is
-broadcast); terms of one slot share their frequency.
+``BAND``: of N documents it is in N**0.45 at least and in N**0.75 at most, so
+terms of most documents go, and rare ones, those of a single document first.
+The kept terms of a text, sorted and distinct, are hashed once for each of
+``LEXICONS`` randomised lexicons.
+
+A departure from plain I-Match: a fixed lexicon suits texts of one length only
+(of a long text it keeps many terms, so every edit changes the hash; of a short
+one it may keep none). So each lexicon is a family of nested subsets, each with
+half of the terms of the one before, and a text uses the smallest subset that
+holds any of its terms. Two texts then agree on about as many of the hashes as
+they share terms, and ``likeness`` is that share: 1 for equal texts, near 0 for
+unrelated ones.
+
+Document frequencies cover all documents. They are counted in ``TABLES`` tables
+of ``SLOTS`` slots by different bits of the terms' hashes, and a term has the
+least of its slots' counts (count-min). That is never below its frequency, and
+above it by what rare terms share both slots: some documents, while the band
+begins at a power of all, which grows faster. So the tables have one
+size for every corpus (16 MB counted, 0.5 MB broadcast as bits).
 
 Defined results: a null text is an empty one. A text without a term in the
 band is hashed over all its terms, a text without terms over its bytes, so
-equal texts always have equal fingerprints. The next document follows in the
+equal texts always have equal fingerprints. A very long text is handled with
+its Arrow batch, whole. An empty table gives no rows. The next document follows in the
 order of (doc_id, text), null ids last, and the first follows the last; rows
 that share a doc_id are rows of their own. Other columns are never read.
 """
@@ -39,8 +45,8 @@ from pyspark.sql import types as T
 from revlens.llm.common import bound_batches, chunks, flat, mix, span_hashes, spans
 
 LEXICONS = 48
-BAND = (0.25, 0.95)
-SLOTS, _CHUNK = 1 << 20, 1 << 14
+BAND = (0.25, 0.55)
+TABLES, SLOTS, _CHUNK = 2, 1 << 20, 1 << 14
 #: Rows of a range of neighbouring documents, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 8192, 4096
 
@@ -67,30 +73,32 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield i, j, h[new], owner[new]
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+def _slot(h: np.ndarray, table: int) -> np.ndarray:
+    return (h >> np.uint64(20 + 20 * table)).astype(np.int64) & (SLOTS - 1)
 
 
 # ------------------------------------------------------ document frequencies
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents, and for each slot the (document, term) pairs."""
+    """Number of documents, and for each table and slot the (document, term)
+    pairs."""
     bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(SLOTS, np.int64), 0
+        df, n = np.zeros((TABLES, SLOTS), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for _, _, h, _ in _terms(batch.column("text")):
-                np.add.at(df, _slot(h), 1)
+                for t in range(TABLES):
+                    np.add.at(df[t], _slot(h, t), 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *range(SLOTS // _CHUNK)], pa.int32()),
+            [pa.array([-1, *range(TABLES * SLOTS // _CHUNK)], pa.int32()),
              pa.array([zlib.compress(np.array([n], "<i8").tobytes()),
-                       *(zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(df, SLOTS // _CHUNK))],
+                       *(zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(df.ravel(), TABLES * SLOTS // _CHUNK))],
                       pa.binary())], ["chunk", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one sum for each of the 65 chunks at most, however many rows come
+        # one sum for each of the 129 chunks at most, however many rows come
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
@@ -104,26 +112,44 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     found = docs.select("text").mapInArrow(count, fields).repartition("chunk").mapInArrow(total, fields).collect()
     by_chunk = {r["chunk"]: np.frombuffer(r["counts"], "<i8") for r in found}
     if not by_chunk:
-        return 0, np.zeros(SLOTS, np.int64)
-    return int(by_chunk[-1][0]), np.concatenate([by_chunk[k] for k in range(SLOTS // _CHUNK)])
+        return 0, np.zeros((TABLES, SLOTS), np.int64)
+    counts = np.concatenate([by_chunk[k] for k in range(TABLES * SLOTS // _CHUNK)])
+    return int(by_chunk[-1][0]), counts.reshape(TABLES, SLOTS)
+
+
+class Band:
+    """Which terms are kept: bits of the slots that are frequent enough, and
+    of those that are rare enough. The least count of a term's slots is in the
+    band if all are frequent enough and one is rare enough."""
+
+    def __init__(self, n_docs: int, df: np.ndarray, band: tuple[float, float] = BAND) -> None:
+        if n_docs < 2:
+            often = rare = np.ones(df.shape, bool)
+        else:
+            share = np.log(n_docs / np.maximum(df, 1)) / np.log(n_docs)
+            often, rare = share <= band[1], share >= band[0]
+        self.bits = np.packbits(np.stack([often, rare]))
 
+    def keeps(self, h: np.ndarray) -> np.ndarray:
+        often, rare = np.ones(len(h), bool), np.zeros(len(h), bool)
+        for t in range(TABLES):
+            slot = _slot(h, t)
+            often &= self._bit(t * SLOTS + slot)
+            rare |= self._bit((TABLES + t) * SLOTS + slot)
+        return often & rare
 
-def in_band(n_docs: int, df: np.ndarray, band: tuple[float, float] = BAND) -> np.ndarray:
-    """For each slot whether its terms are kept."""
-    if n_docs < 2:
-        return np.ones(len(df), bool)
-    share = np.log(n_docs / np.maximum(df, 1)) / np.log(n_docs)
-    return (share >= band[0]) & (share <= band[1])
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 # ------------------------------------------------------------- fingerprints
 
-def fingerprint_array(column: pa.Array, kept: np.ndarray) -> np.ndarray:
+def fingerprint_array(column: pa.Array, kept: Band) -> np.ndarray:
     """``LEXICONS`` hashes of 32 bits for each text."""
     out = np.zeros((len(column), LEXICONS), np.uint32)
     data, offs = flat(column)
     for i, j, h, owner in _terms(column):
-        keep = kept[_slot(h)]
+        keep = kept.keeps(h)
         has = np.zeros(j - i, bool)
         has[owner[keep]] = True
         keep |= ~has[owner]
@@ -162,11 +188,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """``(doc_id, fingerprint)`` for every row."""
-    kept = docs.sparkSession.sparkContext.broadcast(np.packbits(in_band(*document_frequencies(docs), band)))
+    kept = docs.sparkSession.sparkContext.broadcast(Band(*document_frequencies(docs), band))
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(kept.value).astype(bool)
+        table = kept.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), as_text(fingerprint_array(batch.column("text"), table))],
@@ -220,7 +246,7 @@ def op2_imatch(docs: DataFrame) -> DataFrame:
     """Contract columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next."""
     n_docs, df = document_frequencies(docs)
-    kept = docs.sparkSession.sparkContext.broadcast(np.packbits(in_band(n_docs, df)))
+    kept = docs.sparkSession.sparkContext.broadcast(Band(n_docs, df))
     rows = with_next(docs, n_docs)
     schema = T.StructType([
         rows.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
@@ -228,7 +254,7 @@ def op2_imatch(docs: DataFrame) -> DataFrame:
         T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(kept.value).astype(bool)
+        table = kept.value
         waiting: pa.RecordBatch | None = None
         for batch in batches:
             if waiting is not None:

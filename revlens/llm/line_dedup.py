@@ -66,7 +66,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
             .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped")))
 
 
-def _rebuilt(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+def rebuilt_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """``(record, text, n_lines, n_dropped)`` for every row; ``text`` is null
     where no line went."""
     gone = dropped_lines(docs, min_chars, min_docs).select(
@@ -90,13 +90,13 @@ def _rebuilt(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """Every row of ``docs`` with its columns, ``text`` rebuilt."""
-    return _rebuilt(docs, min_chars, min_docs).select(*[
+    return rebuilt_lines(docs, min_chars, min_docs).select(*[
         (F.coalesce("text", "record.text") if c == "text" else F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(docs: DataFrame) -> DataFrame:
     """Contract columns: doc_id, n_lines, n_dropped, kept_sha256."""
-    return _rebuilt(docs.select("doc_id", "text"), 10, 2).select(
+    return rebuilt_lines(docs.select("doc_id", "text"), 10, 2).select(
         "record.doc_id", "n_lines", "n_dropped",
         F.sha2(F.coalesce("text", "record.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

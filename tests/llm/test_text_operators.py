@@ -124,11 +124,59 @@ def test_imatch_document_frequencies(docs, rows):
     n, df = imatch.document_frequencies(docs)
     term = lambda t: set(re.findall(rb"[0-9a-z\x80-\xff]+", t.translate(_LOW).encode()))
     count = Counter(w for _, t, _, _ in rows for w in term(t))
-    want = np.zeros(imatch.SLOTS, int)
+    want = np.zeros((imatch.TABLES, imatch.SLOTS), int)
+    hashes = {w: common.span_hashes(np.frombuffer(w, np.uint8), np.array([len(w)])) for w in count}
     for w, c in count.items():
-        h = common.span_hashes(np.frombuffer(w, np.uint8), np.array([len(w)]))
-        want[imatch._slot(h)] += c
+        for t in range(imatch.TABLES):
+            want[t, imatch._slot(hashes[w], t)] += c
     assert n == len(rows) and (df == want).all()
+    band = imatch.Band(n, df)
+    for w, c in count.items():
+        least = min(want[t, imatch._slot(hashes[w], t)][0] for t in range(imatch.TABLES))
+        assert least >= c and band.keeps(hashes[w])[0] == (n ** 0.45 <= least <= n ** 0.75)
+    assert sum(min(want[t, imatch._slot(hashes[w], t)][0] for t in range(imatch.TABLES)) == c
+               for w, c in count.items()) > 0.999 * len(count)
+
+
+@pytest.mark.parametrize("terms", [10 ** 4, 10 ** 6])
+def test_single_document_terms_go_at_every_size(spark, terms):
+    """Of terms in one document only none is kept, however many there are;
+    those within the band are."""
+    shared = " ".join(f"s{k}" for k in range(20))
+    docs = spark.range(1000).selectExpr("id AS doc_id", f"""concat(if(id < 100, '{shared}', ''), ' ', array_join(
+        transform(sequence(1L, {terms // 1000}L), k -> concat('t', id * {terms} + k)), ' ')) AS text""")
+    band = imatch.Band(*imatch.document_frequencies(docs))
+    texts = [r.text.split() for r in docs.where("doc_id < 300").collect()]
+    once = [w for t in texts for w in t if w[0] == "t"]
+    kept = [band.keeps(common.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([len(w)])))[0]
+            for w in once[::max(1, len(once) // 3000)]]
+    assert len(kept) >= 2900 and not any(kept)
+    assert all(band.keeps(common.span_hashes(np.frombuffer(f"s{k}".encode(), np.uint8), np.array([len(f"s{k}")])))[0]
+               for k in range(20))
+
+
+def _plain_fingerprint(text, band):
+    """The definition, term by term: in every family the smallest subset that
+    holds a term of the text, and the hash of all terms inside."""
+    words = set(re.findall(rb"[0-9a-z\x80-\xff]+", text.translate(_LOW).encode()))
+    h = sorted(int(common.span_hashes(np.frombuffer(w, np.uint8), np.array([len(w)]))[0]) for w in words)
+    h = [x for x in h if band.keeps(np.array([x], np.uint64))[0]] or h
+    if not h:
+        h = [int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")]
+    out = []
+    for seed in imatch._SEEDS.tolist():
+        place = [x * seed % 2 ** 64 for x in h]
+        top = 1 << min(place).bit_length()
+        total = sum(p for p in place if p < top) % 2 ** 64
+        out.append(int(common.mix(np.array([total], np.uint64))[0]) >> 32)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def test_imatch_fingerprints_equal_the_definition(docs, rows):
+    band = imatch.Band(*imatch.document_frequencies(docs))
+    got = _by_id(imatch.fingerprints(docs))
+    for doc_id, text, _, _ in rows:
+        assert got[doc_id]["fingerprint"] == _plain_fingerprint(text, band)
 
 
 # ----------------------------------------------------------------------- op3
@@ -352,8 +400,10 @@ def test_line_dedup_against_plain_python(make_docs, min_docs):
     pool = ["Shared line number one", " shared LINE number one\t", "short", "", "ÉCOLE FRANÇAISE A", "école française a",
             "École française A", "x" * 10, "X" * 10, *(f"only line {k} of many" for k in range(40))]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(80)]
-    got = {r.doc_id: (r._n_lines, r._n_dropped, r.text)
-           for r in line_dedup.dedup_lines(make_docs(texts), min_docs=min_docs).collect()}
+    docs = make_docs(texts)
+    text = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_docs=min_docs).collect()}
+    got = {r.record.doc_id: (r.n_lines, r.n_dropped, text[r.record.doc_id])
+           for r in line_dedup.rebuilt_lines(docs, 10, min_docs).collect()}
     assert got == _dedup(list(enumerate(texts)), min_docs)
 
 
