@@ -18,18 +18,22 @@ The second pass loses no pair that a region holds: wherever a region still
 holds classes of different components, each class outside the region's largest
 component is compared with all classes of the region. Signatures rule out pairs
 that agree in less than ``LEAST_AGREE`` of all values (a pair at the threshold
-passes with probability 1 - 2e-7); the others are confirmed on the full sets.
+passes with probability 1 - 2e-7). A region is dealt to units of ``BLOCK`` rows
+and as many loose ones; classes with candidates bring their full sets to their
+units, where candidates are confirmed and only links that join components
+leave. So pairs are compared but never listed.
 The depth of a region adapts: where more than ``LOOSE`` classes lie outside of
 the largest component it grows by one value, which parts unlike classes, up to
-the tree's whole prefix. A region is compared in blocks, without a cap.
+the tree's whole prefix. There is no cap.
 
 A pair at the threshold shares a region of ``LEAST_DEPTH`` in no tree with
 probability (1 - 0.85**4)**16 = 7e-6, one of the deepest in none with 0.6 %.
 
 On Spark: sorted orders are range partitions by (tree, prefix, class), a region
 that spans several is met in pieces, and the second pass joins the pieces.
-Texts of classes with candidates move once to become sets; a pair meets its
-two sets by joins in which the frequent classes are salted. Nothing but counts
+Texts of classes with candidates move once in each pass to become sets; a pair
+of the first pass meets its two sets by joins in which frequent classes are
+salted. Nothing but counts
 and checksums reaches the driver.
 
 Defined results: a null text has no words. Rows that share a ``doc_id`` are rows
@@ -61,8 +65,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 LEAST_AGREE = 88
 #: Classes outside its largest component above which a region grows deeper.
 LOOSE = 1 << 14
-#: Rows of one block of the second pass.
-BLOCK = 512
+#: Rows and shingles of one block of the second pass.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Pairs of a class above which the class is salted.
 FREQUENT = 256
 _SHINGLES_AT_ONCE = 1 << 15
@@ -225,21 +229,23 @@ def _region(depth: int) -> Column:
 
 
 def loose_regions(placed: DataFrame) -> DataFrame:
-    """The rows of ``placed`` (tree, prefix, node, label) that lie in regions
-    of several components, each with its ``region``, whether it is ``loose``
-    (outside the largest component), and the region's numbers ``n`` of rows
-    and ``k`` of loose ones. Each region is as deep as it must be."""
+    """The rows of ``placed`` (tree, prefix, node, label, size) that lie in
+    regions of several components, each with its ``region``, whether it is
+    ``loose`` (outside the largest component), and the region's ``blocks`` and
+    ``parts``: into how many its rows and its loose rows are dealt. Each region
+    is as deep as it must be."""
     out, rest = None, placed
     for depth in range(LEAST_DEPTH, DEPTH + 1):
         rest = rest.withColumn("region", _region(depth))
-        found = written(rest.groupBy("tree", "region", "label").agg(F.count("*").alias("m"))
+        found = written(rest.groupBy("tree", "region", "label").agg(F.count("*").alias("m"), F.sum("size").alias("z"))
                         .groupBy("tree", "region")
                         .agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"),
-                             F.sum("m").alias("n")).where("n > most")
-                        .select("tree", "region", "main", "n", (F.col("n") - F.col("most")).alias("k")))
+                             F.sum("m").alias("n"), F.sum("z").alias("z")).where("n > most")
+                        .select("tree", "region", "main", (F.col("n") - F.col("most")).alias("k"),
+                                _dealt_to(F.col("n")).alias("blocks"), _dealt_to(F.col("n") - F.col("most")).alias("parts")))
         crowded = F.col("k") > LOOSE if depth < DEPTH else F.lit(False)
         done = rest.join(found.where(~crowded), ["tree", "region"]).select(
-            "tree", "region", "node", "label", (F.col("label") != F.col("main")).alias("loose"), "n", "k")
+            "tree", "region", "node", "label", (F.col("label") != F.col("main")).alias("loose"), "blocks", "parts")
         out = done if out is None else out.union(done)
         rest = rest.join(found.where(crowded), ["tree", "region"], "left_semi").drop("region")
         if found.where(crowded).isEmpty():
@@ -247,39 +253,23 @@ def loose_regions(placed: DataFrame) -> DataFrame:
     return out
 
 
-def _pairs_in_block(table: pa.Table) -> pa.Table:
-    """Candidates of one block: loose classes against all of the block, if
-    their signatures agree enough and no earlier tree holds the pair."""
-    node, label, tree, loose, seeks = (table.column(c).to_numpy() for c in ("node", "label", "tree", "loose", "seeks"))
-    sig = _bytes(table.column("sig"))
-    here = int(tree[0])
-    q, r = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in q.tolist():
-        # two loose classes meet from both sides
-        at = r[(label[r] != label[i]) & (~loose[r] | (node[r] < node[i]))]
-        same = sig[at] == sig[i]
-        near = same.sum(axis=1) >= LEAST_AGREE
-        at, same = at[near], same[near]
-        earlier = same[:, :here * DEPTH].reshape(len(at), here, DEPTH)[:, :, :LEAST_DEPTH].all(axis=2).any(axis=1)
-        at = at[~earlier]
-        a.append(np.maximum(node[at], node[i]))
-        b.append(np.minimum(node[at], node[i]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+def _dealt_to(rows: Column) -> Column:
+    """Blocks for so many rows of a region of ``z`` shingles and ``n`` rows."""
+    shingles = F.col("z") * rows / F.col("n")
+    return F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
 
-def second_candidates(classes: DataFrame) -> DataFrame:
-    """``(a, b)``, a > b: pairs of one region and different components
-    (``label``) whose signatures agree enough."""
-    places = forest(classes, "label")
+def units(classes: DataFrame) -> DataFrame:
+    """The second pass as units of bounded size, ``(unit, tree, node, label,
+    loose, seeks, sig)``: a block of a region's rows, and a part of its loose
+    rows, which seek among them."""
+    places = forest(classes, "label", "size")
     # most regions hold one component: two numbers for each tell which
     mixed = (places.groupBy("tree", _region(LEAST_DEPTH).alias("region"))
              .agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tree", "region"))
     placed = written(places.withColumn("region", _region(LEAST_DEPTH)).join(mixed, ["tree", "region"], "left_semi")
                      .drop("region"))
-    met = written(loose_regions(placed).join(classes.select("node", "sig"), "node").select(
-        "tree", "region", "node", "label", "loose", "sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
-        F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")))
+    met = written(loose_regions(placed).join(classes.select("node", "sig"), "node"))
 
     def dealt(salt: int, n: str) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n).cast("long")).cast("int")
@@ -287,11 +277,73 @@ def second_candidates(classes: DataFrame) -> DataFrame:
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    columns = ["tree", "region", "node", "label", "loose", "sig", "block", "part"]
     stand = met.withColumn("block", dealt(1, "blocks")).withColumn("part", every("parts"))
     seek = met.where("loose").withColumn("part", dealt(2, "parts")).withColumn("block", every("blocks"))
-    return (stand.select(*columns, F.lit(False).alias("seeks")).union(seek.select(*columns, F.lit(True).alias("seeks")))
-            .groupBy("tree", "region", "block", "part").applyInArrow(_pairs_in_block, "a long, b long"))
+    columns = [F.xxhash64("tree", "region", "block", "part").alias("unit"), "tree", "node", "label", "loose"]
+    return stand.select(*columns, F.lit(False).alias("seeks"), "sig").union(
+        seek.select(*columns, F.lit(True).alias("seeks"), "sig"))
+
+
+def _candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each seeking row of a unit, and the standing ones of other components
+    whose signatures agree enough and which it meets in no earlier tree."""
+    node, label, tree, loose, seeks = (table.column(c).to_numpy() for c in ("node", "label", "tree", "loose", "seeks"))
+    sig = _bytes(table.column("sig"))
+    r = np.flatnonzero(~seeks)
+    for i in np.flatnonzero(seeks).tolist():
+        # two loose classes meet from both sides
+        at = r[(label[r] != label[i]) & (tree[r] == tree[i]) & (~loose[r] | (node[r] < node[i]))]
+        same = sig[at] == sig[i]
+        near = same.sum(axis=1) >= LEAST_AGREE
+        at, same, here = at[near], same[near], int(tree[i])
+        earlier = same[:, :here * DEPTH].reshape(len(at), here, DEPTH)[:, :, :LEAST_DEPTH].all(axis=2).any(axis=1)
+        at = at[~earlier]
+        if len(at):
+            yield i, at
+
+
+def _with_candidates(table: pa.Table) -> pa.Table:
+    """The rows of a unit that have any candidate."""
+    has = np.zeros(table.num_rows, bool)
+    for i, at in _candidates(table):
+        has[i] = True
+        has[at] = True
+    return table.select(["unit", "node", "seeks"]).filter(pa.array(has))
+
+
+def _links_in_unit(table: pa.Table, percent: int) -> pa.Table:
+    """Candidates confirmed on the full sets: of the links found in a unit
+    those that join components, so their number stays below that of its rows."""
+    node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+    sets = table.column("shingles").combine_chunks()
+    # sorted as unsigned numbers
+    values, offsets = sets.flatten().to_numpy().view(np.uint64), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+    part = {x: x for x in label.tolist()}
+
+    def find(x: int) -> int:
+        while part[x] != x:
+            part[x] = part[part[x]]
+            x = part[x]
+        return x
+
+    u, v = [], []
+    for i, at in _candidates(table):
+        own = values[offsets[i]:offsets[i + 1]]
+        for j in at.tolist():
+            a, b = find(int(label[i])), find(int(label[j]))
+            if a == b:
+                continue
+            other = values[offsets[j]:offsets[j + 1]]
+            most = min(len(own), len(other))
+            if 100 * most < percent * (len(own) + len(other) - most):
+                continue
+            place = np.searchsorted(own, other)
+            shared = int((own[np.minimum(place, len(own) - 1)] == other).sum())
+            if 100 * shared >= percent * (len(own) + len(other) - shared):
+                part[max(a, b)] = min(a, b)
+                u.append(int(node[i]))
+                v.append(int(node[j]))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 # -------------------------------------------------------------- confirmation
@@ -353,20 +405,23 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"),
         F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs)
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = classes.join(nodes, "node", "left_semi").select(
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes.distinct(), "node", "left_semi").select(
             "node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-        sets = written(sets_of(docs, wanted, shingle))
-        out = written(confirmed(pairs, sets, percent))
-        discard(sets, pairs)
-        return out
-
-    first = components(links(first_candidates(classes)))
-    joined = written(classes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        return written(sets_of(docs, wanted, shingle))
+
+    pairs = written(first_candidates(classes))
+    held = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    first = components(written(confirmed(pairs, held, percent)))
+    discard(held, pairs)
+    joined = written(classes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+                     .withColumn("size", F.col("n")))
     # what the second pass links are components of the first
-    more = links(second_candidates(joined))
+    seeking = units(joined)
+    met = written(seeking.groupBy("unit").applyInArrow(_with_candidates, "unit long, node long, seeks boolean"))
+    held = sets(met.select("node"))
+    more = written(seeking.join(met, ["unit", "node", "seeks"]).join(held.select("node", "shingles"), "node")
+                   .groupBy("unit").applyInArrow(lambda table: _links_in_unit(table, percent), "u long, v long"))
     label = joined.select("node", "label")
     between = more.join(label.toDF("u", "x"), "u").join(label.toDF("v", "y"), "v").select(
         F.col("x").alias("u"), F.col("y").alias("v"))
