@@ -6,7 +6,8 @@ or more that at least ``min_docs`` documents hold lose all their lines except
 in the smallest ``doc_id`` that holds them.
 
 Method: explode the key hashes, pre-aggregate per hash before the shuffle,
-join the few repeated hashes back to the lines, gather each document's
+join the few repeated hashes back to the lines (a line that many documents hold
+is dealt out over the tasks by :func:`heavy_hitter_join`), gather each document's
 dropped positions, and rebuild the text from the other positions. Only hashes
 and positions move per line; a text moves once, to meet its positions.
 
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.common import records, written
+from revlens.operators.relational import heavy_hitter_join
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WHITE = " \t\n\x0b\x0c\r"
@@ -61,7 +63,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
                 .groupBy("a", "b").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")))
         several = F.col("n") >= min_docs
     repeated = held.where(several).select("a", "b", "keeper")
-    return (lines.join(repeated, ["a", "b"])
+    met = heavy_hitter_join(lines, repeated, ["a", "b"], spread=["doc_id", "text_hash", "pos"])
+    return (met
             .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
             .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped")))
 

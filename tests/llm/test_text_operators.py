@@ -407,6 +407,18 @@ def test_line_dedup_against_plain_python(make_docs, min_docs):
     assert got == _dedup(list(enumerate(texts)), min_docs)
 
 
+def test_line_dedup_deals_out_a_line_of_every_document(make_docs):
+    texts = [f"A banner on every page\nonly line {k} of many" + "\na footer of some" * (k % 3) for k in range(300)]
+    docs = make_docs(texts)
+    gone = line_dedup.dropped_lines(docs)
+    plan = gone._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "_salt0" in plan and "python" not in plan and "arrow" not in plan
+    got = {r.record.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.rebuilt_lines(docs, 10, 2).collect()}
+    want = _dedup(list(enumerate(texts)))
+    # a null text: no line went
+    assert {d: (n, k, texts[d] if t is None else t) for d, (n, k, t) in got.items()} == want
+
+
 def test_every_word_is_clustered_by_its_contexts(make_docs, monkeypatch):
     # two kinds of rare words, alike in spelling, told apart by their contexts only; more words than seeds
     monkeypatch.setattr(brown, "SEEDS", 8)
